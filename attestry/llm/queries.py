@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import folding, fusion, pieces, tokens
+from attestry.llm import folding, fusion, leaks, pieces, splits, tokens
 from attestry.tables import read
 
 
@@ -40,13 +40,33 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     return curated.withColumn("chunk_form", folding.canonical_text("chunk_id"))
 
 
+def _enzymes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{d}/pet_activity_ml.parquet"), spark.read.parquet(f"{d}/enzyme_features.parquet")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Enzymes of the related groups that today's cv_split tears apart."""
+    return splits.straddling_groups(*_enzymes(spark, d))
+
+
+def p4_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Train, validation and test split of every enzyme."""
+    return splits.split_enzymes(*_enzymes(spark, d))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode_corpus(spark.read.parquet(f"{d}/documents.parquet"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that carry evaluation items."""
+    return leaks.leaked_items(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/eval_items.parquet")).select("doc_id", "item_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_forms": p3_forms, "p8_ids": p8_ids,
+    "p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_forms": p3_forms, 
+    "p4_found": p4_found, "p4_splits": p4_splits, "p8_ids": p8_ids, "p9_found": p9_found,
 }
 
 SQL: dict[str, str] = {}
