@@ -161,7 +161,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", tex
     wanted = items.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).where(F.col("i").isNotNull() & F.col("t").isNotNull())
     total = wanted.agg(F.sum(F.length("t"))).first()[0] or 0
     passes = max(1, -(-int(total) // ITEM_CHARS_PER_PASS))
-    schema = docs.select(doc_key).schema.add(items.schema[item_key]).add("share", "double").add("stretches", "int")
+    schema = docs.select(doc_key).schema.add(items.schema[item_key]).add("share", "double").add("stretches", "integer")
     found = None
     for p in range(passes):
         part = wanted.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == p) if passes > 1 else wanted

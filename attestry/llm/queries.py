@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import folding, fusion, leaks, pieces, splits, tokens
+from attestry.llm import folding, fusion, leaks, markup, pieces, splits, tokens
 from attestry.tables import read
 
 
@@ -54,6 +54,19 @@ def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_enzymes(*_enzymes(spark, d))
 
 
+MARKED_FIELDS = ("title", "abstract", "full_text")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds of markup residue per document and field."""
+    return markup.residue(spark.read.parquet(f"{d}/documents_staging.parquet"), "doc_id", MARKED_FIELDS)
+
+
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Title, abstract and full text of every row as clean text."""
+    return markup.clean_fields(spark.read.parquet(f"{d}/documents_staging.parquet"), "doc_id", MARKED_FIELDS).select("doc_id", "field_name", "clean")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode_corpus(spark.read.parquet(f"{d}/documents.parquet"))
@@ -66,7 +79,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_forms": p3_forms, 
-    "p4_found": p4_found, "p4_splits": p4_splits, "p8_ids": p8_ids, "p9_found": p9_found,
+    "p4_found": p4_found, "p4_splits": p4_splits, "p7_found": p7_found, "p7_clean": p7_clean,
+    "p8_ids": p8_ids, "p9_found": p9_found,
 }
 
 SQL: dict[str, str] = {}
