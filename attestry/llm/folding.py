@@ -13,12 +13,16 @@ import functools
 import hashlib
 import re
 import unicodedata
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestry.lineage import cut
+
 #: Letters of other scripts that print as the Latin letter beside them (fixed values).
 LOOKALIKES = dict(zip(
     "АВЕЅІЈКМНОРСТУХԚԜҮаеѕіјорсухԛԝһӏ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳ" "ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓦꓪꓫꓬꓜ",
@@ -74,8 +78,8 @@ def canonical(text: str) -> str:
     return _BLANK.sub(" ", _IGNORABLE.sub("", text))
 
 
-def _digest(text: str) -> str:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def _per_distinct(fn):
@@ -94,21 +98,22 @@ def canonical_text(values: pd.Series) -> pd.Series:
     return _per_distinct(canonical)(values).astype(object)
 
 
-_FORMS = T.StructType([T.StructField(c, T.StringType()) for c in ("form", "seen", "stored")])
-
+def _digests(names: Sequence[str]):
+    """Key, and 16-byte digests of the canonical form, the visual form and the value as stored, of each
+    value in which there is something to see; once per distinct value of a batch."""
 
-@F.pandas_udf(_FORMS)
-def forms(values: pd.Series) -> pd.DataFrame:
-    """Digests of the canonical form, of the visual form and of the value as stored; null for null and
-    for values in which nothing is to be seen."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column(1).dictionary_encode()
+            table = []
+            for v in coded.dictionary.to_pylist():
+                seen = visual(v)
+                table.append((_digest(canonical(v)), _digest(seen), _digest(v)) if seen else (None, None, None))
+            columns = [pa.array([t[i] for t in table], pa.binary()).take(coded.indices) for i in range(3)]
+            out = pa.RecordBatch.from_arrays([batch.column(0), *columns], names=list(names))
+            yield out.filter(out.column(1).is_valid())
 
-    def of(v: str):
-        seen = visual(v)
-        return (_digest(canonical(v)), _digest(seen), _digest(v)) if seen.strip() else (None, None, None)
-
-    table = {v: of(v) for v in values.dropna().unique()}
-    rows = [table.get(v, (None, None, None)) if v is not None else (None, None, None) for v in values]
-    return pd.DataFrame(rows, columns=["form", "seen", "stored"])
+    return run
 
 
 def same_looking_pairs(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
@@ -121,7 +126,8 @@ def same_looking_pairs(df: DataFrame, key: str, value: str, name: str) -> DataFr
     group of exact copies meets only its other spellings.
     """
     base = df.select(F.col(key).alias("k"), F.col(value).alias("_v")).where(F.col("k").isNotNull() & F.col("_v").isNotNull())
-    rows = base.withColumn("f", forms("_v")).select("k", "f.form", "f.seen", "f.stored").where(F.col("form").isNotNull()).distinct()
+    schema = T.StructType([base.schema["k"], *[T.StructField(c, T.BinaryType()) for c in ("form", "seen", "stored")]])
+    rows = cut(base.mapInArrow(_digests(schema.names), schema).distinct())  # each value is folded once
     spelt = rows.groupBy("form").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo < hi").select("form")
     left = rows.join(spelt, "form", "left_semi")
     a, b = left.alias("a"), left.alias("b")
