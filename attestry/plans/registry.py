@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from attestry.plans import domain
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**domain.QUERIES}
+SQL: dict[str, str] = {**domain.SQL}
