@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import folding, fusion, leaks, markup, pieces, splits, tokens
+from attestry.llm import folding, fusion, leaks, markup, matching, pieces, splits, tokens
 from attestry.tables import read
 
 
@@ -54,6 +54,16 @@ def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_enzymes(*_enzymes(spark, d))
 
 
+def p6_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Every reference with the documents of its work and the confidence of the match."""
+    return matching.match_references(spark.read.parquet(f"{d}/bibliography_refs.parquet"), spark.read.parquet(f"{d}/documents_staging.parquet"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every reference with the documents of its work."""
+    return p6_matches(spark, d).select("ref_id", "doc_id")
+
+
 MARKED_FIELDS = ("title", "abstract", "full_text")
 
 
@@ -79,7 +89,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_forms": p3_forms, 
-    "p4_found": p4_found, "p4_splits": p4_splits, "p7_found": p7_found, "p7_clean": p7_clean,
+    "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_matches": p6_matches, "p7_found": p7_found, "p7_clean": p7_clean,
     "p8_ids": p8_ids, "p9_found": p9_found,
 }
 
