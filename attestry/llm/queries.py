@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import folding, fusion, leaks, markup, matching, pieces, splits, tokens
+from attestry.llm import folding, fusion, leaks, markup, matching, pieces, splits, subjects, tokens
 from attestry.tables import read
 
 
@@ -87,10 +87,21 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/eval_items.parquet")).select("doc_id", "item_id")
 
 
+def p10_areas(spark: SparkSession, d: str) -> DataFrame:
+    """Subject areas of every document with their probabilities."""
+    return subjects.subject_areas(*(spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "subject_labels", "subjects")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Subject areas of every document."""
+    return p10_areas(spark, d).select("doc_id", "subject")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_forms": p3_forms, 
     "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_matches": p6_matches, "p7_found": p7_found, "p7_clean": p7_clean,
     "p8_ids": p8_ids, "p9_found": p9_found,
+    "p10_found": p10_found, "p10_areas": p10_areas,
 }
 
 SQL: dict[str, str] = {}
