@@ -2,7 +2,7 @@
 
 Documents that hold one work are one unit (same DOI and kind, same content, or same title with a common
 author or year). A reference and a unit are a candidate pair if they share an author's surname and a
-title word, or two of their rarest title words. A pair's log-odds come from title, authors and year,
+title word, or a title but for two words, or the beginning of one. A pair's log-odds come from title, authors and year,
 each of which may be missing. Loopy belief propagation then weighs all pairs together: an entry names
 at most one work (its candidates exclude each other), and a work is listed by one group of entries, so
 entries that have it as their best candidate stand together against those that do not. Messages go
@@ -11,12 +11,14 @@ through joins on small numeric tables until they stand still; the marginal is th
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,8 +33,9 @@ from attestry.operators.components import components_by_keys
 _NOISE = frozenset("the on a an in press preprint forthcoming erschienen".split())
 _OTHER_WORK = frozenset("reply comment erratum corrigendum correction retraction response".split())
 _NO_AUTHOR = frozenset({"", "anon", "anonymous", "anonym", "unknown", "various", "n a", "na", "none", "null"})
-#: Rarest title words that make pair keys, of an entry and of a unit.
-RARE_OF_ENTRY, RARE_OF_UNIT = 5, 8
+#: Words that make no key, and words from which a title leaves out one word at most.
+_SMALL = frozenset("the and for from with der die das und des del las los les sur sobre por une una".split())
+LONG_TITLE = 24
 #: Least marginal of a match, rounds at most, and change at which messages stand still.
 CONFIDENCE, ROUNDS, STILL = 0.6, 8, 0.01
 
@@ -49,7 +52,8 @@ def title_words(title: str | None) -> list[str]:
     """Words of a title without markup and formulas; an abbreviated word keeps its stop."""
     if not title:
         return []
-    plain = fold_name(re.sub("⟦[^⟧]*⟧", " ", markup.clean(title)[0]))
+    bare = re.sub(r"\\SI\{[^{}]*\}\{[^{}]*\}", " ", title)  # quantities set by a command are residue
+    plain = fold_name(re.sub("⟦[^⟧]*⟧", " ", markup.clean(bare)[0]))
     plain = re.sub(r"\[preprint\]|\(in press\)|\bdegrees c\b", " ", plain)
     cut_off = re.search(r"(?:\.\.\.|…)\s*$", plain) is not None
     words = [w for w in re.findall(r"[^\W_]+\.(?=\s+\S)|[^\W_]+", plain)]
@@ -90,6 +94,7 @@ def unit_surnames(authors: Sequence[str] | None) -> list[str]:
     return sorted({s for a in (authors if authors is not None else ()) if a and fold_name(a).strip(" .") not in _NO_AUTHOR and (s := surname(a))})
 
 
+@functools.lru_cache(maxsize=200_000)
 def near(a: str, b: str, most: int) -> bool:
     """Whether a few edits (insertion, removal, change, swap of neighbours) turn ``a`` into ``b``."""
     if a == b:
@@ -172,7 +177,7 @@ def read_entries(refs: DataFrame) -> DataFrame:
     return plain.distinct().mapInPandas(run, _ENTRY)
 
 
-_DOC = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("doi", T.StringType()), T.StructField("hash", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("names", T.ArrayType(T.StringType())), T.StructField("year", T.IntegerType())])
+_DOC = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("doi", T.StringType()), T.StructField("hash", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("names", T.ArrayType(T.StringType())), T.StructField("year", T.IntegerType()), T.StructField("title_key", T.StringType())])
 
 
 def read_documents(staging: DataFrame) -> DataFrame:
@@ -180,7 +185,9 @@ def read_documents(staging: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            yield p.assign(words=p["t"].map(title_words), names=p["a"].map(unit_surnames), year=p["year"].astype("Int32"))[_DOC.names]
+            words = p["t"].map(title_words)
+            key = words.map(lambda w: " ".join(sorted(_telling(w))) if len(_telling(w)) > 1 else None)
+            yield p.assign(words=words, names=p["a"].map(unit_surnames), year=p["year"].astype("Int32"), title_key=key)[_DOC.names]
 
     plain = staging.where(F.col("doc_id").isNotNull()).select(
         "doc_id", kind_key(F.col("doc_type")).alias("kind"), doi_key(F.col("doi")).alias("doi"), F.when(~is_missing(F.col("content_hash")), F.col("content_hash")).alias("hash"),
@@ -191,42 +198,55 @@ def read_documents(staging: DataFrame) -> DataFrame:
 
 def work_units(docs: DataFrame) -> DataFrame:
     """(doc_id, unit): documents that hold one work; ``unit`` is the least doc_id."""
-    title = F.array_join(F.array_sort(F.filter("words", lambda w: w != "…")), " ")
-    named = F.size("words") > 1
+    title = F.col("title_key")
     keys = F.array(
         F.concat(F.lit("d|"), "kind", F.lit("|"), "doi"), F.concat(F.lit("h|"), "kind", F.lit("|"), "hash"),
-        F.when(named & F.col("year").isNotNull(), F.concat(F.lit("y|"), "kind", F.lit("|"), title, F.lit("|"), F.col("year").cast("string"))),
+        F.concat(F.lit("y|"), "kind", F.lit("|"), title, F.lit("|"), F.col("year").cast("string")),
     )
-    by_name = F.transform("names", lambda n: F.when(named, F.concat(F.lit("n|"), F.col("kind"), F.lit("|"), title, F.lit("|"), n)))
+    by_name = F.transform("names", lambda n: F.concat(F.lit("n|"), F.col("kind"), F.lit("|"), title, F.lit("|"), n))
     return components_by_keys(docs.select("doc_id", F.explode(F.concat(keys, by_name)).alias("key")), "doc_id", "key", "unit")
 
 
-def _pair_keys(words: Column, most: int) -> Column:
-    """Keys of all pairs of the first ``most`` words of a list ordered by rarity."""
-    few = F.array_sort(F.slice(words, 1, most))
-    return F.flatten(F.transform(few, lambda a: F.transform(F.filter(few, lambda b: b > a), lambda b: F.concat(F.lit("w|"), a, F.lit("|"), b))))
+def _telling(words: Sequence[str]) -> list[str]:
+    """Words that name a title: no mark of a cut, no abbreviations, no words of one or two letters."""
+    return [w for w in dict.fromkeys(words) if w != "…" and not w.endswith(".") and (len(w) > 2 or w.isdigit()) and w not in _SMALL]
 
 
-def _name_keys(names: Column, words: Column) -> Column:
-    long = F.filter(words, lambda w: F.length(w) > 3)
-    return F.flatten(F.transform(names, lambda n: F.transform(long, lambda w: F.concat(F.lit("n|"), n, F.lit("|"), w))))
+def _key(kind: str, words: Iterable[str]) -> int:
+    return int.from_bytes(hashlib.blake2b((kind + "|" + " ".join(sorted(words))).encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def block_keys(words: Sequence[str], names: Sequence[str], entry: bool) -> list[int]:
+    """Keys under which an entry and a unit meet.
+
+    A surname with a title word; a surname with a slip (it or the other lacks a letter, or both do) with
+    one of the longest words; the title's words without none, one or two of them (slips, words added
+    or lost; of more than LONG_TITLE words without none or one); and for titles that were cut off, the
+    words of an entry against every beginning of a unit's title.
+    """
+    told = _telling(words)
+    long = sorted((w for w in told if len(w) > 3), key=lambda w: (-len(w), w))
+    keys = [_key("n", (n, w)) for n in names for w in long]
+    keys += [_key("s", (n[:i] + n[i + 1 :], w)) for n in names for i in range(len(n)) for w in long[:4]]
+    keys += [_key("s", (n, w)) for n in names for w in long[:4]]
+    if told:
+        keys.append(_key("t", told))
+        if len(told) > 2:
+            keys += [_key("t", told[:i] + told[i + 1 :]) for i in range(len(told))]
+        if 4 <= len(told) <= LONG_TITLE:
+            keys += [_key("t", told[:i] + told[i + 1 : j] + told[j + 1 :]) for i in range(len(told)) for j in range(i + 1, len(told))]
+        keys += [_key("p", told)] if entry and len(told) > 1 else [] if entry else [_key("p", told[:k]) for k in range(2, len(told))]
+    return sorted(set(keys))
 
 
 def candidates(entries: DataFrame, units: DataFrame) -> DataFrame:
-    """(eid, unit) pairs that share a key. ``units``: one row per unit and title. Word counts are over all units."""
-    spelled = lambda df, k: df.select(k, F.explode(F.array_distinct(F.transform("words", lambda w: F.regexp_replace(w, r"\.$", "")))).alias("w")).where("w <> '…'").distinct()
-    of_unit = spelled(units, "unit")
-    df = of_unit.groupBy("w").agg(F.count("*").alias("df"))
-    by_rarity = lambda rows, k: rows.join(df, "w").groupBy(k).agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "w"))), lambda s: s["w"]).alias("rare"))
-
-    def keyed(base: DataFrame, rare: DataFrame, k: str, most: int) -> DataFrame:
-        names = base.select(k, F.explode(_name_keys(F.col("names"), F.col("words"))).alias("key"))
-        pairs = rare.select(k, F.explode(_pair_keys(F.col("rare"), most)).alias("key"))
-        return names.unionByName(pairs).select(k, F.xxhash64("key").alias("key")).distinct()
-
-    left = keyed(entries, by_rarity(spelled(entries, "eid"), "eid"), "eid", RARE_OF_ENTRY)
-    right = keyed(units, by_rarity(of_unit, "unit"), "unit", RARE_OF_UNIT)
-    return left.join(right, "key").select("eid", "unit").distinct()
+    """(eid, unit) pairs that share a key. ``units``: one row per unit and title."""
+
+    def keyed(df: DataFrame, k: str, entry: bool) -> DataFrame:
+        keys = F.pandas_udf(lambda w, n: pd.Series([block_keys(list(a), list(b), entry) for a, b in zip(w, n)]), T.ArrayType(T.LongType()))
+        return df.select(k, F.explode(keys("words", "names")).alias("key")).distinct()
+
+    return keyed(entries, "eid", True).join(keyed(units, "unit", False), "key").select("eid", "unit").distinct()
 
 
 def score_pairs(pairs: DataFrame, entries: DataFrame, units: DataFrame) -> DataFrame:
