@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestry.plans import domain
+from attestry.plans import curation, domain, profile
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**domain.QUERIES}
-SQL: dict[str, str] = {**domain.SQL}
+_MODULES = (profile, curation, domain)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.SQL.items()}
