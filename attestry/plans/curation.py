@@ -204,7 +204,7 @@ _LANGUAGE_SQL = (
     "WITH t AS (SELECT doc_id, substr(coalesce(text,''), 1, 1500) AS t FROM documents), c AS (SELECT doc_id, t, length(regexp_replace(t, '[^\\p{L}]', '', 'g')) AS n, "
     "length(regexp_replace(t, '[^\\x{4e00}-\\x{9fff}\\x{3040}-\\x{30ff}\\x{ac00}-\\x{d7af}]', '', 'g')) AS cjk, length(regexp_replace(regexp_replace(t, '[^\\p{L}]', '', 'g'), '[^\\x{0400}-\\x{04ff}]', '', 'g')) AS cy, "
     "list_slice(regexp_extract_all(lower(t), '[a-zà-ÿ]+'), 1, 300) AS w FROM t), h AS (SELECT *, "
-    + ", ".join(f"len(list_filter(w, x -> x IN ({', '.join(repr(x) for x in v.split())}))) AS {k}_n" for k, v in classify.LANGUAGE_WORDS.items())
+    + ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in v.split())}))) AS {k}_n" for k, v in classify.LANGUAGE_WORDS.items())
     + " FROM c), b AS (SELECT *, greatest(" + ", ".join(f"{k}_n" for k in classify.LANGUAGE_WORDS) + ") AS best FROM h) SELECT doc_id, CASE WHEN n >= 12 AND cjk / n > 0.3 THEN 'cjk' WHEN n < 40 THEN 'desconocido' "
     "WHEN cy / n > 0.2 THEN 'cirilico' WHEN len(w) > 0 AND best >= 0.12 * len(w) THEN CASE " + " ".join(f"WHEN {k}_n = best THEN '{k}'" for k in classify.LANGUAGE_WORDS) + " END ELSE 'desconocido' END AS language FROM b"
 )
