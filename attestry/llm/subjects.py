@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestry.lineage import cut
+
 #: Word beginnings of each area in English, Spanish, German and French (without accents). A word is
 #: evidence if it begins so; phrases are written with a blank.
 LEXICON: dict[str, str] = {
@@ -60,7 +62,7 @@ _OPENING = re.compile(
     r"^(?:in series \w+|for batch \d+|at \d+ c|notably|by contrast|as before|in this study|en la serie \w+|ademas|en cambio|dans la serie \w+|de plus|laut reihe \w+|ergebnis \d+)\s"
 )
 _NOTE = re.compile(r"^(?:note|nota|notiz)\s+\w\d+\s*:?\s", re.I)
-_SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=[^\W\d_a-zà-ÿ]|[A-ZÀ-Ý«\d])|\n+")
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=[^\W_]|«)|\n+")
 _FUNCTIONS = ("lexicon", "words", "section", "address", "source")
 
 #: Most hand-labelled documents that the word model is fitted on, chosen by hash of doc_id.
@@ -71,20 +73,28 @@ WORD_MARGIN, SURE = 2.5, 0.6
 LEAST_SENTENCES, LEAST_SHARE = 4, 0.7
 
 
+_MARKS = re.compile("[\u0300-\u036f]")
+_WORD = re.compile(r"[^\W_]+")
+
+
+def plain(text: str) -> str:
+    """Lower case without accents."""
+    return text.casefold() if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFKD", text.casefold()))
+
+
 def words_of(sentence: str) -> str:
-    """Lower-case words without accents and digits, with a blank on both sides."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", sentence.casefold()) if not unicodedata.combining(c))
-    plain = " ".join(re.findall(r"[^\W_]+", plain))
-    return f" {_OPENING.sub('', plain + ' ').strip()} "
+    """Words of a plain sentence without its opening, with a blank on both sides."""
+    words = " ".join(_WORD.findall(sentence))
+    return f" {_OPENING.sub('', words + ' ').strip()} "
 
 
 def paragraphs_of(text: str) -> list[list[str]]:
-    """Paragraphs as lists of sentences (as :func:`words_of` gives them); a title line is no sentence.
+    """Paragraphs as lists of plain sentences (as :func:`words_of` gives them); a title line is no sentence.
 
     Lines broken inside a sentence are joined: a line that does not end a sentence goes on in the next.
     """
     out: list[list[str]] = []
-    for block in re.split(r"\n\s*\n", text):
+    for block in re.split(r"\n\s*\n", plain(text)):
         lines: list[str] = []
         for line in block.split("\n"):
             if lines and not re.search(r"[.!?:…»\"]\s*$", lines[-1]) and not _NOTE.match(lines[-1].strip()):
@@ -100,9 +110,11 @@ def paragraphs_of(text: str) -> list[list[str]]:
 
 @dataclass
 class Lexicon:
+    """Word beginnings of the areas. Of overlapping ones the longest counts."""
+
     subjects: tuple[str, ...]
-    pattern: re.Pattern
     owner: dict[str, tuple[int, ...]]
+    _automaton: object = None
 
     @classmethod
     def of(cls, subjects: Sequence[str], entries: Mapping[str, str] = LEXICON) -> Lexicon:
@@ -110,15 +122,28 @@ class Lexicon:
         for i, s in enumerate(subjects):
             for e in {e.strip() for e in entries.get(s, "").split(",") if e.strip()}:
                 owner[e].add(i)
-        longest = sorted(owner, key=lambda e: (-len(e), e))
-        return cls(tuple(subjects), re.compile(" (" + "|".join(map(re.escape, longest)) + ")" if longest else r"(?!)"), {e: tuple(sorted(v)) for e, v in owner.items()})
+        return cls(tuple(subjects), {e: tuple(sorted(v)) for e, v in owner.items()})
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_automaton": None}
+
+    def matches(self, sentence: str) -> Iterator[tuple[int, ...]]:
+        """Areas of each entry that a word or phrase of the sentence begins with."""
+        if self._automaton is None:
+            import ahocorasick
+
+            self._automaton = ahocorasick.Automaton()
+            for e, areas in self.owner.items():
+                self._automaton.add_word(f" {e}", areas)
+            self._automaton.make_automaton()
+        return (areas for _, areas in self._automaton.iter_long(sentence)) if self.owner else iter(())
 
     def vote(self, sentence: str) -> int:
         """The area with most evidence; -1 without any or with a tie."""
         score: Counter[int] = Counter()
-        for m in self.pattern.finditer(sentence):
-            for i in self.owner[m[1]]:
-                score[i] += 1 / len(self.owner[m[1]])
+        for areas in self.matches(sentence):
+            for i in areas:
+                score[i] += 1 / len(areas)
         top = score.most_common(2)
         return -1 if not top or len(top) > 1 and top[0][1] == top[1][1] else top[0][0]
 
@@ -210,6 +235,7 @@ class Accuracies:
 
     right: list[float]
     prior: list[float]
+    _known: dict = field(default_factory=dict)
 
     @classmethod
     def learn(cls, patterns: Mapping[tuple[int, ...], float], areas: int, rounds: int = 25) -> Accuracies:
@@ -231,6 +257,14 @@ class Accuracies:
             prior = [m / sum(mass) for m in mass]
         return cls(right, prior)
 
+    def best(self, votes: tuple[int, ...]) -> tuple[int, float]:
+        """The likeliest area and its probability."""
+        if votes not in self._known:
+            p = self.posterior(votes)
+            i = max(range(len(p)), key=p.__getitem__)
+            self._known[votes] = i, p[i]
+        return self._known[votes]
+
     def posterior(self, votes: Sequence[int]) -> list[float]:
         areas = len(self.prior)
         logs = [math.log(p) for p in self.prior]
@@ -249,9 +283,8 @@ def areas_of(votes: list[list[tuple[int, ...]]], model: Accuracies) -> dict[int,
     for rows in votes:
         told: list[tuple[int, float]] = []  # -1: a sentence that says nothing about the area
         for row in rows:
-            p = model.posterior(row) if max(row[:2]) >= 0 else [0.0]
-            i = max(range(len(p)), key=p.__getitem__)
-            told.append((i, p[i]) if p[i] >= SURE else (-1, 0.0))
+            i, p = model.best(row) if max(row[:2]) >= 0 else (-1, 0.0)
+            told.append((i, p) if p >= SURE else (-1, 0.0))
         n = Counter(i for i, _ in told if i >= 0)
         last = max((k for k, (i, _) in enumerate(told) if i >= 0), default=-1)
         for i, count in n.items():
@@ -287,8 +320,8 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Da
 
     Null, empty and blank texts, and texts without any area, give no row; a doc_id in several rows gives
     the areas of all of them once; null subjects are ignored; without labels the word model and the
-    address and source functions abstain. The corpus is read twice, whole: once to count how the
-    functions agree (a bounded number of vote patterns goes to the driver) and once to assign.
+    address and source functions abstain. Every text is judged whole and once; the votes
+    are kept, counted by pattern (a bounded number of patterns goes to the driver), and assigned.
     """
     names = [r[0] for r in subjects.where(F.col("subject").isNotNull()).groupBy("subject").agg(F.min("subject_no").alias("n")).orderBy("n", "subject").select("subject").collect()]
     schema = T.StructType([docs.schema["doc_id"], T.StructField("subject", T.StringType()), T.StructField("probability", T.DoubleType())])
@@ -296,31 +329,40 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Da
         return docs.sparkSession.createDataFrame([], schema)
     judges = docs.sparkSession.sparkContext.broadcast(fit_judges(docs, labels, names))
     base = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "container", "source")
-    patterns = base.mapInArrow(_count_patterns(judges), "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
-    model = Accuracies.learn({tuple(map(int, r.votes.split(","))): r.n for r in patterns}, len(names))
-    found = base.mapInArrow(_assign(judges, model, names, schema.names), schema)
+    voted = T.StructType([docs.schema["doc_id"], T.StructField("votes", T.StringType())])
+    votes = cut(base.mapInArrow(_vote(judges, voted.names), voted))  # each text is judged once
+    patterns = votes.select(F.explode(F.split("votes", "[;|]")).alias("v")).where("v <> '-'").groupBy("v").agg(F.count("*").alias("n")).collect()
+    model = Accuracies.learn({tuple(map(int, r.v.split(","))): r.n for r in patterns}, len(names))
+    found = votes.mapInArrow(_assign(model, names, schema.names), schema)
     return found.groupBy("doc_id", "subject").agg(F.max("probability").alias("probability"))
 
 
-def _count_patterns(judges):
+def _vote(judges, names: list[str]):
+    """(doc_id, votes): paragraphs parted by ``|``, sentences by ``;``, functions by commas; ``-`` for a
+    sentence without a vote. Texts without any vote are left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter[tuple[int, ...]] = Counter()
         for batch in batches:
-            _, texts, containers, sources = (c.to_pylist() for c in batch.columns)
-            for t, c, s in zip(texts, containers, sources):
-                for rows in judges.value.votes(paragraphs_of(t), c, s):
-                    count.update(r for r in rows if max(r[:2]) >= 0)
-        if count:
-            yield pa.RecordBatch.from_arrays([pa.array([",".join(map(str, k)) for k in count]), pa.array(list(count.values()), pa.int64())], names=["votes", "n"])
+            ids, out = [], []
+            for d, t, c, s in zip(*(col.to_pylist() for col in batch.columns)):
+                rows = judges.value.votes(paragraphs_of(t), c, s)
+                if any(max(r[:2]) >= 0 for p in rows for r in p):
+                    ids.append(d)
+                    out.append("|".join(";".join(",".join(map(str, r)) if max(r[:2]) >= 0 else "-" for r in p) for p in rows))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(out, pa.string())], names=names)
 
     return run
 
 
-def _assign(judges, model: Accuracies, subjects: list[str], names: list[str]):
+def _assign(model: Accuracies, subjects: list[str], names: list[str]):
+    none = (-1,) * len(_FUNCTIONS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, containers, sources = (c.to_pylist() for c in batch.columns)
-            rows = [(d, subjects[i], p) for d, t, c, s in zip(ids, texts, containers, sources) for i, p in areas_of(judges.value.votes(paragraphs_of(t), c, s), model).items()]
+            rows = []
+            for d, v in zip(*(col.to_pylist() for col in batch.columns)):
+                votes = [[none if r == "-" else tuple(map(int, r.split(","))) for r in p.split(";")] for p in v.split("|")]
+                rows += [(d, subjects[i], p) for i, p in areas_of(votes, model).items()]
             if rows:
                 a, b, c = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(a, batch.column(0).type), pa.array(b, pa.string()), pa.array(c, pa.float64())], names=names)
