@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestry.plans import curation, domain, profile, retrieval
+from attestry.plans import curation, domain, modelling, profile, retrieval, streams
 
-_MODULES = (profile, curation, domain, retrieval)
+_MODULES = (profile, curation, domain, retrieval, modelling, streams)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.SQL.items()}
