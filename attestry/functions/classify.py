@@ -94,6 +94,11 @@ TOPIC_LEAST, TOPIC_SECOND = 4, 0.6
 I = "(?iU)"  # noqa: E741 - case-blind, with Unicode word classes
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def text_of(*cols: Column) -> list[Column]:
     return [F.coalesce(c, F.lit("")) for c in cols]
 
@@ -135,15 +140,12 @@ def language(text: Column) -> Column:
     cjk = F.regexp_count(t, F.lit(r"[\x{4e00}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}]"))
     cyrillic = F.regexp_count(t, F.lit(r"(?=\p{L})[\x{0400}-\x{04ff}]"))
     words = F.slice(F.regexp_extract_all(F.lower(t), F.lit(r"[a-zà-ÿ]+"), F.lit(0)), 1, 300)
-    hits = [(k, F.size(F.filter(words, _among(v.split())))) for k, v in LANGUAGE_WORDS.items()]
-    best = F.greatest(*[h for _, h in hits])
-    name = F.lit(None).cast("string")
-    for k, h in reversed(hits):
-        name = F.when(h == best, F.lit(k)).otherwise(name)
-    return (
-        F.when((letters >= 12) & (cjk / letters > 0.3), "cjk").when(letters < 40, "desconocido").when(cyrillic / letters > 0.2, "cirilico")
-        .when((F.size(words) > 0) & (best >= 0.12 * F.size(words)), name).otherwise("desconocido")
-    )
+
+    def vote(w: Column) -> Column:
+        hits = F.array(*[F.struct(F.size(F.filter(w, _among(v.split()))).alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, (k, v) in enumerate(LANGUAGE_WORDS.items())])
+        return let(F.array_max(hits), lambda best: F.when((F.size(w) > 0) & (best["n"] >= 0.12 * F.size(w)), best["k"]).otherwise("desconocido"))
+
+    return F.when((letters >= 12) & (cjk / letters > 0.3), "cjk").when(letters < 40, "desconocido").when(cyrillic / letters > 0.2, "cirilico").otherwise(let(words, vote))
 
 
 def is_table_line(line: Column) -> Column:
@@ -158,9 +160,11 @@ def tokens(text: Column) -> Column:
 
 
 def topic_scores(text: Column, section: Column) -> dict[str, Column]:
+    # lower case on both sides: matching without regard to case is slow
+    text, section = F.lower(text), F.lower(F.coalesce(section, F.lit("")))
     out = {}
     for topic, rules in TOPICS.items():
-        parts = [F.least(F.regexp_count(text, F.lit(I + p)), F.lit(3)) * w + F.when(F.coalesce(section, F.lit("")).rlike(I + p), 2 * w).otherwise(0) for p, w in rules]
+        parts = [F.least(F.regexp_count(text, F.lit("(?U)" + p.lower())), F.lit(3)) * w + F.when(section.rlike("(?U)" + p.lower()), 2 * w).otherwise(0) for p, w in rules]
         out[topic] = sum(parts[1:], parts[0]).cast("int")
     return out
 
@@ -168,10 +172,13 @@ def topic_scores(text: Column, section: Column) -> dict[str, Column]:
 def top_topics(scores: dict[str, Column]) -> Column:
     """Struct of the first and second topic; null under the threshold. Ties go to declaration order."""
     ranked = F.array_sort(F.array(*[F.struct((-s).alias("s"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, (k, s) in enumerate(scores.items())]))
-    one, two = ranked[0], ranked[1]
-    first = F.when(-one["s"] >= TOPIC_LEAST, one["k"])
-    second = F.when(first.isNotNull() & (-two["s"] >= TOPIC_LEAST) & (-two["s"] >= TOPIC_SECOND * -one["s"]), two["k"])
-    return F.struct(first.alias("subtopic"), second.alias("subtopic_secondary"))
+
+    def pick(r: Column) -> Column:
+        first = F.when(-r[0]["s"] >= TOPIC_LEAST, r[0]["k"])
+        second = F.when((-r[0]["s"] >= TOPIC_LEAST) & (-r[1]["s"] >= TOPIC_LEAST) & (-r[1]["s"] >= TOPIC_SECOND * -r[0]["s"]), r[1]["k"])
+        return F.struct(first.alias("subtopic"), second.alias("subtopic_secondary"))
+
+    return let(ranked, pick)
 
 
 def evidence_type(section: Column, doc_type: Column, is_table: Column) -> Column:

@@ -133,7 +133,8 @@ def chunk(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "doc_type")) -> Da
 def label(chunks: DataFrame) -> DataFrame:
     """Pieces with topic, second topic, kind of evidence, language and quality marks, all in the JVM."""
     text, section = F.col("text"), F.col("section")
-    scored = chunks.withColumn("_t", classify.top_topics(classify.topic_scores(text, section))).withColumn("is_table", classify.is_table_line(F.trim(text)))
+    # a generator of one row: what it makes is computed once, whatever reads it
+    scored = chunks.select("*", F.explode(F.array(classify.top_topics(classify.topic_scores(text, section)))).alias("_t")).withColumn("is_table", classify.is_table_line(F.trim(text)))
     structural = F.col("doc_type").isin("structure", "prediction")
     return scored.select(
         *chunks.columns, "is_table", F.when(~structural, F.col("_t.subtopic")).alias("subtopic"), F.when(~structural, F.col("_t.subtopic_secondary")).alias("subtopic_secondary"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attestry.functions import classify
 from attestry.functions.keys import content_key, doi_plain
 from attestry.operators import chunking, dedup, merge
-from attestry.tables import read
+from attestry.tables import read, spread
 
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+\.[A-Za-z0-9.\-]+"
 EMAIL_MASK = "[correo omitido]"
@@ -26,7 +26,7 @@ def corpus_slice(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", F.col("lang"), clean_text(F.col("text")).alias("full_text"))
     first = docs.groupBy(F.sha2("full_text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"))
     kept = docs.join(first.select("doc_id"), "doc_id", "left_semi")
-    pieces = kept.withColumn("_c", chunking.chunks_of(F.lit(""), F.lit(""), F.col("full_text")))
+    pieces = spread(kept).withColumn("_c", chunking.chunks_of(F.lit(""), F.lit(""), F.col("full_text")))
     return pieces.groupBy(F.coalesce("lang", F.lit("?")).alias("lang")).agg(F.count("*").alias("docs"), F.sum(F.size(F.filter("_c", lambda c: c["reason"].isNull()))).alias("pieces"))
 
 
@@ -62,16 +62,16 @@ def license_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def languages(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", classify.language(F.col("text")).alias("language"))
+    return spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", classify.language(F.col("text")).alias("language"))
 
 
 def relevance(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents_staging").select("doc_id", classify.relevance(F.col("title"), F.col("abstract"), F.col("full_text")).alias("relevance")).distinct()
+    return spread(read(spark, d, "documents_staging").select("doc_id", "doc_type", "title", "abstract", "full_text")).select("doc_id", classify.relevance(F.col("title"), F.col("abstract"), F.col("full_text")).alias("relevance")).distinct()
 
 
 def document_relevance(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
-    return read(spark, d, "documents_staging").select("doc_id", classify.document_relevance(c("doc_type"), c("title"), c("abstract"), c("full_text")).alias("relevance")).distinct()
+    return spread(read(spark, d, "documents_staging").select("doc_id", "doc_type", "title", "abstract", "full_text")).select("doc_id", classify.document_relevance(c("doc_type"), c("title"), c("abstract"), c("full_text")).alias("relevance")).distinct()
 
 
 def suspicious_years(spark: SparkSession, d: str) -> DataFrame:
@@ -85,13 +85,13 @@ def evidence_types(spark: SparkSession, d: str) -> DataFrame:
 
 
 def topic_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "documents_curated")
+    rows = spread(read(spark, d, "documents_curated").select("chunk_id", "section", "text"))
     return rows.select("chunk_id", *[s.alias(k) for k, s in classify.topic_scores(F.coalesce("text", F.lit("")), F.col("section")).items()]).distinct()
 
 
 def topics(spark: SparkSession, d: str) -> DataFrame:
     """First and second topic of every curated piece."""
-    rows = read(spark, d, "documents_curated").where(F.col("text").isNotNull())
+    rows = spread(read(spark, d, "documents_curated").select("chunk_id", "section", "text")).where(F.col("text").isNotNull())
     return rows.select("chunk_id", classify.top_topics(classify.topic_scores(F.col("text"), F.col("section"))).alias("t")).select("chunk_id", "t.*").distinct()
 
 
@@ -103,7 +103,7 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of every surviving staging document."""
     staging = read(spark, d, "documents_staging")
     kept = staging.dropDuplicates(["doc_id"]).join(dedup.deduplicate(staging).select("doc_id"), "doc_id", "left_semi")
-    return chunking.chunk(kept)
+    return chunking.chunk(spread(kept.select("doc_id", "doc_type", "title", "abstract", "full_text")))
 
 
 def chunk_labels(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attestry.functions.classify import text_of
 from attestry.operators import facts, topics
 from attestry.streaming import events as ev
-from attestry.tables import read, with_timestamps
+from attestry.tables import read, spread, with_timestamps
 
 KINDS = {"arrival": "view", "completion": "purchase", "failure": "error"}
 
@@ -92,12 +92,12 @@ def topic_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def tf_idf_terms(spark: SparkSession, d: str) -> DataFrame:
     """Term weights of every document."""
-    return topics.tf_idf(read(spark, d, "documents"), "doc_id", "text").select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    return topics.tf_idf(spread(read(spark, d, "documents").select("doc_id", "text")), "doc_id", "text").select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 def factor_topics(spark: SparkSession, d: str) -> DataFrame:
     """Six non-negative factors: their terms and exemplary documents."""
-    weights = topics.tf_idf(read(spark, d, "documents"), "doc_id", "text")
+    weights = topics.tf_idf(spread(read(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
     rows, h, terms = topics.factorise(weights, "doc_id", 6)
     names = spark.createDataFrame(topics.top_terms(h, terms) or [], "topic int, place int, term string")
     best = topics.exemplars(rows, "doc_id")

@@ -12,6 +12,13 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """At least a task per core for work that is heavy per row. A table of few files is dealt out
+    anew; one that has tasks enough, as any large one, stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def with_timestamps(df: DataFrame) -> DataFrame:
     """Time stamps without zone as plain time stamps, which watermarks ask for."""
     ntz = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
