@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.llm import folding, fusion, leaks, markup, matching, pieces, splits, subjects, tokens
-from attestry.tables import read
+from attestry.tables import read, spread
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,20 +18,20 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Sections over the size limit."""
-    return pieces.oversized_sections(spark.read.parquet(f"{d}/documents_staging.parquet"))
+    return pieces.oversized_sections(spread(spark.read.parquet(f"{d}/documents_staging.parquet").select("doc_id", "full_text")))
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of those sections."""
-    return pieces.split_oversized(spark.read.parquet(f"{d}/documents_staging.parquet"))
+    return pieces.split_oversized(spread(spark.read.parquet(f"{d}/documents_staging.parquet").select("doc_id", "full_text")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Values that look the same but differ in their characters."""
     staging, curated, facts = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents_staging", "documents_curated", "mutant_stability"))
-    out = folding.same_looking_pairs(staging, "doc_id", "full_text", "documents_staging.full_text")
+    out = folding.same_looking_pairs(spread(staging.select("doc_id", "full_text")), "doc_id", "full_text", "documents_staging.full_text")
     out = out.unionByName(folding.same_looking_pairs(curated, "chunk_id", "chunk_id", "documents_curated.chunk_id"))
-    return out.unionByName(folding.same_looking_pairs(facts, "record_id", "evidence_span", "mutant_stability.evidence_span"))
+    return out.unionByName(folding.same_looking_pairs(spread(facts.select("record_id", "evidence_span")), "record_id", "evidence_span", "mutant_stability.evidence_span"))
 
 
 def p3_forms(spark: SparkSession, d: str) -> DataFrame:
@@ -69,22 +69,22 @@ MARKED_FIELDS = ("title", "abstract", "full_text")
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Kinds of markup residue per document and field."""
-    return markup.residue(spark.read.parquet(f"{d}/documents_staging.parquet"), "doc_id", MARKED_FIELDS)
+    return markup.residue(spread(spark.read.parquet(f"{d}/documents_staging.parquet").select("doc_id", *MARKED_FIELDS)), "doc_id", MARKED_FIELDS)
 
 
 def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     """Title, abstract and full text of every row as clean text."""
-    return markup.clean_fields(spark.read.parquet(f"{d}/documents_staging.parquet"), "doc_id", MARKED_FIELDS).select("doc_id", "field_name", "clean")
+    return markup.clean_fields(spread(spark.read.parquet(f"{d}/documents_staging.parquet").select("doc_id", *MARKED_FIELDS)), "doc_id", MARKED_FIELDS).select("doc_id", "field_name", "clean")
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
-    return tokens.encode_corpus(spark.read.parquet(f"{d}/documents.parquet"))
+    return tokens.encode_corpus(spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that carry evaluation items."""
-    return leaks.leaked_items(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/eval_items.parquet")).select("doc_id", "item_id")
+    return leaks.leaked_items(spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")), spark.read.parquet(f"{d}/eval_items.parquet")).select("doc_id", "item_id")
 
 
 def p10_areas(spark: SparkSession, d: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestry.lineage import cut
+from attestry.tables import spread
 
 #: Word beginnings of each area in English, Spanish, German and French (without accents). A word is
 #: evidence if it begins so; phrases are written with a blank.
@@ -330,6 +331,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> Da
         return docs.sparkSession.createDataFrame([], schema)
     judges = docs.sparkSession.sparkContext.broadcast(fit_judges(docs, labels, names))
     base = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "container", "source")
+    base = spread(base)
     voted = T.StructType([docs.schema["doc_id"], T.StructField("votes", T.StringType())])
     votes = cut(base.mapInArrow(_vote(judges, voted.names), voted))  # each text is judged once
     patterns = votes.select(F.explode(F.split("votes", "[;|]")).alias("v")).where("v <> '-'").groupBy("v").agg(F.count("*").alias("n")).collect()
