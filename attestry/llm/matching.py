@@ -28,6 +28,7 @@ from attestry.lineage import cut
 from attestry.llm import markup
 from attestry.llm.folding import canonical
 from attestry.operators.components import components_by_keys
+from attestry.tables import spread
 
 #: Words of a reference that do not belong to the title, and words that make it another work.
 _NOISE = frozenset("the on a an in press preprint forthcoming erschienen".split())
@@ -36,6 +37,8 @@ _NO_AUTHOR = frozenset({"", "anon", "anonymous", "anonym", "unknown", "various",
 #: Words that make no key, and words from which a title leaves out one word at most.
 _SMALL = frozenset("the and for from with der die das und des del las los les sur sobre por une una".split())
 LONG_TITLE = 24
+#: Least share of an entry's words that stand in the unit's title to the letter.
+ALIKE = 0.4
 #: Least marginal of a match, rounds at most, and change at which messages stand still.
 CONFIDENCE, ROUNDS, STILL = 0.6, 8, 0.01
 
@@ -246,12 +249,15 @@ def candidates(entries: DataFrame, units: DataFrame) -> DataFrame:
         keys = F.pandas_udf(lambda w, n: pd.Series([block_keys(list(a), list(b), entry) for a, b in zip(w, n)]), T.ArrayType(T.LongType()))
         return df.select(k, F.explode(keys("words", "names")).alias("key")).distinct()
 
-    return keyed(entries, "eid", True).join(keyed(units, "unit", False), "key").select("eid", "unit").distinct()
+    # exploded keys are far more than the planner takes them for, so neither side may be broadcast
+    return keyed(entries, "eid", True).hint("merge").join(keyed(units, "unit", False), "key").select("eid", "unit").distinct()
 
 
 def score_pairs(pairs: DataFrame, entries: DataFrame, units: DataFrame) -> DataFrame:
     """(eid, unit, odds) of each candidate pair: the best over the unit's titles."""
     wide = pairs.join(entries, "eid").join(units.select("unit", F.col("words").alias("u_words"), F.col("all_names").alias("u_names"), F.col("years").alias("u_years")), "unit")
+    # no title reaches a match with fewer of its words spelled alike
+    wide = wide.where(F.size(F.array_intersect("words", "u_words")) >= ALIKE * F.size("words"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -300,13 +306,13 @@ def match_references(refs: DataFrame, staging: DataFrame, confidence: float = CO
     ref_id with two entries can match two works; repeated rows count once; null ids are ignored; empty
     tables give an empty result. All entries meet all works through the keys, without a cap.
     """
-    docs = cut(read_documents(staging))
+    docs = cut(read_documents(spread(staging)))
     member = cut(work_units(docs))
     per_doc = docs.join(member, "doc_id")
     whole = per_doc.groupBy("unit").agg(F.array_distinct(F.flatten(F.collect_set("names"))).alias("all_names"), F.collect_set("year").alias("years"))
     titles = per_doc.select("unit", "words").where(F.size("words") > 0).distinct()
     units = cut(titles.join(whole, "unit").withColumn("names", F.col("all_names")))
-    entries = cut(read_entries(refs).where(F.size("words") > 0).withColumn("eid", F.xxhash64("ref_id", "words", "names", "year")))
+    entries = cut(read_entries(spread(refs)).where(F.size("words") > 0).withColumn("eid", F.xxhash64("ref_id", "words", "names", "year")))
     pairs = candidates(entries, units)
     edges = score_pairs(pairs, entries.select("eid", "words", "names", "year").distinct(), units).where(F.col("odds") > -4)
     found = propagate(edges).where(F.col("marginal") >= confidence)
