@@ -64,6 +64,7 @@ _OPENING = re.compile(
 )
 _NOTE = re.compile(r"^(?:note|nota|notiz)\s+\w\d+\s*:?\s", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=[^\W_]|«)|\n+")
+_ENDS = frozenset(".!?:…»\"")
 _FUNCTIONS = ("lexicon", "words", "section", "address", "source")
 
 #: Most hand-labelled documents that the word model is fitted on, chosen by hash of doc_id.
@@ -96,14 +97,14 @@ def paragraphs_of(text: str) -> list[list[str]]:
     """
     out: list[list[str]] = []
     for block in re.split(r"\n\s*\n", plain(text)):
-        lines: list[str] = []
+        lines: list[list[str]] = []
         for line in block.split("\n"):
-            if lines and not re.search(r"[.!?:…»\"]\s*$", lines[-1]) and not _NOTE.match(lines[-1].strip()):
-                lines[-1] += " " + line
+            if lines and lines[-1][-1].rstrip()[-1:] not in _ENDS and not (len(lines[-1]) == 1 and _NOTE.match(lines[-1][0].strip())):
+                lines[-1].append(line)
             else:
-                lines.append(line)
-        for line in lines:
-            sentences = [w for s in _SENTENCE.split(line) if s and not (_NOTE.match(s.strip()) and len(s) < 80 and not re.search(r"[.!?]\s*$", s)) and len(w := words_of(s)) > 2]
+                lines.append([line])
+        for parts in lines:
+            sentences = [w for s in _SENTENCE.split(" ".join(parts)) if s and not (_NOTE.match(s.strip()) and len(s) < 80 and not re.search(r"[.!?]\s*$", s)) and len(w := words_of(s)) > 2]
             if sentences:
                 out.append(sentences)
     return out
