@@ -1,8 +1,8 @@
 """Matching of hand-kept references to documents without a shared identifier (problem 6).
 
 Documents that hold one work are one unit (same DOI and kind, same content, or same title with a common
-author or year). A reference and a unit are a candidate pair if they share an author's surname and a
-title word, or a title but for two words, or the beginning of one. A pair's log-odds come from title, authors and year,
+author or year). A reference and a unit are a candidate pair if they share an author's surname and two
+title words, or a title but for two words, or the beginning of one. A pair's log-odds come from title, authors and year,
 each of which may be missing. Loopy belief propagation then weighs all pairs together: an entry names
 at most one work (its candidates exclude each other), and a work is listed by one group of entries, so
 entries that have it as their best candidate stand together against those that do not. Messages go
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator, Sequence
@@ -37,6 +38,8 @@ _NO_AUTHOR = frozenset({"", "anon", "anonymous", "anonym", "unknown", "various",
 #: Words that make no key, and words from which a title leaves out one word at most.
 _SMALL = frozenset("the and for from with der die das und des del las los les sur sobre por une una".split())
 LONG_TITLE = 24
+#: Longest words of a title that go with a name, and with a name that may have a slip.
+NAME_WORDS, SLIP_WORDS = 6, 3
 #: Least share of an entry's words that stand in the unit's title to the letter.
 ALIKE = 0.4
 #: Least marginal of a match, rounds at most, and change at which messages stand still.
@@ -222,16 +225,18 @@ def _key(kind: str, words: Iterable[str]) -> int:
 def block_keys(words: Sequence[str], names: Sequence[str], entry: bool) -> list[int]:
     """Keys under which an entry and a unit meet.
 
-    A surname with a title word; a surname with a slip (it or the other lacks a letter, or both do) with
-    one of the longest words; the title's words without none, one or two of them (slips, words added
+    A surname with two of the title's longest words; a surname with a slip (it or the other lacks a
+    letter, or both do) with two of the very longest; the title's words without none, one or two of them (slips, words added
     or lost; of more than LONG_TITLE words without none or one); and for titles that were cut off, the
     words of an entry against every beginning of a unit's title.
     """
     told = _telling(words)
     long = sorted((w for w in told if len(w) > 3), key=lambda w: (-len(w), w))
-    keys = [_key("n", (n, w)) for n in names for w in long]
-    keys += [_key("s", (n[:i] + n[i + 1 :], w)) for n in names for i in range(len(n)) for w in long[:4]]
-    keys += [_key("s", (n, w)) for n in names for w in long[:4]]
+    # a name alone, or with one word, can be shared by a third of all rows; with two words it tells
+    pairs = list(itertools.combinations(long[:NAME_WORDS], 2)) or [(w,) for w in long]
+    keys = [_key("n", (n, *p)) for n in names for p in pairs]
+    slips = list(itertools.combinations(long[:SLIP_WORDS], 2)) or [(w,) for w in long]
+    keys += [_key("s", (m, *p)) for n in names for m in [n, *(n[:i] + n[i + 1 :] for i in range(len(n)))] for p in slips]
     if told:
         keys.append(_key("t", told))
         if len(told) > 2:
@@ -258,6 +263,9 @@ def score_pairs(pairs: DataFrame, entries: DataFrame, units: DataFrame) -> DataF
     wide = pairs.join(entries, "eid").join(units.select("unit", F.col("words").alias("u_words"), F.col("all_names").alias("u_names"), F.col("years").alias("u_years")), "unit")
     # no title reaches a match with fewer of its words spelled alike
     wide = wide.where(F.size(F.array_intersect("words", "u_words")) >= ALIKE * F.size("words"))
+    # nor does any pair whose years are known and more than two apart, by its log-odds
+    years = F.array_compact("u_years")
+    wide = wide.where(F.col("year").isNull() | (F.size(years) == 0) | F.exists(years, lambda y: F.abs(y - F.col("year")) <= 2))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
