@@ -42,6 +42,8 @@ LONG_TITLE = 24
 NAME_WORDS, SLIP_WORDS = 6, 3
 #: Least share of an entry's words that stand in the unit's title to the letter.
 ALIKE = 0.4
+#: Log-odds under which a pair is no rival either, so that many weak pairs do not outweigh a good one.
+WEAK = -1.0
 #: Least marginal of a match, rounds at most, and change at which messages stand still.
 CONFIDENCE, ROUNDS, STILL = 0.6, 8, 0.01
 
@@ -248,31 +250,31 @@ def block_keys(words: Sequence[str], names: Sequence[str], entry: bool) -> list[
 
 
 def candidates(entries: DataFrame, units: DataFrame) -> DataFrame:
-    """(eid, unit) pairs that share a key. ``units``: one row per unit and title."""
+    """(eid, uid) pairs that share a key: entries and descriptions of units, not whole units, so a work
+    that a third of all documents hold meets an entry only under the descriptions that are near it."""
 
     def keyed(df: DataFrame, k: str, entry: bool) -> DataFrame:
         keys = F.pandas_udf(lambda w, n: pd.Series([block_keys(list(a), list(b), entry) for a, b in zip(w, n)]), T.ArrayType(T.LongType()))
         return df.select(k, F.explode(keys("words", "names")).alias("key")).distinct()
 
     # exploded keys are far more than the planner takes them for, so neither side may be broadcast
-    return keyed(entries, "eid", True).hint("merge").join(keyed(units, "unit", False), "key").select("eid", "unit").distinct()
+    return keyed(entries, "eid", True).hint("merge").join(keyed(units, "uid", False), "key").select("eid", "uid").distinct()
 
 
 def score_pairs(pairs: DataFrame, entries: DataFrame, units: DataFrame) -> DataFrame:
-    """(eid, unit, odds) of each candidate pair: the best over the unit's titles."""
-    wide = pairs.join(entries, "eid").join(units.select("unit", F.col("words").alias("u_words"), F.col("all_names").alias("u_names"), F.col("years").alias("u_years")), "unit")
+    """(eid, unit, odds) of each candidate pair: the best over the unit's descriptions."""
+    wide = pairs.join(entries, "eid").join(units.select("uid", "unit", F.col("words").alias("u_words"), F.col("names").alias("u_names"), F.col("year").alias("u_year")), "uid")
     # no title reaches a match with fewer of its words spelled alike
     wide = wide.where(F.size(F.array_intersect("words", "u_words")) >= ALIKE * F.size("words"))
     # nor does any pair whose years are known and more than two apart, by its log-odds
-    years = F.array_compact("u_years")
-    wide = wide.where(F.col("year").isNull() | (F.size(years) == 0) | F.exists(years, lambda y: F.abs(y - F.col("year")) <= 2))
+    wide = wide.where(F.col("year").isNull() | F.col("u_year").isNull() | (F.abs(F.col("u_year") - F.col("year")) <= 2))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             out = []
-            for w, n, y, uw, un, uy in zip(p["words"], p["names"], p["year"], p["u_words"], p["u_names"], p["u_years"]):
+            for w, n, y, uw, un, uy in zip(p["words"], p["names"], p["year"], p["u_words"], p["u_names"], p["u_year"]):
                 w, uw = list(w), list(uw)
-                gaps = [] if y is None or pd.isna(y) else [abs(y - u) for u in uy]
+                gaps = [] if pd.isna(y) or pd.isna(uy) else [abs(y - uy)]
                 other = bool(_OTHER_WORK & set(w[:2])) != bool(_OTHER_WORK & set(uw[:2]))
                 # authors and year bound the odds, so most titles need no comparison
                 names = author_agreement(list(n), list(un))
@@ -282,7 +284,7 @@ def score_pairs(pairs: DataFrame, entries: DataFrame, units: DataFrame) -> DataF
                 out.append(log_odds(title_agreement(w, uw), names, gaps, other))
             yield pd.DataFrame({"eid": p["eid"], "unit": p["unit"], "odds": out})
 
-    schema = T.StructType([pairs.schema["eid"], pairs.schema["unit"], T.StructField("odds", T.DoubleType())])
+    schema = T.StructType([pairs.schema["eid"], units.schema["unit"], T.StructField("odds", T.DoubleType())])
     return wide.mapInPandas(run, schema).groupBy("eid", "unit").agg(F.max("odds").alias("odds"))
 
 
@@ -294,7 +296,8 @@ def propagate(edges: DataFrame, rounds: int = ROUNDS, still: float = STILL) -> D
         per_entry = state.groupBy("eid").agg(F.sum(heard).alias("s"), F.max(F.struct(F.col("odds") + F.col("beta"), "unit")).alias("top"))
         one = state.join(per_entry, "eid").withColumn("new_alpha", -F.log1p(F.greatest(F.lit(0.0), F.col("s") - heard))).withColumn("own", F.col("top.unit") == F.col("unit"))
         told = F.exp(F.least(F.col("odds") + F.col("new_alpha"), F.lit(30.0)))
-        per_unit = one.groupBy("unit").agg(F.max(F.when(F.col("own"), told)).alias("held"), F.sum(F.when(~F.col("own"), told)).alias("rivals"))
+        # the strongest of the other side speaks for it, however many there are
+        per_unit = one.groupBy("unit").agg(F.max(F.when(F.col("own"), told)).alias("held"), F.max(F.when(~F.col("own"), told)).alias("rivals"))
         both = one.select("eid", "unit", "odds", "beta", "alpha", "new_alpha", "own").join(per_unit, "unit")
         against = F.coalesce(F.when(F.col("own"), F.col("rivals")).otherwise(F.col("held")), F.lit(0.0))
         new_beta = 0.5 * F.col("beta") - 0.5 * F.log1p(against)
@@ -317,12 +320,14 @@ def match_references(refs: DataFrame, staging: DataFrame, confidence: float = CO
     docs = cut(read_documents(spread(staging)))
     member = cut(work_units(docs))
     per_doc = docs.join(member, "doc_id")
-    whole = per_doc.groupBy("unit").agg(F.array_distinct(F.flatten(F.collect_set("names"))).alias("all_names"), F.collect_set("year").alias("years"))
-    titles = per_doc.select("unit", "words").where(F.size("words") > 0).distinct()
-    units = cut(titles.join(whole, "unit").withColumn("names", F.col("all_names")))
+    # a document without authors or year has those that most documents of its work have
+    usual = lambda c, there: per_doc.where(there).groupBy("unit", c).agg(F.count("*").alias("n")).groupBy("unit").agg(F.max(F.struct("n", c)).alias("u")).select("unit", F.col(f"u.{c}").alias(f"usual_{c}"))
+    known = per_doc.where(F.size("words") > 0).join(usual("names", F.size("names") > 0), "unit", "left").join(usual("year", F.col("year").isNotNull()), "unit", "left")
+    filled = known.select("unit", "words", F.when(F.size("names") > 0, F.col("names")).otherwise(F.coalesce("usual_names", "names")).alias("names"), F.coalesce("year", "usual_year").alias("year"))
+    units = cut(filled.withColumn("uid", F.xxhash64("unit", "words", "names", "year")).dropDuplicates(["uid"]))
     entries = cut(read_entries(spread(refs)).where(F.size("words") > 0).withColumn("eid", F.xxhash64("ref_id", "words", "names", "year")))
     pairs = candidates(entries, units)
-    edges = score_pairs(pairs, entries.select("eid", "words", "names", "year").distinct(), units).where(F.col("odds") > -4)
+    edges = score_pairs(pairs, entries.select("eid", "words", "names", "year").distinct(), units).where(F.col("odds") > WEAK)
     found = propagate(edges).where(F.col("marginal") >= confidence)
     named = entries.select("ref_id", "eid").join(found, "eid")
     return named.join(member, "unit").groupBy("ref_id", "doc_id").agg(F.max("marginal").alias("confidence"))
