@@ -181,6 +181,16 @@ def test_topics(spark):
     assert topics.factorise(weights.limit(0), "doc_id", 2)[2] == []
 
 
+def test_topics_use_every_term(spark, monkeypatch):
+    weights = spark.range(20_600).select((F.col("id") % 7).alias("doc_id"), F.format_string("t%06d", "id").alias("term"), F.lit(0.1).alias("weight"))
+    _, h, terms = topics.factorise(weights, "doc_id", 2, rounds=1)
+    assert len(terms) == h.shape[1] == 20_600 and (h.sum(axis=0) > 0).all()
+    few = weights.where("term < 't000300'")
+    whole = topics.factorise(few, "doc_id", 2, rounds=2)[1]
+    monkeypatch.setattr(topics, "SUM_BYTES", 8 * 2 * 4 * 37)  # sums in blocks of 37 columns
+    assert abs(topics.factorise(few, "doc_id", 2, rounds=2)[1] - whole).max() < 1e-12
+
+
 def test_sentences_and_names():
     assert sentences("As in Fig. 4 it rose. Then it fell; see al. 2010.") == ["As in Fig. 4 it rose.", "Then it fell", "see al. 2010."]
     assert mutations_in("Ser121Glu and D186H, again S121E") == ["S121E", "D186H"]
