@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import random
+import time
 import unicodedata
 
 import pytest
@@ -211,6 +212,26 @@ def test_navigation_is_dropped_and_long_text_ends():
         markup.clean(odd)
 
 
+def test_long_residue_is_turned():
+    long = "long words of it " * 400 + "end"
+    for text in (f"**{long}**", f"_{long}_", f"~~{long}~~", f"`{long}`", f"[{long}](http://x.y)", f"![{long}](data:{'A' * 3000})", f"[{long}](<{'a b' * 300}>)", f"[{long}][{'r' * 300}]"):
+        assert markup.clean(f"See {text} here") == (f"See {long} here", ("markdown",)), text[:20]
+    for text in (f"''{long}''", f"[[{long}]]", f"[[x|{long}]]", "{{lang|la|" + long + "}}"):
+        assert markup.clean(f"See {text} here") == (f"See {long} here", ("wiki",)), text[:20]
+    for text in (f"$${long}$$", f"\\({long}\\)", f"\\[{long}\\]"):
+        assert markup.clean(f"See {text} here") == (f"See ⟦{long}⟧ here", ("latex",)), text[:20]
+    assert markup.clean("<?xml " + "a='b' " * 200 + "?>x") == ("x", ("html",))
+    out, kinds = markup.clean("{|\n" + "|-\n| cell one || cell two\n" * 3000 + "|}\nAfter")
+    assert kinds == ("wiki",) and out == "cell one\tcell two\n" * 3000 + "After"
+
+
+def test_unclosed_signs_take_linear_time():
+    for odd in (" _a", " ''a", "\\( ", "\\[ ", "[](<", "[a](", "**a ", "~~a ", "`a ", "[[a|", "{{a ", "<?xml ", "<pre ", "[a][", "$$ a", "{|\n", "![a](<b "):
+        began = time.process_time()
+        markup.clean(odd * 40_000)
+        assert time.process_time() - began < 10, odd
+
+
 def test_clean_fields(spark):
     df = spark.createDataFrame([("a", "x <b>y</b>", None), ("a", "x <b>y</b>", None), ("b", None, ""), ("c", "plain", "**z**")], "doc_id string, title string, abstract string").withColumn("kinds", F.lit(1))
     assert sorted(map(tuple, markup.residue(df, "doc_id", ("title", "abstract")).collect())) == [("a", "title", "html"), ("c", "abstract", "markdown")]
