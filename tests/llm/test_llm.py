@@ -232,6 +232,13 @@ def test_unclosed_signs_take_linear_time():
         assert time.process_time() - began < 10, odd
 
 
+def test_every_list_and_quote_is_looked_at(spark):
+    texts = {"a": " - wash", "b": "-\twash", "c": ">quoted", "d": "x\n\t+ wash", "e": "a - b"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    assert [markup.clean(t)[1] for t in texts.values()] == [("markdown",)] * 4 + [()]
+    assert sorted(r.doc_id for r in markup.residue(df, "doc_id", ("text",)).collect()) == ["a", "b", "c", "d"]
+
+
 def test_clean_fields(spark):
     df = spark.createDataFrame([("a", "x <b>y</b>", None), ("a", "x <b>y</b>", None), ("b", None, ""), ("c", "plain", "**z**")], "doc_id string, title string, abstract string").withColumn("kinds", F.lit(1))
     assert sorted(map(tuple, markup.residue(df, "doc_id", ("title", "abstract")).collect())) == [("a", "title", "html"), ("c", "abstract", "markdown")]
