@@ -96,14 +96,21 @@ def tf_idf_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def factor_topics(spark: SparkSession, d: str) -> DataFrame:
-    """Six non-negative factors: their terms and exemplary documents."""
+    """Non-negative factors, as many as are most stable over seeds: their terms and exemplary documents."""
     weights = topics.tf_idf(spread(read(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
-    rows, h, terms = topics.factorise(weights, "doc_id", 6)
+    rows, h, terms, _ = topics.stable_factors(weights, "doc_id")
     names = spark.createDataFrame(topics.top_terms(h, terms) or [], "topic int, place int, term string")
     best = topics.exemplars(rows, "doc_id")
     return names.join(best, ["topic", "place"], "left").select("topic", "place", "term", "doc_id")
 
 
+def topic_stability(spark: SparkSession, d: str) -> DataFrame:
+    """Mean adjusted Rand index over four seeds for each number of topics, and the number that is chosen."""
+    weights = topics.tf_idf(spread(read(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
+    _, h, _, tried = topics.stable_factors(weights, "doc_id")
+    return spark.createDataFrame([(k, round(ari, 6), k == len(h)) for k, ari in tried], "k int, ari double, chosen boolean")
+
+
 def labelling_agreement(spark: SparkSession, d: str) -> DataFrame:
     """Adjusted Rand index of source and language."""
     return topics.rand_index(read(spark, d, "documents").where("lang IS NOT NULL AND source IS NOT NULL"), "lang", "source").select(F.round("ari", 6).alias("ari"))
@@ -111,7 +118,7 @@ def labelling_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     daily_counts, daily_counts_stream, distinct_events_stream, user_sessions, query_lifecycle, query_lifecycle_stream, approval_timeouts, session_fold,
-    extracted_facts, extraction_stats, keyword_topics, topic_pairs, tf_idf_terms, factor_topics, labelling_agreement,
+    extracted_facts, extraction_stats, keyword_topics, topic_pairs, tf_idf_terms, factor_topics, topic_stability, labelling_agreement,
 )}
 
 _DAILY = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"

@@ -191,6 +191,18 @@ def test_topics_use_every_term(spark, monkeypatch):
     assert abs(topics.factorise(few, "doc_id", 2, rounds=2)[1] - whole).max() < 1e-12
 
 
+def test_number_of_topics_is_the_stable_one(spark):
+    words = ["enzyme stability melting", "plastic recycling market", "ocean litter survey"]
+    docs = spark.createDataFrame([(i, f"{words[i % 3]} " * 4) for i in range(60)], "doc_id long, text string")
+    weights = topics.tf_idf(docs, "doc_id", "text")
+    rows, h, terms, tried = topics.stable_factors(weights, "doc_id", ks=(2, 3), seeds=3)
+    assert [k for k, _ in tried] == [2, 3] and tried[1][1] == 1.0 and tried[0][1] < 1.0 and len(h) == 3
+    main = rows.select((F.col("doc_id") % 3).alias("kind"), F.array_position("topics", F.array_max("topics")).alias("topic"))
+    assert topics.rand_index(main, "kind", "topic").first().ari == 1.0
+    again = topics.factorise(weights, "doc_id", 3, tolerance=1e-9)
+    assert abs(again[1].sum(axis=1) - 1).max() < 1e-9
+
+
 def test_sentences_and_names():
     assert sentences("As in Fig. 4 it rose. Then it fell; see al. 2010.") == ["As in Fig. 4 it rose.", "Then it fell", "see al. 2010."]
     assert mutations_in("Ser121Glu and D186H, again S121E") == ["S121E", "D186H"]
