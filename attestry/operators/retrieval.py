@@ -101,7 +101,9 @@ def only_approved(hits: DataFrame, approved: DataFrame | None, key: str) -> Data
 
 def search(table: DataFrame, queries: DataFrame, k: int, identity: Column, approved: DataFrame | None, key: str = "vec_id", keep: Sequence[str] = (), threshold: float = THRESHOLD) -> DataFrame:
     """Top k per query after collapse and approval, with ``has_evidence`` (its best score reaches the
-    threshold). Rows that are not approved are left out before the search, so k of them are always found."""
+    threshold). Rows that are not approved are left out before the search, so approval takes none of the k.
+    Collapse may: only the 4 * k nearest rows are collapsed, so a query gets fewer than k hits where these
+    hold fewer identities."""
     allowed = only_approved(table, approved, key)
     hits = cosine_top_k(allowed, queries, 4 * k, key=key, keep=keep)
     cut = collapse(hits, identity).where(F.col("rank") <= k)
