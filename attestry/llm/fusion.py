@@ -182,7 +182,8 @@ def _dependence(r, model: SourceModel, prior: float = 0.1) -> float:
 def fuse(staging: DataFrame, ranks: DataFrame, settle_by_rule: bool = True) -> DataFrame:
     """One row per duplicate group and field: group_id, field_name, doc_id, source, size, posterior.
 
-    ``doc_id`` is the member whose value has the maximum posterior. ``posterior`` is the share of the
+    ``doc_id`` is the member that comes first by completeness, trust and recency, then the smaller id: a
+    sort, in which the votes have no part with ``settle_by_rule``. ``posterior`` is the share of the
     discounted votes among the field's values. No row where no member has a genuine value; groups of
     one have no rows; null doc_ids are ignored; an empty table gives an empty result; extra columns are
     not read. A source that ``ranks`` does not list is trusted least. With ``settle_by_rule`` values of
