@@ -3,10 +3,11 @@
 Bayesian fusion with copy detection. Sources claim values of items (group and field). From shared
 values the accuracy of each source and the dependence of each pair of sources are estimated: two
 sources that share *false* values are likely to copy, and a copied vote counts only by the share that
-is its own. A value's posterior combines its discounted votes with a prior that prefers completeness;
-a fuller value is worth more than all votes together, because texts here are cut short and never
-lengthened. Values that are equal in completeness are settled by trust, then by recency, then by the
-smaller doc_id; without those rules, by the votes.
+is its own. The posterior of a value is proportional to ``exp(votes + prior)``. The prior says that a
+value loses ``K`` nats at the first of three levels at which it falls behind the best value of its item:
+3 K if it is less complete (texts here are cut short, never lengthened), 2 K if its best claim is less
+trusted, K if that is older. ``K`` exceeds any difference of votes, so the value of maximum posterior is
+never one that falls behind, and among values that are level in all three the discounted votes decide.
 
 Groups can be of any size: an item is reduced to how many of its values each *set of sources* claims
 (at most ``2 ** sources`` numbers, whatever the rows), and equal items are estimated once, with their
@@ -29,8 +30,8 @@ from attestry.functions.missing import is_missing, is_standin
 from attestry.lineage import cut
 
 FIELDS = ("source", "full_text", "abstract", "metadata")
-#: Most sources that the model takes; more are refused, as source sets would no longer be few.
-MAX_SOURCES = 64
+#: Sources that the table of ranks does not list are one source to the model, which bounds their number.
+UNLISTED = "(unlisted)"
 
 
 @dataclass(frozen=True)
@@ -55,6 +56,11 @@ class SourceModel:
             seen.append(s)
         return total
 
+    def most(self) -> float:
+        """More than any two values' votes can differ."""
+        each = (min(max(a, 0.01), 0.99) for a in self.accuracy.values())
+        return 1 + sum(abs(math.log(self.false_values * a / (1 - a))) for a in each)
+
 
 def filled_keys(metadata: Column) -> Column:
     """Filled keys of a valid JSON object; null if it is none. Null, blank, n/a and [] are not filled."""
@@ -103,17 +109,14 @@ def estimate_sources(rows: DataFrame, rounds: int = 5, prior_accuracy: float = 0
     """Accuracies and dependences of the sources of ``rows`` (as from :func:`claims`; the field
     ``source`` itself is no evidence and is left out).
 
-    What comes to the driver is one row per pattern of source sets aggregated to pairs of sources, at
-    most ``MAX_SOURCES ** 2`` rows a round.
+    What comes to the driver is one row per pair of sources that claim values of one item, a round.
     """
     told = rows.where((F.col("field_name") != "source") & F.col("source").isNotNull())
     values = told.groupBy("group_id", "field_name", "hash").agg(F.array_sort(F.collect_set("source")).alias("who"))
     items = values.groupBy("group_id", "field_name", "who").agg(F.count("*").alias("c"))
     patterns = items.groupBy("group_id", "field_name").agg(F.array_sort(F.collect_list(F.struct("who", "c"))).alias("sets"))
     patterns = cut(patterns.groupBy("sets").agg(F.count("*").alias("items")))
-    names = [r[0] for r in patterns.select(F.explode("sets.who").alias("w")).select(F.explode("w")).distinct().limit(MAX_SOURCES + 1).collect()]
-    if len(names) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    names = [r[0] for r in patterns.select(F.explode("sets.who").alias("w")).select(F.explode("w")).distinct().collect()]
     model = SourceModel(dict.fromkeys(names, prior_accuracy), {}, false_values, copy_rate)
     schema = T.StructType([T.StructField(c, t) for c, t in (("a", T.StringType()), ("b", T.StringType()), ("n", T.DoubleType()), ("true_w", T.DoubleType()), ("both_true", T.DoubleType()), ("both_false", T.DoubleType()), ("differ", T.DoubleType()))])
     for _ in range(rounds if names else 0):
@@ -179,32 +182,33 @@ def _dependence(r, model: SourceModel, prior: float = 0.1) -> float:
     return 1 / (1 + math.exp(-x))
 
 
-def fuse(staging: DataFrame, ranks: DataFrame, settle_by_rule: bool = True) -> DataFrame:
+def fuse(staging: DataFrame, ranks: DataFrame) -> DataFrame:
     """One row per duplicate group and field: group_id, field_name, doc_id, source, size, posterior.
 
-    ``doc_id`` is the member that comes first by completeness, trust and recency, then the smaller id: a
-    sort, in which the votes have no part with ``settle_by_rule``. ``posterior`` is the share of the
-    discounted votes among the field's values. No row where no member has a genuine value; groups of
-    one have no rows; null doc_ids are ignored; an empty table gives an empty result; extra columns are
-    not read. A source that ``ranks`` does not list is trusted least. With ``settle_by_rule`` values of
-    equal completeness are settled by trust and recency, else by their votes first.
+    ``doc_id`` is the member whose value has the maximum posterior; of members that hold that value the
+    most trusted, then the latest, then the smallest doc_id, which also settles equal posteriors.
+    ``posterior`` is that value's share among the field's values. No row where no member has a genuine
+    value; groups of one have no rows; null doc_ids are ignored; an empty table gives an empty result;
+    extra columns are not read. A source that ``ranks`` does not list is trusted least.
     """
-    rows = cut(claims(group_members(staging)))
-    model = estimate_sources(rows)
+    rank = ranks.where(F.col("source").isNotNull()).groupBy(F.lower(F.trim("source")).alias("source")).agg(F.min("trust_rank").cast("long").alias("rank"))
+    last = F.lit(2**62)
+    told = claims(group_members(staging)).join(rank, "source", "left").withColumns({
+        "voter": F.when(F.col("rank").isNotNull(), F.col("source")).otherwise(F.lit(UNLISTED)), "rank": F.coalesce("rank", last),
+    })
+    rows = cut(told)
+    model = estimate_sources(rows.select("group_id", "field_name", "hash", F.col("voter").alias("source")))
     votes = F.pandas_udf(lambda who: who.map(lambda w: float(model.votes(w))).astype("float64"), T.DoubleType())
-    rank = ranks.where(F.col("source").isNotNull()).groupBy(F.lower(F.trim("source")).alias("source")).agg(F.min("trust_rank").alias("trust_rank"))
-    values = rows.groupBy("group_id", "field_name", "hash").agg(F.collect_set("source").alias("who"), F.max("size").alias("size"))
-    values = values.select("group_id", "field_name", "hash", votes("who").alias("vote"))
-    scored = rows.join(values, ["group_id", "field_name", "hash"]).join(rank, "source", "left")
-    trust = F.coalesce(-F.col("trust_rank"), F.lit(-(2**31 - 1)))
-    size = F.when(F.col("field_name") == "source", trust).otherwise(F.col("size"))
-    order = [size, trust, F.col("fetched_at")] if settle_by_rule else [size, F.col("vote"), trust, F.col("fetched_at")]
-    best = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
-    # max_by has no rule for equals, so the smaller doc_id is taken in a second pass over the best rows
-    tops = scored.groupBy("group_id", "field_name").agg(F.max(best).alias("best"), F.max("vote").alias("_top"))
-    sums = values.join(tops.select("group_id", "field_name", "_top"), ["group_id", "field_name"]).groupBy("group_id", "field_name").agg(F.sum(F.exp(F.col("vote") - F.col("_top"))).alias("_sum"))
-    chosen = scored.withColumn("mine", best).join(tops, ["group_id", "field_name"]).where(F.col("mine").eqNullSafe(F.col("best")))
-    final = chosen.groupBy("group_id", "field_name").agg(F.min(F.struct("doc_id", "source", "size", "vote", "_top")).alias("w"))
-    return final.join(sums, ["group_id", "field_name"]).select(
-        "group_id", "field_name", "w.doc_id", "w.source", "w.size", (F.exp(F.col("w.vote") - F.col("w._top")) / F.col("_sum")).alias("posterior")
-    )
+    # small is good in all three, so that the smallest doc_id of the best claims comes out of one aggregate
+    less = F.when(F.col("field_name") == "source", F.col("rank")).otherwise(-F.col("size").cast("long"))
+    older = F.coalesce(-F.unix_micros(F.col("fetched_at").cast("timestamp")), last)
+    claim = F.struct(less.alias("less"), F.col("rank"), older.alias("older"), "doc_id", "source", "size")
+    item = ["group_id", "field_name"]
+    values = rows.groupBy(*item, "hash").agg(F.collect_set("voter").alias("who"), F.min(claim).alias("best"))
+    values = values.select(*item, "best", votes("who").alias("vote"))
+    tops = values.groupBy(*item).agg(F.min(F.struct("best.less", "best.rank", "best.older")).alias("top"), F.max("vote").alias("most"))
+    both = values.join(tops, item)
+    behind = F.when(F.col("best.less") > F.col("top.less"), 3).when(F.col("best.rank") > F.col("top.rank"), 2).when(F.col("best.older") > F.col("top.older"), 1).otherwise(0)
+    scored = both.withColumn("log", F.col("vote") - F.col("most") - model.most() * behind)
+    final = scored.groupBy(*item).agg(F.min(F.struct((-F.col("log")).alias("cost"), "best.doc_id", "best.source", "best.size")).alias("w"), F.sum(F.exp("log")).alias("sum"))
+    return final.select(*item, "w.doc_id", "w.source", "w.size", (F.exp(-F.col("w.cost")) / F.col("sum")).alias("posterior"))

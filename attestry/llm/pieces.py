@@ -2,7 +2,8 @@
 
 Every position of a section has a boundary strength (paragraph, line, sentence, clause, word, none). A
 sparse table answers "the strongest boundary of this window, the right one of equals" in constant
-time; the next piece starts an overlap before the last cut, at the strongest boundary there.
+time; the next piece starts an overlap or up to a quarter more before the last cut, at the strongest
+boundary there.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Largest piece, overlap of neighbours and least piece, in characters.
+#: Largest piece, least overlap of neighbours and least piece, in characters.
 LIMIT, OVERLAP, LEAST = 4000, 200, 2000
+#: Most that neighbours overlap, as a multiple of the least.
+STRETCH = 1.25
 
 _HEADING = re.compile(r"^## .*$", re.M)
 #: Boundaries, strongest first; a cut is at the end of the match.
@@ -85,11 +88,12 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int
     """(start, end) of pieces of at most ``limit`` characters that cover ``text``.
 
     A piece ends at the strongest boundary from ``least`` to ``limit`` characters, the rightmost of
-    equals; without one it is cut at the limit. The next piece starts at the strongest boundary in the
-    last ``overlap`` characters of the piece, or exactly ``overlap`` before its end.
+    equals; without one it is cut at the limit. The next piece starts at the strongest boundary from
+    ``overlap`` to STRETCH times as many characters before that end, the rightmost of equals, or exactly
+    ``overlap`` before it; so neighbours share ``overlap`` characters at least.
     """
-    if not 0 <= overlap < least <= limit:
-        raise ValueError("0 <= overlap < least <= limit is needed")
+    if not 0 <= overlap * STRETCH < least <= limit:
+        raise ValueError("0 <= STRETCH * overlap < least <= limit is needed")
     n = len(text)
     if n <= limit:
         return [(0, n)] if n else []
@@ -98,8 +102,7 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int
     while n - start > limit:
         end = index.strongest(start + least, start + limit, n) or start + limit
         out.append((start, end))
-        # a start at the cut itself would be no overlap, so the window ends one before it
-        start = (index.strongest(end - overlap, end - 1, n) if overlap else end) or end - overlap
+        start = index.strongest(end - int(STRETCH * overlap), end - overlap, n) or end - overlap
     return [*out, (start, n)]
 
 
@@ -137,23 +140,25 @@ def split_oversized(docs: DataFrame, text: str = "full_text", key: str = "doc_id
     once, one key with two texts gives both. Other columns are not read. Only texts longer than the
     limit reach Python; the one shuffle drops repeated pieces and carries no others.
     """
+    return _pieces(docs, text, key, limit, overlap, least).dropDuplicates([key, "section_no", "piece_no", "start_at", "end_at", "piece"])
 
+
+def _pieces(docs: DataFrame, text: str, key: str, limit: int, overlap: int, least: int) -> DataFrame:
     @F.pandas_udf(PIECES)
     def pieces(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: split_document(t, limit, overlap, least))
 
     long = docs.select(F.col(key), F.col(text).alias("_text")).where(F.length("_text") > limit)
-    rows = long.select(key, F.explode(pieces("_text")).alias("_p")).select(
+    return long.select(key, F.explode(pieces("_text")).alias("_p")).select(
         key, "_p.section_no", "_p.section_chars", "_p.piece_no",
         F.concat_ws("#", F.col(key).cast("string"), F.col("_p.ordinal").cast("string")).alias("chunk_id"),
         "_p.start_at", "_p.end_at", "_p.piece",
     )
-    return rows.dropDuplicates([key, "section_no", "piece_no", "start_at", "end_at", "piece"])
 
 
 def oversized_sections(docs: DataFrame, text: str = "full_text", key: str = "doc_id", limit: int = LIMIT) -> DataFrame:
-    """(key, section_no) of the sections that come out in more than one piece."""
-    pieces = split_oversized(docs, text, key, limit)
+    """(key, section_no) of the sections that come out in more than one piece. No text is shuffled."""
+    pieces = _pieces(docs, text, key, limit, OVERLAP, LEAST)
     return pieces.where((F.col("section_chars") > limit) & (F.col("piece_no") == 2)).select(key, "section_no").distinct()
 
 
@@ -174,5 +179,5 @@ def brute_force(text: str, limit: int, overlap: int, least: int) -> list[tuple[i
     while len(text) - start > limit:
         end = best(start + least, start + limit) or start + limit
         out.append((start, end))
-        start = (best(end - overlap, end - 1) if overlap else end) or end - overlap
+        start = best(end - int(STRETCH * overlap), end - overlap) or end - overlap
     return [*out, (start, len(text))]

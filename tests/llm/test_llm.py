@@ -51,6 +51,33 @@ def test_fusion_ties_by_trust_then_recency_then_id(spark):
     assert got["full_text"] == "x:3" and got["source"] == "x:3"
 
 
+def test_survivor_is_the_maximum_of_the_posterior(spark):
+    rows = [("x:1", "u", "article", "10.1/q", None, "aaaa", "long abstract", None, 5), ("x:2", "v", "article", "10.1/q", None, "bbb", "abstract", None, 1), ("x:3", "w", "article", "10.1/q", None, "bbb", "abstract", None, 7)]
+    ranks = spark.createDataFrame([("v", 1), ("w", 2), ("u", 3)], "source string, trust_rank int")
+    got = {r.field_name: r for r in fusion.fuse(staging(spark, rows), ranks).collect()}
+    assert got["full_text"].doc_id == "x:1" == got["abstract"].doc_id and got["source"].doc_id == "x:2"
+    assert all(r.posterior > 0.99 for r in got.values())
+
+
+def test_copied_votes_lose_among_equals(spark):
+    """Values level in completeness, trust and date: votes decide, and copies of a bad source count little."""
+    rnd, rows = random.Random(11), []
+    for i in range(150):
+        doi, truth = f"10.9/{i}", f"{i:05}-true"
+        false = lambda s: f"{i:05}-{s[0]}{rnd.randrange(100):03}"  # noqa: E731, B023
+        bad = truth if rnd.random() < 0.3 else false("bad")
+        told = {s: truth if rnd.random() < a else false(s) for s, a in (("good", 0.95), ("fair", 0.85), ("third", 0.85))} | dict.fromkeys(("bad", "copy"), bad)
+        rows += [(f"{'zyxab'[j]}:{i}", s, "article", doi, None, v, None, None, 1) for j, (s, v) in enumerate(told.items())]
+    rows += [(f"a{j}:last", s, "article", "10.9/last", None, v, None, None, 1) for j, (s, v) in enumerate((("bad", "00000-fake"), ("copy", "00000-fake"), ("good", "00000-true")))]
+    ranks = spark.createDataFrame([(s, 1) for s in ("good", "fair", "third", "bad", "copy")], "source string, trust_rank int")
+    df = staging(spark, rows)
+    got = {r.group_id: r for r in fusion.fuse(df, ranks).where("field_name = 'full_text'").collect()}
+    last = next(r for g, r in got.items() if g.endswith("last"))
+    assert last.doc_id == "a2:last" and last.posterior > 0.5  # one good source against a bad one and its copy
+    values = {r[0]: r[5] for r in rows}
+    assert sum(values[r.doc_id].endswith("true") for r in got.values()) > 0.9 * len(got)
+
+
 def test_copying_sources_are_found(spark):
     rnd = random.Random(4)
     rows = []
@@ -75,7 +102,17 @@ def test_pieces_equal_brute_force():
         text = "".join(rnd.choice(["word", " ", ". ", "\n", "\n\n", "; ", "x" * rnd.randint(1, 60), "é"]) for _ in range(400)).strip()
         got = pieces.split_text(text, 200, 20, 100)
         assert got == pieces.brute_force(text, 200, 20, 100)
-        assert got[0][0] == 0 and got[-1][1] == len(text) and all(b - a <= 200 for a, b in got) and all(x[1] > y[0] > x[0] for x, y in itertools.pairwise(got))
+        assert got[0][0] == 0 and got[-1][1] == len(text) and all(b - a <= 200 for a, b in got) and all(x[1] - 25 <= y[0] <= x[1] - 20 and y[0] > x[0] for x, y in itertools.pairwise(got))
+
+
+def test_every_neighbour_overlaps_by_the_stated_amount(spark):
+    rows = queries.p2_pieces(spark, "/root/testdata/sf0.01").collect()
+    found = {(r.doc_id, r.section_no, r.piece_no): r for r in rows}
+    joins = [(r, found[k[0], k[1], k[2] - 1]) for k, r in found.items() if k[2] > 1]
+    assert len(joins) > 40
+    for r, before in joins:
+        shared = before.end_at - r.start_at
+        assert pieces.OVERLAP <= shared <= pieces.STRETCH * pieces.OVERLAP and before.piece[-shared:] == r.piece[:shared] and len(r.piece) <= pieces.LIMIT
 
 
 def test_pieces_without_boundaries_and_sections(spark):
