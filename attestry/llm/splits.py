@@ -1,19 +1,21 @@
 """Splits that keep related records together (problem 4).
 
 Entities that share a sequence or a source document, also through others, are one component. The
-components are placed by grouped iterative stratification: their rows are summed to a vector of
-labels, the label with the fewest rows still to place comes first, and its components go to the split
-that still needs that label most.
-
-Large components (each at least ``1 / LARGE`` of all rows, so at most ``LARGE`` of them) are placed one
-by one. The many small ones of a label are laid end to end, in an order by hash, along the remaining
-needs of the splits; each falls into the split that its middle meets. That is the same rule with the
-need met to within one small component, and it is a prefix sum, so no task and no driver holds them all.
+components are placed by grouped iterative stratification: their rows are summed to a vector of labels;
+the label with the fewest rows still to place is the next; its components, those with most of its rows
+first, go one after the other to the split that still needs that label most (of equals, the split that
+needs most rows of all labels). What has been placed is taken from the needs of every label.
+
+Components with equally many rows of the label are interchangeable to that rule, so it is enough to know
+how many there are of each number (at most the square root of twice the rows, whatever the components):
+the rule is played through on these counts, and each component takes its place by its rank, in an order
+by hash, among its equals. No task and no driver holds all components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import heapq
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,9 +25,7 @@ from attestry.lineage import cut
 from attestry.operators.components import components_by_keys
 
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
-#: A component with 1/LARGE of all rows or more is placed on its own.
-LARGE = 200
-#: Buckets of the two-level prefix sum.
+#: Buckets of the two-level rank.
 BUCKETS = 256
 
 
@@ -60,61 +60,87 @@ def straddling_groups(measured: DataFrame, features: DataFrame) -> DataFrame:
     return groups.join(bad, "group_id", "left_semi").select("group_id", "enzyme_id")
 
 
+def quotas(count: int, size: int, need: Sequence[float], total: Sequence[float]) -> list[int]:
+    """How many of ``count`` equal components of ``size`` rows each split gets if every one goes to the
+    split that then has the largest need (of equals the larger total need, then the first split)."""
+    if not count:
+        return [0] * len(need)
+    # split s has the need need[s] - j * size before its component j: the count largest of these are taken
+    def taken(level: float) -> list[int]:
+        return [max(0, int((x - level) // size) + 1) if x >= level else 0 for x in need]
+
+    high, low = max(need) + size, min(need) - count * size - 1.0
+    while sum(taken(low)) < count:
+        low -= count * size + 1.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        if middle in (low, high):
+            break
+        low, high = (middle, high) if sum(taken(middle)) >= count else (low, middle)
+    out = taken(high) if sum(taken(high)) < count else [0] * len(need)
+    left = [(-(x - k * size), -(t - k * size), i) for i, (x, t, k) in enumerate(zip(need, total, out))]
+    heapq.heapify(left)
+    for _ in range(count - sum(out)):
+        x, t, i = heapq.heappop(left)
+        out[i] += 1
+        heapq.heappush(left, (x + size, t + size, i))
+    return out
+
+
 def stratified_splits(rows: DataFrame, component: str, label: Column, weight: Column | None = None, proportions: Mapping[str, float] = PROPORTIONS) -> DataFrame:
     """(component, split): one split per component, all labels near the given proportions.
 
     ``label`` is any expression of ``rows`` with few values; null is a label of its own. ``weight`` is
-    what a row counts for (1 if none). Equal
-    components are told apart by a hash of their id. An empty table gives an empty result. Per label,
-    what comes to the driver is one row per split or bucket, and once the large components.
+    what a row counts for (1 if none). Equal components are told apart by a hash of their id; a null
+    component is ignored. An empty table gives an empty result. Per label, what comes to the driver is
+    one row per number of rows that a component has of it.
     """
     names = list(proportions)
-    share = {k: v / sum(proportions.values()) for k, v in proportions.items()}
+    share = [proportions[k] / sum(proportions.values()) for k in names]
     counted = rows.where(F.col(component).isNotNull()).select(F.col(component).alias("c"), F.coalesce(label.cast("string"), F.lit("(none)")).alias("label"), (F.lit(1) if weight is None else weight).cast("long").alias("n"))
-    cells = cut(counted.groupBy("c", "label").agg(F.sum("n").alias("n")))
-    totals = {r.label: r.n for r in cells.groupBy("label").agg(F.sum("n").alias("n")).collect()}
-    everything = sum(totals.values())
-    need = {s: {k: share[s] * n for k, n in totals.items()} for s in names}
-    order = sorted(totals, key=lambda k: (totals[k], k))
-    rank = F.create_map(*[F.lit(x) for pair in ((k, i) for i, k in enumerate(order)) for x in pair]) if order else F.lit(None)
-    # the rarest label of a component decides when it is placed
-    comps = cut(cells.groupBy("c").agg(F.sum("n").alias("size"), F.min(rank[F.col("label")] if order else F.lit(0)).alias("first"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("vector")))
-
-    fixed: dict = {}
-    for r in sorted(comps.where(F.col("size") >= max(1.0, everything / LARGE)).collect(), key=lambda r: (r["first"], -r["size"], str(r["c"]))):
-        key = order[r["first"]]
-        best = max(names, key=lambda s: (need[s][key], sum(need[s].values()), -names.index(s)))
-        fixed[r["c"]] = best
-        for k, n in r["vector"].items():
-            need[best][k] -= n
-    spark = rows.sparkSession
-    placed = spark.createDataFrame(list(fixed.items()), comps.select("c").schema.add("split", "string"))
-    small = comps.where(F.col("size") < max(1.0, everything / LARGE))
-    spot = F.pmod(F.xxhash64(F.col("c").cast("string")), F.lit(BUCKETS))
-    for i, key in enumerate(order):
-        mine = small.where(F.col("first") == i).select("c", F.col("vector")[key].alias("n"), "vector", spot.alias("b"))
-        sums = {r.b: r.n for r in mine.groupBy("b").agg(F.sum("n").alias("n")).collect()}
-        if not sums:
-            continue
-        before, total = {}, 0
-        for b in sorted(sums):
-            before[b], total = total, total + sums[b]
-        open_need = {s: max(0.0, need[s][key]) for s in names}
-        scale = total / (sum(open_need.values()) or 1.0)
-        start = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("b")]
-        running = F.sum("n").over(Window.partitionBy("b").orderBy(F.xxhash64(F.col("c").cast("string"), F.lit(key)), "c").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        middle = start + running - F.col("n") / 2
-        edge, where = 0.0, F.lit(None).cast("string")
-        for s in names:
-            edge += open_need[s] * scale
-            where = F.when(where.isNull() & (middle <= edge), F.lit(s)).otherwise(where)
-        here = cut(mine.select("c", F.coalesce(where, F.lit(max(names, key=lambda s: open_need[s]))).alias("split"), "vector"))
+    cells = counted.groupBy("c", "label").agg(F.sum("n").alias("n")).where("n > 0")
+    comps = cut(cells.groupBy("c").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("vector")))
+    open_rows = {r.label: r.n for r in comps.select(F.explode("vector").alias("label", "n")).groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    need = {k: [s * n for s in share] for k, n in open_rows.items()}
+    spark, done, placed = rows.sparkSession, [], None
+    while open_rows:
+        key = min(open_rows, key=lambda k: (open_rows[k], k))  # the rarest outstanding label
+        mine = comps.where(F.col("vector")[key].isNotNull() & ~F.arrays_overlap(F.map_keys("vector"), F.array(*map(F.lit, done)).cast("array<string>"))).select("c", F.col("vector")[key].alias("n"), "vector")
+        total = [sum(need[k][i] for k in need) for i in range(len(names))]
+        plan = []
+        for r in sorted(mine.groupBy("n").agg(F.count("*").alias("m")).collect(), key=lambda r: -r.n):
+            got = quotas(r.m, r.n, need[key], total)
+            need[key] = [x - k * r.n for x, k in zip(need[key], got)]
+            total = [x - k * r.n for x, k in zip(total, got)]
+            plan.append((r.n, [sum(got[: i + 1]) for i in range(len(got))]))
+        quota = spark.createDataFrame(plan, "n long, until array<long>")
+        here = cut(_by_rank(mine, quota, key, names))
+        # a component may have more rows of other labels, which its split has now got as well
         for r in here.select("split", F.explode("vector").alias("label", "n")).groupBy("split", "label").agg(F.sum("n").alias("n")).collect():
-            need[r.split][r.label] -= r.n
-        placed = placed.unionByName(here.select("c", "split"))
+            open_rows[r.label] -= r.n
+            if r.label != key:
+                need[r.label][names.index(r.split)] -= r.n
+        open_rows = {k: n for k, n in open_rows.items() if n > 0 and k != key}
+        done.append(key)
+        placed = here.select("c", "split") if placed is None else placed.unionByName(here.select("c", "split"))
+    if placed is None:
+        return comps.select(F.col("c").alias(component), F.lit(None).cast("string").alias("split"))
     return placed.select(F.col("c").alias(component), "split")
 
 
+def _by_rank(mine: DataFrame, quota: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
+    """(c, split, vector): the first of each size by hash go to the first split, and so on. The rank is
+    one within a bucket of a size plus the components in the buckets before it."""
+    spot = F.xxhash64(F.col("c").cast("string"), F.lit(key))
+    rows = mine.withColumns({"h": spot, "b": F.pmod(F.shiftrightunsigned(spot, 8), F.lit(BUCKETS))})
+    sizes = rows.groupBy("n", "b").agg(F.count("*").alias("k"))
+    before = sizes.withColumn("before", F.sum("k").over(Window.partitionBy("n").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)))
+    first = before.join(quota, "n").select("n", "b", F.coalesce("before", F.lit(0)).alias("before"), "until")
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("n", "b").orderBy("h", "c"))).join(first, ["n", "b"])
+    at = F.size(F.filter("until", lambda u: u < F.col("before") + F.col("r"))) + 1
+    return ranked.select("c", F.element_at(F.array(*map(F.lit, names)), at).alias("split"), "vector")
+
+
 def split_enzymes(measured: DataFrame, features: DataFrame, proportions: Mapping[str, float] = PROPORTIONS) -> DataFrame:
     """(enzyme_id, group_id, split) for every enzyme; labels are substrate and activity. An enzyme that
     was never measured counts as one row without a label."""

@@ -162,19 +162,57 @@ def test_straddling_groups(spark):
     assert splits.straddling_groups(m.limit(0), f.limit(0)).count() == 0 == splits.split_enzymes(m.limit(0), f.limit(0)).count()
 
 
-def test_splits_meet_proportions(spark):
+def test_quotas_are_those_of_one_by_one():
+    rnd = random.Random(12)
+    for _ in range(300):
+        need, total = [float(rnd.randint(-20, 60)) for _ in range(3)], [float(rnd.randint(-50, 200)) for _ in range(3)]
+        count, size = rnd.randint(0, 40), rnd.randint(1, 9)
+        got, x, t = [0, 0, 0], list(need), list(total)
+        for _ in range(count):
+            i = max(range(3), key=lambda i: (x[i], t[i], -i))
+            got[i], x[i], t[i] = got[i] + 1, x[i] - size, t[i] - size
+        assert splits.quotas(count, size, need, total) == got
+    assert sum(splits.quotas(10**9, 3, [2.4e9, 3e8, 3e8], [1.0, 1.0, 1.0])) == 10**9
+
+
+def placed_one_by_one(vectors, proportions):
+    """Iterative stratification over components, one after the other; returns rows per split and label."""
+    names, open_, rows = list(proportions), dict(vectors), {}
+    labels = {k for v in vectors.values() for k in v}
+    need = {k: {s: p * sum(v.get(k, 0) for v in vectors.values()) for s, p in proportions.items()} for k in labels}
+    while open_:
+        left = {k: n for k in labels if (n := sum(v.get(k, 0) for v in open_.values()))}
+        key = min(left, key=lambda k: (left[k], k))
+        for c in sorted((c for c, v in open_.items() if v.get(key)), key=lambda c: -open_[c][key]):
+            v = open_.pop(c)
+            s = max(names, key=lambda s: (need[key][s], sum(need[k][s] for k in labels), -names.index(s)))
+            for k, n in v.items():
+                need[k][s] -= n
+                rows[s, k] = rows.get((s, k), 0) + n
+    return rows
+
+
+def test_splits_meet_proportions_of_mixed_labels(spark):
     rnd = random.Random(7)
-    rows = []
+    vectors = {}
     for g in range(3000):
-        label = rnd.choices(["a", "b", "rare"], [70, 28, 2])[0]
-        rows += [(f"g{g}", label)] * (2000 if g == 0 else rnd.randint(1, 6))
-    df = spark.createDataFrame(rows, "c string, label string")
-    placed = splits.stratified_splits(df, "c", F.col("label"))
+        main = rnd.choices(["a", "b", "c"], [60, 30, 10])[0]
+        v = {main: 700 if g == 0 else rnd.randint(1, 6)}
+        for k, p in (("a", 0.3), ("b", 0.2), ("d", 0.02)):
+            if rnd.random() < p:
+                v[k] = v.get(k, 0) + rnd.randint(1, 3)
+        vectors[f"g{g}"] = v
+    df = spark.createDataFrame([(c, k, n) for c, v in vectors.items() for k, n in v.items()], "c string, label string, n long")
+    placed = splits.stratified_splits(df, "c", F.col("label"), F.col("n"))
     assert placed.count() == 3000 == placed.select("c").distinct().count()
-    share = df.join(placed, "c").groupBy("label").pivot("split").count().collect()
-    for r in share:
-        total = r.train + r.validation + r.test
-        assert abs(r.train / total - 0.8) < 0.05 and abs(r.test / total - 0.1) < 0.05
+    mine = {(r.split, r.label): r.n for r in df.join(placed, "c").groupBy("split", "label").agg(F.sum("n").alias("n")).collect()}
+    plain = placed_one_by_one(vectors, splits.PROPORTIONS)
+    for label in "abcd":
+        total = sum(n for (_, k), n in mine.items() if k == label)
+        for s, p in splits.PROPORTIONS.items():
+            assert abs(mine.get((s, label), 0) / total - p) < 0.02, (s, label)
+            assert abs(mine.get((s, label), 0) - plain.get((s, label), 0)) < 0.03 * total, (s, label)
+    assert splits.stratified_splits(df.limit(0), "c", F.col("label"), F.col("n")).count() == 0
 
 
 # 6 - matching
