@@ -1,10 +1,12 @@
 """Quantities recorded in different units, brought to the common unit of their metric (problem 5).
 
 A *source* is a unit as it is written for a metric. The same entity recorded under two sources links
-them; over all links the scale and offset of each pair of sources are estimated robustly and snapped
-to the known conversions; from the common unit the conversions are propagated through the graph of
-sources. A source that no link reaches is converted by the meaning of its name. An estimate that
-contradicts a known name needs many links that agree.
+them; over all links the scale and offset of each pair of sources are estimated robustly (repeated median
+of slopes, then median of intercepts) and snapped to a known conversion where that meets the links as well.
+From the common unit, estimates and snapped conversions alike are propagated through the graph of
+sources, over any number of steps, along the paths whose weakest pair has most links. A source that no
+link reaches is converted by the meaning of its name; a name that the graph contradicts is overruled if
+many links agree.
 
 Entities of any size cost one number per source: links are made between sources of an entity, never
 between its records.
@@ -60,8 +62,10 @@ KNOWN: dict[str, tuple[tuple[tuple[str, ...], float, float], ...]] = {
 #: Least links of a pair of sources, share of them that a conversion must meet within TOLERANCE, and
 #: links that an estimate needs to overrule a known name.
 LEAST_LINKS, LEAST_SHARE, TOLERANCE, OVERRULE = 3, 0.5, 0.01, 30
-#: Longest path from a source to the common unit.
-HOPS = 3
+#: An estimate is snapped to a known conversion that meets this share of the links that it meets itself.
+AS_WELL = 0.9
+#: Links that are compared with each other while slopes are made.
+BLOCK = 64
 
 
 def metric_name(metric: Column) -> Column:
@@ -124,20 +128,27 @@ def _found_in_text(metric: pd.Series, value: pd.Series, text: pd.Series) -> pd.S
 
 
 ENTITY = ("doc_id", "enzyme", "mutations", "conditions")
+#: 128 bits that stand for an entity in shuffles and joins.
+KEY = ("e1", "e2")
 
 
 def with_units(facts: DataFrame) -> DataFrame:
-    """One row per record: record_id, the entity, metric_name, value, source_unit.
+    """One row per record: record_id, the entity and its key, metric_name, value, source_unit.
 
     ``source_unit`` is the unit as written, with plain signs, or the one in ``evidence_span`` where the
     column has none; null if there is none. Records without value (null, NaN) are left out; an exact
-    repetition counts once.
+    repetition counts once. Null parts of an entity are equal to each other.
     """
-    base = facts.where(F.col("record_id").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value")).select("record_id", *ENTITY, metric_name(F.col("metric")).alias("metric_name"), "value", F.when(~is_missing(F.col("unit")), F.col("unit")).alias("unit"), "evidence_span")
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in ENTITY]
+    key = [F.xxhash64(*parts).alias("e1"), F.xxhash64(F.lit(7), *parts).alias("e2")]
+    base = facts.where(F.col("record_id").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value")).select(
+        "record_id", *ENTITY, *key, metric_name(F.col("metric")).alias("metric_name"), "value", F.when(~is_missing(F.col("unit")), F.col("unit")).alias("unit"), "evidence_span",
+    )
     told = base.where(F.col("unit").isNotNull()).withColumn("source_unit", _spelled("unit"))
     silent = base.where(F.col("unit").isNull()).withColumn("source_unit", _found_in_text("metric_name", "value", "evidence_span"))
     both = told.unionByName(silent).drop("unit", "evidence_span")
-    return both.groupBy("record_id", *ENTITY, "metric_name", "value").agg(F.max("source_unit").alias("source_unit"))
+    one = both.groupBy("record_id", *KEY, "metric_name", "value").agg(F.max("source_unit").alias("source_unit"), F.max(F.struct(*ENTITY)).alias("_e"))
+    return one.select("record_id", *[F.col(f"_e.{c}").alias(c) for c in ENTITY], *KEY, "metric_name", "value", "source_unit")
 
 
 def _known_table(df: DataFrame) -> DataFrame:
@@ -155,53 +166,92 @@ def _known_maps(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "metric_name string, maps array<struct<scale:double,offset:double>>")
 
 
-def source_graph(records: DataFrame) -> DataFrame:
-    """(metric_name, source_unit, other_unit, scale, offset, links, agree): how a value in one source is
-    read in another, for each pair of sources that share entities.
+PAIR = ("metric_name", "source_unit", "other_unit")
 
-    ``scale`` is the median ratio of the pair, ``offset`` zero, unless a known conversion of the metric
-    meets more links within TOLERANCE; then both are snapped to it.
-    """
-    per_source = records.where(F.col("source_unit").isNotNull()).groupBy(*ENTITY, "metric_name", "source_unit").agg(F.min("value").alias("value"))
+
+def _links(records: DataFrame) -> DataFrame:
+    """(metric_name, source_unit, other_unit, x, y, h): an entity's value under each two of its sources.
+    Where its records under a source disagree, it is not known which fact the other source has, so such an
+    entity links nothing there."""
+    cells = records.where(F.col("source_unit").isNotNull()).groupBy(*KEY, "metric_name", "source_unit").agg(F.min("value").alias("value"), F.max("value").alias("top")).where("value = top")
     # sources of an entity are as few as the spellings of its unit
-    entities = per_source.groupBy(*ENTITY, "metric_name").agg(F.collect_list(F.struct("source_unit", "value")).alias("v")).where(F.size("v") > 1)
-    pairs = entities.select("metric_name", F.explode("v").alias("a"), "v").select("metric_name", "a", F.explode("v").alias("b")).where("a.source_unit <> b.source_unit")
-    links = pairs.select("metric_name", F.col("a.source_unit").alias("source_unit"), F.col("b.source_unit").alias("other_unit"), F.col("a.value").alias("x"), F.col("b.value").alias("y"))
-    near = F.abs(F.col("y") - (F.col("m.scale") * F.col("x") + F.col("m.offset"))) <= TOLERANCE * F.greatest(F.abs("y"), F.lit(1e-12))
-    keys = ["metric_name", "source_unit", "other_unit"]
-    ratio = links.where("x <> 0").groupBy(*keys).agg(F.percentile_approx(F.col("y") / F.col("x"), 0.5, 1000).alias("ratio"), F.count("*").alias("links"))
-    tried = links.join(_known_maps(records), "metric_name").select(*keys, "x", "y", F.explode("maps").alias("m"))
-    met = tried.groupBy(*keys, "m").agg(F.count_if(near).alias("agree")).groupBy(*keys).agg(F.max(F.struct("agree", (-F.abs("m.offset")).alias("o"), "m")).alias("best"))
-    snapped = F.col("best.agree") >= LEAST_SHARE * F.col("links")
-    return ratio.join(met, keys, "left").where(F.col("links") >= LEAST_LINKS).select(
-        *keys, F.when(snapped, F.col("best.m.scale")).otherwise(F.col("ratio")).alias("scale"), F.when(snapped, F.col("best.m.offset")).otherwise(F.lit(0.0)).alias("offset"),
-        "links", F.coalesce(F.when(snapped, F.col("best.agree")), F.lit(0)).alias("agree"),
+    entities = cells.groupBy(*KEY, "metric_name").agg(F.collect_list(F.struct("source_unit", "value")).alias("v")).where(F.size("v") > 1)
+    both = F.filter(F.flatten(F.transform("v", lambda a: F.transform("v", lambda b: F.struct(a["source_unit"].alias("source_unit"), b["source_unit"].alias("other_unit"), a["value"].alias("x"), b["value"].alias("y"))))), lambda p: p["source_unit"] != p["other_unit"])
+    return entities.select("metric_name", F.col("e2").alias("h"), F.inline(both))
+
+
+def _met(scale: Column, offset: Column) -> Column:
+    return F.abs(F.col("y") - (scale * F.col("x") + offset)) <= TOLERANCE * F.greatest(F.abs("y"), F.lit(1e-12))
+
+
+def source_graph(records: DataFrame) -> DataFrame:
+    """(metric_name, source_unit, other_unit, scale, offset, links, agree, snapped): how a value in one
+    source is read in another, for each pair of sources with LEAST_LINKS links or more.
+
+    Two estimates are made: the median ratio, and the repeated median of slopes with the median of the
+    intercepts that it leaves. A link's slope is the median of those to the other links of its block, of
+    some BLOCK links by hash; the slope is the median over all links, so up to half of them may be wrong,
+    every link counts and none is compared with all. The estimate that meets more links within TOLERANCE
+    stands (of equals the ratio); the known conversion of the metric that meets most takes its place if it
+    meets as many, but for AS_WELL.
+    ``agree`` is how many links it meets; a pair of which less than LEAST_SHARE agree is no conversion.
+    """
+    links = cut(_links(records))
+    counts = links.groupBy(*PAIR).agg(F.count("*").alias("links"), F.percentile_approx(F.when(F.col("x") != 0, F.col("y") / F.col("x")), 0.5, 10_000).alias("ratio")).where(F.col("links") >= LEAST_LINKS)
+    block = F.pmod("h", F.ceil(F.col("links") / BLOCK)).alias("b")
+    blocks = links.join(counts, list(PAIR)).select(*PAIR, block, F.struct("x", "y").alias("p")).groupBy(*PAIR, "b").agg(F.collect_list("p").alias("p"))
+    to_others = lambda a: F.array_sort(F.filter(F.transform("p", lambda b: F.when(a["x"] != b["x"], (b["y"] - a["y"]) / (b["x"] - a["x"]))), lambda m: m.isNotNull()))
+    medians = F.transform(F.transform("p", to_others), lambda m: F.try_element_at(m, (F.floor(F.size(m) / 2) + 1).cast("int")))
+    slopes = blocks.where(F.size("p") > 1).select(*PAIR, F.explode(medians).alias("slope")).groupBy(*PAIR).agg(F.percentile_approx("slope", 0.5, 10_000).alias("slope"))
+    lines = links.join(slopes.where("slope > 0"), list(PAIR))
+    affine = lines.groupBy(*PAIR, "slope").agg(F.percentile_approx(F.col("y") - F.col("slope") * F.col("x"), 0.5, 10_000).alias("intercept"))
+    known = _known_maps(records).select("metric_name", F.explode("maps").alias("m")).select("metric_name", "m.scale", "m.offset", F.lit(2).alias("kind"))
+    pairs = counts.select(*PAIR)
+    tried = (
+        counts.where("ratio > 0").select(*PAIR, F.col("ratio").alias("scale"), F.lit(0.0).alias("offset"), F.lit(1).alias("kind"))
+        .unionByName(affine.select(*PAIR, F.col("slope").alias("scale"), F.col("intercept").alias("offset"), F.lit(0).alias("kind"))).unionByName(pairs.join(known, "metric_name").select(*PAIR, "scale", "offset", "kind"))
     )
+    options = tried.groupBy(*PAIR).agg(F.collect_list(F.struct("scale", "offset", "kind")).alias("options"))  # as few as the known units
+    met = links.join(options, list(PAIR)).select(*PAIR, "x", "y", F.explode("options").alias("o")).groupBy(*PAIR, "o").agg(F.count_if(_met(F.col("o.scale"), F.col("o.offset"))).alias("agree"))
+    best = met.groupBy(*PAIR).agg(
+        F.max(F.when(F.col("o.kind") < 2, F.struct("agree", F.col("o.kind").alias("kind"), F.col("o.scale").alias("scale"), F.col("o.offset").alias("offset")))).alias("fit"),
+        F.max(F.when(F.col("o.kind") == 2, F.struct("agree", (-F.abs("o.offset")).alias("near"), F.col("o.scale").alias("scale"), F.col("o.offset").alias("offset")))).alias("known"),
+    )
+    snap = F.col("known").isNotNull() & (F.col("fit").isNull() | (F.col("known.agree") >= AS_WELL * F.col("fit.agree")))
+    pick = lambda c: F.when(F.col("snapped"), F.col(f"known.{c}")).otherwise(F.col(f"fit.{c}")).alias(c)
+    rows = best.join(counts.select(*PAIR, "links"), list(PAIR)).withColumn("snapped", snap).select(*PAIR, pick("scale"), pick("offset"), "links", pick("agree"), "snapped")
+    return rows.where(F.col("agree") >= F.greatest(F.lit(LEAST_LINKS), LEAST_SHARE * F.col("links")))
 
 
 def conversions(records: DataFrame, metric_units: DataFrame) -> DataFrame:
     """(metric_name, source_unit, scale, offset, how): reading of each source in the metric's common unit.
 
-    ``how`` is ``common``, ``known`` (by name, confirmed by the graph or not reached by it), ``graph``
-    (reached only by links) or ``overruled`` (a name that many links contradict).
+    ``how`` is ``common``, ``snapped`` (a path of links, all of them snapped to known conversions),
+    ``estimated`` (a path with an estimate that no known conversion meets), ``name`` (no link reaches it,
+    or fewer than OVERRULE links contradict the name) or null.
     """
     graph = cut(source_graph(records))
     common = metric_units.where(F.col("metric").isNotNull() & F.col("common_unit").isNotNull()).select(metric_name(F.col("metric")).alias("metric_name"), _spelled("common_unit").alias("source_unit")).distinct()
-    reached = common.select("metric_name", "source_unit", F.lit(1.0).alias("scale"), F.lit(0.0).alias("offset"), F.lit(2**31).cast("long").alias("agree"), F.lit(0).alias("hops"))
-    known = _known_table(records)
-    # a known unit that confirms its links anchors the graph as well as the common unit does
-    for hop in range(1, HOPS + 1):
-        to = reached.select("metric_name", F.col("source_unit").alias("other_unit"), F.col("scale").alias("s2"), F.col("offset").alias("o2"), F.col("agree").alias("a2"))
-        step = graph.where("agree > 0").join(to, ["metric_name", "other_unit"]).select("metric_name", "source_unit", (F.col("scale") * F.col("s2")).alias("scale"), (F.col("offset") * F.col("s2") + F.col("o2")).alias("offset"), F.least("agree", "a2").alias("agree"), F.lit(hop).alias("hops"))
-        best = step.join(reached.select("metric_name", "source_unit"), ["metric_name", "source_unit"], "left_anti").groupBy("metric_name", "source_unit").agg(F.max_by(F.struct("scale", "offset", "hops"), F.struct("agree", "scale", "offset")).alias("w"), F.max("agree").alias("agree"))
-        reached = cut(reached.unionByName(best.select("metric_name", "source_unit", "w.scale", "w.offset", "agree", "w.hops")))
+    start = [F.lit(1.0).alias("scale"), F.lit(0.0).alias("offset"), F.lit(2**31).cast("long").alias("agree"), F.lit(True).alias("snapped")]
+    reached, new = None, cut(common.select("metric_name", "source_unit", *start, F.lit(0).alias("hops")))
+    known, hop = _known_table(records), 0
+    while True:
+        reached = new if reached is None else reached.unionByName(new)
+        hop += 1
+        # of all pairs that lead out of what is reached, the strongest; it can only be as strong as its path
+        to = reached.select("metric_name", F.col("source_unit").alias("other_unit"), F.col("scale").alias("s2"), F.col("offset").alias("o2"), F.col("agree").alias("a2"), F.col("snapped").alias("n2"))
+        step = graph.join(to, ["metric_name", "other_unit"]).select("metric_name", "source_unit", (F.col("scale") * F.col("s2")).alias("scale"), (F.col("offset") * F.col("s2") + F.col("o2")).alias("offset"), F.least("agree", "a2").alias("agree"), (F.col("snapped") & F.col("n2")).alias("snapped"))
+        best = step.join(reached.select("metric_name", "source_unit"), ["metric_name", "source_unit"], "left_anti").groupBy("metric_name", "source_unit").agg(F.max(F.struct("agree", "snapped", "scale", "offset")).alias("w"))
+        new = cut(best.select("metric_name", "source_unit", "w.scale", "w.offset", "w.agree", "w.snapped", F.lit(hop).alias("hops")))
+        if not new.limit(1).count():
+            break
     sources = records.where(F.col("source_unit").isNotNull()).select("metric_name", "source_unit").distinct()
     joined = sources.join(reached, ["metric_name", "source_unit"], "left").join(known, ["metric_name", "source_unit"], "left")
     same = (F.abs(F.col("scale") / F.col("known_scale") - 1) < 1e-3) & (F.abs(F.col("offset") - F.col("known_offset")) < 0.05)
-    by_name = F.col("known_scale").isNotNull() & (F.col("scale").isNull() | same | ((F.col("agree") < OVERRULE) & (F.col("hops") > 0)))
+    by_name = F.col("known_scale").isNotNull() & (F.col("scale").isNull() | (~same & (F.col("agree") < OVERRULE)))
     return joined.select(
         "metric_name", "source_unit", F.when(by_name, F.col("known_scale")).otherwise(F.col("scale")).alias("scale"), F.when(by_name, F.col("known_offset")).otherwise(F.col("offset")).alias("offset"),
-        F.when(F.col("hops") == 0, "common").when(by_name, "known").when(F.col("known_scale").isNotNull(), "overruled").when(F.col("scale").isNotNull(), "graph").alias("how"),
+        F.when(F.col("hops") == 0, "common").when(by_name, "name").when(F.col("snapped"), "snapped").when(F.col("scale").isNotNull(), "estimated").alias("how"),
     )
 
 
@@ -212,9 +262,17 @@ def to_common_units(facts: DataFrame, metric_units: DataFrame) -> DataFrame:
     column nor in the text, or where nothing tells how to convert it. A record_id with two different
     values keeps both. Extra columns are not read; an empty table gives an empty result.
     """
-    records = cut(with_units(facts))
+    return _converted(cut(with_units(facts)), metric_units).select("record_id", *ENTITY, "metric_name", "source_unit", "common_value", "how")
+
+
+def _converted(records: DataFrame, metric_units: DataFrame) -> DataFrame:
     table = conversions(records, metric_units)
-    return records.join(table, ["metric_name", "source_unit"], "left").select("record_id", *ENTITY, "metric_name", "source_unit", (F.col("value") * F.col("scale") + F.col("offset")).alias("common_value"), "how")
+    return records.join(table, ["metric_name", "source_unit"], "left").withColumn("common_value", F.col("value") * F.col("scale") + F.col("offset"))
+
+
+def agreeing_facts(facts: DataFrame, metric_units: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """:func:`agreeing_pairs` of all facts in common units; names of entities are not carried along."""
+    return agreeing_pairs(_converted(cut(with_units(facts).drop(*ENTITY)), metric_units), tolerance)
 
 
 def agreeing_pairs(values: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
@@ -226,9 +284,10 @@ def agreeing_pairs(values: DataFrame, tolerance: float = TOLERANCE) -> DataFrame
     """
     width = -math.log1p(-tolerance) * 1.001
     band = F.when(F.col("common_value") == 0, F.lit(0)).otherwise(F.floor(F.log(F.abs("common_value")) / width)).cast("long")
-    keys = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")).alias(c) for c in ENTITY]
-    rows = values.where(F.col("common_value").isNotNull()).select("record_id", *keys, "metric_name", F.col("common_value").alias("v"), F.signum("common_value").alias("sign"), band.alias("band")).distinct()
-    a = rows.select(*[F.col(c).alias(f"{c}_a") if c in ("record_id", "v") else F.col(c) for c in rows.columns])
-    b = rows.select(*[F.col(c).alias(f"{c}_b") if c in ("record_id", "v") else F.col(c) for c in rows.columns]).withColumn("band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])))
+    # entity, metric, sign and band as 128 bits: one narrow row per record is all that is shuffled
+    place = lambda b: [F.xxhash64(*KEY, "metric_name", "sign", b).alias("k1"), F.xxhash64(F.lit(7), *KEY, "metric_name", "sign", b).alias("k2")]
+    rows = values.where(F.col("common_value").isNotNull()).select("record_id", *KEY, "metric_name", F.col("common_value").alias("v"), F.signum("common_value").alias("sign"), band.alias("band"))
+    a = rows.select(F.col("record_id").alias("record_id_a"), F.col("v").alias("v_a"), *place(F.col("band")))
+    b = rows.withColumn("at", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)]))).select(F.col("record_id").alias("record_id_b"), F.col("v").alias("v_b"), *place(F.col("at")))
     close = F.abs(F.col("v_a") - F.col("v_b")) <= tolerance * F.greatest(F.abs("v_a"), F.abs("v_b"))
-    return a.join(b, [*ENTITY, "metric_name", "sign", "band"]).where((F.col("record_id_a") < F.col("record_id_b")) & close).select("record_id_a", "record_id_b").distinct()
+    return a.join(b, ["k1", "k2"]).where((F.col("record_id_a") < F.col("record_id_b")) & close).select("record_id_a", "record_id_b").distinct()
