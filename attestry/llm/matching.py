@@ -2,11 +2,12 @@
 
 Documents that hold one work are one unit (same DOI and kind, same content, or same title with a common
 author or year). A reference and a unit are a candidate pair if they share an author's surname and two
-title words, or a title but for two words, or the beginning of one. A pair's log-odds come from title, authors and year,
-each of which may be missing. Loopy belief propagation then weighs all pairs together: an entry names
-at most one work (its candidates exclude each other), and a work is listed by one group of entries, so
-entries that have it as their best candidate stand together against those that do not. Messages go
-through joins on small numeric tables until they stand still; the marginal is the match's confidence.
+of the longest title words, or a title but for two words, or the beginning of one. A pair's log-odds come
+from title, authors and year, each of which may be missing. Loopy belief propagation then weighs all
+pairs together. Its factors are one-to-one: an entry names at most one work, and a work is named by one
+entry, or by more at the price RELISTED for each further one (a list may hold a work twice). Messages are
+the exact sums over the factors' states; they go through joins on small numeric tables until they stand
+still, and the marginal is the match's confidence.
 """
 
 from __future__ import annotations
@@ -37,15 +38,20 @@ _OTHER_WORK = frozenset("reply comment erratum corrigendum correction retraction
 _NO_AUTHOR = frozenset({"", "anon", "anonymous", "anonym", "unknown", "various", "n a", "na", "none", "null"})
 #: Words that make no key, and words from which a title leaves out one word at most.
 _SMALL = frozenset("the and for from with der die das und des del las los les sur sobre por une una".split())
-LONG_TITLE = 24
+#: Titles of more telling words meet by CLASSES of their words instead of by all words but two.
+LONG_TITLE, CLASSES = 24, 5
 #: Longest words of a title that go with a name, and with a name that may have a slip.
 NAME_WORDS, SLIP_WORDS = 6, 3
 #: Least share of an entry's words that stand in the unit's title to the letter.
 ALIKE = 0.4
-#: Log-odds under which a pair is no rival either, so that many weak pairs do not outweigh a good one.
+#: Log-odds under which a pair is no candidate: nothing that the factors add makes a match of it.
 WEAK = -1.0
-#: Least marginal of a match, rounds at most, and change at which messages stand still.
-CONFIDENCE, ROUNDS, STILL = 0.6, 8, 0.01
+#: Odds that a work of the list is listed once more.
+RELISTED = 0.5
+#: Least marginal of a match, and change at which messages stand still.
+CONFIDENCE, STILL = 0.6, 0.01
+#: Rounds after which messages that still move are an error.
+ROUNDS = 200
 
 _LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "æ": "ae", "œ": "oe", "þ": "th", "ı": "i"})
 
@@ -229,8 +235,9 @@ def block_keys(words: Sequence[str], names: Sequence[str], entry: bool) -> list[
 
     A surname with two of the title's longest words; a surname with a slip (it or the other lacks a
     letter, or both do) with two of the very longest; the title's words without none, one or two of them (slips, words added
-    or lost; of more than LONG_TITLE words without none or one); and for titles that were cut off, the
-    words of an entry against every beginning of a unit's title.
+    or lost); and for titles that were cut off, the words of an entry against every beginning of a unit's
+    title. Of more than LONG_TITLE words, "without two" would be hundreds of keys; such titles are cut into
+    CLASSES by a hash of each word instead, and two words, changed or not, leave one class at least as it was.
     """
     told = _telling(words)
     long = sorted((w for w in told if len(w) > 3), key=lambda w: (-len(w), w))
@@ -245,6 +252,11 @@ def block_keys(words: Sequence[str], names: Sequence[str], entry: bool) -> list[
             keys += [_key("t", told[:i] + told[i + 1 :]) for i in range(len(told))]
         if 4 <= len(told) <= LONG_TITLE:
             keys += [_key("t", told[:i] + told[i + 1 : j] + told[j + 1 :]) for i in range(len(told)) for j in range(i + 1, len(told))]
+        if len(told) > LONG_TITLE - 2:  # the other title may have two words more
+            parts: list[list[str]] = [[] for _ in range(CLASSES)]
+            for w in told:
+                parts[_key("c", (w,)) % CLASSES].append(w)
+            keys += [_key(f"c{i}", p) for i, p in enumerate(parts) if len(p) > 1]
         keys += [_key("p", told)] if entry and len(told) > 1 else [] if entry else [_key("p", told[:k]) for k in range(2, len(told))]
     return sorted(set(keys))
 
@@ -266,6 +278,9 @@ def score_pairs(pairs: DataFrame, entries: DataFrame, units: DataFrame) -> DataF
     wide = pairs.join(entries, "eid").join(units.select("uid", "unit", F.col("words").alias("u_words"), F.col("names").alias("u_names"), F.col("year").alias("u_year")), "uid")
     # no title reaches a match with fewer of its words spelled alike
     wide = wide.where(F.size(F.array_intersect("words", "u_words")) >= ALIKE * F.size("words"))
+    # nor does any pair of known authors of whom none is alike (the distance admits all slips that near() does)
+    slip = lambda a, b: F.levenshtein(a, b) <= F.when(F.least(F.length(a), F.length(b)) > 8, 4).otherwise(2)
+    wide = wide.where((F.size("names") == 0) | (F.size("u_names") == 0) | F.arrays_overlap("names", "u_names") | F.exists("names", lambda a: F.exists("u_names", lambda b: slip(a, b))))
     # nor does any pair whose years are known and more than two apart, by its log-odds
     wide = wide.where(F.col("year").isNull() | F.col("u_year").isNull() | (F.abs(F.col("u_year") - F.col("year")) <= 2))
 
@@ -288,24 +303,37 @@ def score_pairs(pairs: DataFrame, entries: DataFrame, units: DataFrame) -> DataF
     return wide.mapInPandas(run, schema).groupBy("eid", "unit").agg(F.max("odds").alias("odds"))
 
 
-def propagate(edges: DataFrame, rounds: int = ROUNDS, still: float = STILL) -> DataFrame:
-    """(eid, unit, odds, marginal) from (eid, unit, odds), by loopy belief propagation."""
+def propagate(edges: DataFrame, rounds: int = ROUNDS, still: float = STILL, relisted: float = RELISTED) -> DataFrame:
+    """(eid, unit, odds, marginal) from (eid, unit, odds), by loopy belief propagation (sum-product).
+
+    ``alpha`` is what the entry's factor tells a pair: with r the odds of the entry's other pairs, the
+    states "none" and "one of the others" weigh 1 + sum(r), and only "none" lets the pair be true, so
+    alpha = -log(1 + sum(r)). ``beta`` is what the unit's factor tells it: k true pairs of a unit weigh
+    ``relisted ** (k - 1)``; with P the product of 1 + relisted * r over its other pairs, the states with the
+    pair weigh P and those without it 1 + (P - 1) / relisted. Both are sums over a unit's or entry's rows, less
+    the pair's own. Messages are halved towards the old ones while they swing. Raises if they never rest.
+    """
     state = cut(edges.select("eid", "unit", "odds", F.lit(0.0).alias("beta"), F.lit(0.0).alias("alpha")))
+    keep, before = 0.0, None
     for _ in range(rounds):
         heard = F.exp(F.least(F.col("odds") + F.col("beta"), F.lit(30.0)))
-        per_entry = state.groupBy("eid").agg(F.sum(heard).alias("s"), F.max(F.struct(F.col("odds") + F.col("beta"), "unit")).alias("top"))
-        one = state.join(per_entry, "eid").withColumn("new_alpha", -F.log1p(F.greatest(F.lit(0.0), F.col("s") - heard))).withColumn("own", F.col("top.unit") == F.col("unit"))
-        told = F.exp(F.least(F.col("odds") + F.col("new_alpha"), F.lit(30.0)))
-        # the strongest of the other side speaks for it, however many there are
-        per_unit = one.groupBy("unit").agg(F.max(F.when(F.col("own"), told)).alias("held"), F.max(F.when(~F.col("own"), told)).alias("rivals"))
-        both = one.select("eid", "unit", "odds", "beta", "alpha", "new_alpha", "own").join(per_unit, "unit")
-        against = F.coalesce(F.when(F.col("own"), F.col("rivals")).otherwise(F.col("held")), F.lit(0.0))
-        new_beta = 0.5 * F.col("beta") - 0.5 * F.log1p(against)
+        per_entry = state.groupBy("eid").agg(F.sum(heard).alias("s"), F.count("*").alias("k"))
+        one = state.join(per_entry, "eid").withColumn("new_alpha", F.when(F.col("k") == 1, 0.0).otherwise(-F.log1p(F.greatest(F.lit(0.0), F.col("s") - heard))))
+        told = F.log1p(relisted * F.exp(F.least(F.col("odds") + F.col("new_alpha"), F.lit(30.0))))
+        per_unit = one.groupBy("unit").agg(F.sum(told).alias("logs"), F.count("*").alias("m"))
+        others = F.greatest(F.lit(0.0), F.col("logs") - told)
+        # log P - log(1 + (P - 1) / relisted), written so that a large P does not overflow
+        against = -F.log((1 - 1 / relisted) * F.exp(-others) + 1 / relisted)
+        both = one.select("eid", "unit", "odds", "beta", "alpha", "new_alpha").join(per_unit, "unit")
+        new_beta = keep * F.col("beta") + (1 - keep) * F.when(F.col("m") == 1, 0.0).otherwise(against)
         after = cut(both.select("eid", "unit", "odds", new_beta.alias("beta"), F.col("new_alpha").alias("alpha"), F.greatest(F.abs(new_beta - F.col("beta")), F.abs(F.col("new_alpha") - F.col("alpha"))).alias("moved")))
-        most = after.agg(F.max("moved")).first()[0]
+        most = after.agg(F.max("moved")).first()[0] or 0.0
         state = after.drop("moved")
-        if most is None or most < still:
+        if most < still:
             break
+        keep, before = (0.5 if keep or before is not None and most > 0.7 * before else 0.0), most
+    else:
+        raise RuntimeError(f"messages still move by {most} after {rounds} rounds")
     total = F.col("odds") + F.col("alpha") + F.col("beta")
     return state.select("eid", "unit", "odds", (1 / (1 + F.exp(-total))).alias("marginal"))
 
