@@ -248,9 +248,45 @@ def test_matching(spark):
 
 
 def test_beliefs_exclude_each_other(spark):
-    edges = spark.createDataFrame([(1, "u", 5.0), (1, "v", 3.0), (2, "u", 5.0), (3, "v", 1.0)], "eid long, unit string, odds double")
+    edges = spark.createDataFrame([(1, "u", 5.0), (1, "v", 3.0), (2, "u", 5.0), (3, "v", 1.5)], "eid long, unit string, odds double")
     got = {(r.eid, r.unit): r.marginal for r in matching.propagate(edges).collect()}
-    assert got[1, "u"] > 0.8 and got[2, "u"] > 0.9 and got[1, "v"] < 0.3 and got[3, "v"] > 0.5
+    assert got[1, "u"] > 0.8 and got[2, "u"] > 0.9 and got[1, "v"] < 0.3 and got[3, "v"] > 0.6
+
+
+def test_two_entries_compete_for_a_work(spark):
+    """Alone each would be a match; together the weaker is none, unless it is as good as the other."""
+    edges = spark.createDataFrame([(1, "u", 6.0), (2, "u", 0.9), (3, "v", 0.9), (4, "w", 4.0), (5, "w", 4.0)], "eid long, unit string, odds double")
+    got = {(r.eid, r.unit): r.marginal for r in matching.propagate(edges).collect()}
+    assert got[1, "u"] > 0.9 and got[2, "u"] < matching.CONFIDENCE < got[3, "v"] and got[4, "w"] == got[5, "w"] > 0.9
+
+
+def test_marginals_are_exact_on_trees(spark):
+    """On a graph without loops the marginals are those of all assignments, weighed one by one."""
+    edges = [(1, "u", 1.2), (1, "v", 0.3), (2, "v", 0.8), (2, "w", -0.4), (3, "w", 2.0), (4, "w", 0.1), (5, "x", 0.7)]
+    mass, total = dict.fromkeys(edges, 0.0), 0.0
+    for bits in itertools.product((0, 1), repeat=len(edges)):
+        on = [e for e, b in zip(edges, bits) if b]
+        if len({e[0] for e in on}) < len(on):
+            continue
+        p = 1.0
+        for e in on:
+            p *= 2.718281828459045 ** e[2]
+        for u in {e[1] for e in on}:
+            p *= matching.RELISTED ** (sum(e[1] == u for e in on) - 1)
+        total += p
+        for e in on:
+            mass[e] += p
+    got = {(r.eid, r.unit): r.marginal for r in matching.propagate(spark.createDataFrame(edges, "eid long, unit string, odds double"), still=1e-9).collect()}
+    assert all(abs(got[e[0], e[1]] - mass[e] / total) < 1e-6 for e in edges)
+
+
+def test_long_titles_meet_by_classes():
+    rnd = random.Random(13)
+    for _ in range(50):
+        words = [f"word{rnd.randrange(10**6)}" for _ in range(rnd.randint(25, 60))]
+        other = [w for i, w in enumerate(words) if i not in rnd.sample(range(len(words)), 2)] if rnd.random() < 0.5 else [*words, "added", "twice"]
+        assert set(matching.block_keys(words, [], True)) & set(matching.block_keys(other, [], False))
+    assert len(matching.block_keys([f"w{i}" for i in range(3000)], [], True)) < 3100
 
 
 # 7 - markup
@@ -287,6 +323,29 @@ def test_navigation_is_dropped_and_long_text_ends():
         markup.clean(odd)
 
 
+def test_best_container_and_its_siblings_are_kept():
+    article = "<p>" + "A paragraph of real text, with commas, and more. " * 9 + "</p><p>Another one, too.</p>"
+    page = f"<body><div>Site name</div><div id='w'><h1>Head</h1><div class='ad'>Short ad text, buy now.</div><div>{article}</div><p>A last remark.</p><p>Menu</p><div><p>More of it, as well, in a second block, with commas, and so on.</p></div></div><div>Foot, note.</div></body>"
+    out, kinds = markup.clean(page)
+    assert kinds == ("html",) and "Short ad" not in out and "Site name" not in out and "Foot" not in out and "Menu" not in out
+    assert "## Head" in out and "real text" in out and "Another one" in out and "A last remark." in out and "second block" in out
+    # what is dropped is looked at for residue, and text without containers is kept whole
+    assert markup.clean(page.replace("buy now.", "buy **now** at $x_{1}=2$."))[1] == ("html", "latex", "markdown")
+    assert markup.clean("Results <i>in</i> vitro\n<ul><li>one</li><li>two</li></ul> End") == ("Results in vitro\n\n• one\n• two\n End", ("html",))
+
+
+def test_any_depth_is_turned():
+    assert markup.clean("&" + "amp;" * 30 + "lt;i&" + "amp;" * 9 + "gt;x</i>") == ("x", ("html",))
+    assert markup.clean("a " + "{{lang|la|" * 12 + "vita" + "}}" * 12) == ("a vita", ("wiki",))
+    assert markup.clean("[[File:a.png|thumb|see [[b|the [[c]] there]]]] x") == ("see the c there x", ("wiki",))
+    assert markup.clean("\\emph{" * 20 + "x {y}" + "}" * 20 + " z") == ("x {y} z", ("latex",))
+    assert markup.clean("*a **b _c_ d** e*")[0] == "a b c d e" and "$x_{" + "1" * 300 + "}$" not in markup.clean("see $x_{" + "1" * 300 + "}$")[0]
+    for odd in ("{{a|" * 20_000 + "}}" * 20_000, "[[a|" * 20_000 + "]]" * 20_000, "\\ab{" * 20_000 + "}" * 20_000, "&" + "amp;" * 50_000 + "lt;", "<div>" * 20_000 + "x" + "</div>" * 20_000):
+        began = time.process_time()
+        markup.clean(odd)
+        assert time.process_time() - began < 15, odd[:10]
+
+
 def test_long_residue_is_turned():
     long = "long words of it " * 400 + "end"
     for text in (f"**{long}**", f"_{long}_", f"~~{long}~~", f"`{long}`", f"[{long}](http://x.y)", f"![{long}](data:{'A' * 3000})", f"[{long}](<{'a b' * 300}>)", f"[{long}][{'r' * 300}]"):
