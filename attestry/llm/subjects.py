@@ -1,12 +1,14 @@
 """Subject areas of documents (problem 10).
 
-Each sentence is judged by labelling functions: a lexicon of the areas, a word model fitted on hand
-labels, the section (the other sentences of the paragraph), the address (container) and the source. No
-function is trusted as it is: a latent-area model learns their accuracies from how they agree over all
-sentences of the corpus, without labels, and gives each sentence posterior area probabilities. A
-document is about an area when a whole paragraph or more is: two sentences of it in one paragraph, or
-a paragraph that has no other area; a single sentence within another area's paragraph is a mention.
-(Where line ends were lost, a telling sentence and two plain ones after it are a paragraph.)
+Each sentence is judged by labelling functions: a lexicon of telling words, a word model, the section (the
+other sentences of the paragraph), the address (container) and the source. Lexicon and word model are
+learned from hand labels of documents, in any language: which sentences of a document its labels are
+about is estimated together with the words (expectation maximisation, with a class for sentences that are
+about none). No function is trusted as it is: a latent-area model learns their accuracies from how they
+agree over all sentences of the corpus, without labels, and gives each sentence posterior area
+probabilities. A document is about an area when a whole paragraph or more is: two sentences of it in one
+paragraph, or a paragraph that has no other area; a single sentence within another area's paragraph is a
+mention. (Where line ends were lost, a telling sentence and two plain ones after it are a paragraph.)
 """
 
 from __future__ import annotations
@@ -15,65 +17,34 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestry.lineage import cut
 from attestry.tables import spread
 
-#: Word beginnings of each area in English, Spanish, German and French (without accents). A word is
-#: evidence if it begins so; phrases are written with a blank.
-LEXICON: dict[str, str] = {
-    "stability_engineering": "salt bridge,disulf,disulfid,puente disulf,pont disulf,heat tolerant,unfold,desnatural,denatur,schmelzpunkt,"
-    "directed evolution,evolucion dirigida,gerichtete evolution,evolution dirigee,prolin,mutant,mutagen,combinatorial,ancestral,epistas,hot spot,"
-    "rigid,versteif,variant,thermostab,termoestab,stabilis,stabilit,estabiliz,residual performance,hitzestab,melting,engineer,surface mutation,diseno racional,"
-    "substitution,sustituc,abolished folding,design round,durchmuster,stabil",
-    "enzyme_discovery": "metagenom,homolog,phylogen,filogen,clade,clado,zweig,stammbaum,isolated from,se aislo,isoliert,isolee,horizontal transfer,"
-    "agar,halos en placa,clear zone,colon,kolonie,novel,newly described,nueva esterasa,neue esterase,nouvelle esterase,putative,sponge,symbion,deep sea,deep sea sediment,hot spring,"
-    "non redundant,profile search,neighbouring strain,identidad,identity,sequenz,sequence forme,uncultured,lineage,enrichment culture,contig,biochemical characteris,plate halo,agar plate halo",
-    "circular_recycling": "recycl,recicl,recyclat,rezykl,upcycl,circular,kreislauf,bottle to bottle,deposit scheme,deposito elevo,pfand,consigne,selling price,coste,"
-    "preis des,cout du,capital cost,life cycle,coste del monomero,ciclo de vida,okobilanz,cycle de vie,pilot plant,planta piloto,usine pilote,anlage verwertet,valoris,feedstock,investor,tonne,tonelada,"
-    "energy demand,glycolysis and methanolysis,mechanical recycling,residuos clasificados,waste bale,sorting line,pellet market,supply chain,cost model,recovered resin,carpet fibre,virgin resin",
-    "environmental_fate": "microplast,mikroplast,sediment,estuar,plastispher,biofilm,biopelicula,earthworm,lombri,regenwurm,vers ont,mulch,lamina enterrada,film enfoui,"
-    "soil,im boden,suelo,weathering,shoreline,river plume,rio arrastro,riviere,fluss,zooplankton,tyre dust,airborne,litter,tormenta,sturm,drifting,flotant,treibend,compost reactor,"
-    "field plot,debris,bahia,bay after,muell,coastal,mulching,plumes",
-    "cell_production": "plasmid,promoter,expressed in,se expreso,exprimee dans,exprimiert,ferment,fed batch,zufutter,inclusion bod,cuerpos de inclusion,einschluss,corps d inclusion,chaperon,"
-    "chaperona,signal peptide,peptido senal,signalpeptid,peptide signal,secret,sekret,codon,glycosyl,chloroplast,optical density,densidad optica,densite optique,optische dichte,affinity,affinitat,affinite,afinidad,"
-    "purification step,spray dr,whole cell catal,yeast display,protease deficient,expression host,culture,copy number,im stamm,in stamm,uberexprim",
-    "mechanism_simulation": "molecular dynamics,dinamica molecular,dynamique moleculaire,simulation,metadynam,protonat,histidin,kcal,michaelis complex,tetrahedral,oxyanion,hydrogen bond,"
-    "umbrella,qm mm,docked,gauche,normal mode,triptofano,tryptoph,crystal form,estructura cristalina,structure cristalline,kristallstruktur,electron density,free energy,acylation,acilacion,acylierung,"
-    "acyl intermediate,trajector,catalytic serine,serina catalitica,ligand,leaving group,substrate cleft,conformer,substrat nahe",
-    "reaction_products": "terephthal,tereftal,terephtal,bhet,mhet,hplc,ethylene glycol,etilenglicol,ethylenglykol,ethylene glycol,oligomer,titration,carboxyl,monomer as white,del monomero,des monomers,du monomere,acid precipit,"
-    "precipitacion acida,saurefallung,precipitation acide,absorbance,aromatic release,refractive index,product inhibition,mono to diester,chromatogra,mass spectrometry,diester,tetramer,product ratio,glycol fraction",
-    "regulation_policy": "ordinance,ordenanza,verordnung,decret,directive,court,tribunal,gericht,ministr,minister,permit,permiso,genehmigung,autorisation,treaty,article 1,compliance,audit,producer responsib,"
-    "labelling,etiquet,kennzeichn,the standard,norma ,norm ,access and benefit,authorit,patent,committee,comision,ausschuss,commission,stakeholder,biosafety,bioseguridad,legal,obliges,obliga,verpflichtet,oblige,recycled content,levy,clause,reporting obligation",
-    "research_software": "software,pipeline,json,parser,analizador,analyseur,unit test,pruebas unitarias,les tests,die tests,command line,api,version control,fixes a race,la version,version 1,planificador,planer,ordonnanceur,scheduler,"
-    "schema,warehouse,notebook,cuaderno reproduce,carnet reproduit,notizbuch,benchmark,random seed,gpu,neural network,embedding,cache,package,install,programa,programm,programme,endpoint,commits,race condition,columnar,script",
-    "medical_imaging": "pet ct,pet tc,tep tdm,tracer,trazador,traceur,uptake,captacion,fixation,aufnahme sank,anreicherung,patient,paciente,radiolog,lesion,lasion,mbq,amyloid,cardiac,perfusion,attenuation,whole body,nodal,"
-    "metabolic responder,radiochem,detector,fasting,ayunas,nuchtern,a jeun,cohort,tomogra,scan,survival,therapy,terapia,therapie,blinded",
-}
-
-#: Openings that say nothing about the area (any language), and sentences that stand in every text.
-_OPENING = re.compile(
-    r"^(?:in series \w+|for batch \d+|at \d+ c|notably|by contrast|as before|in this study|en la serie \w+|ademas|en cambio|dans la serie \w+|de plus|laut reihe \w+|ergebnis \d+)\s"
-)
-_NOTE = re.compile(r"^(?:note|nota|notiz)\s+\w\d+\s*:?\s", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=[^\W_]|«)|\n+")
+_BLANK_LINE = re.compile(r"\n\s*\n")
 _ENDS = frozenset(".!?:…»\"")
 _FUNCTIONS = ("lexicon", "words", "section", "address", "source")
 
-#: Most hand-labelled documents that the word model is fitted on, chosen by hash of doc_id.
-MAX_LABELLED = 5000
-#: Least log-odds of the word model to vote, least posterior of a sentence's area.
-WORD_MARGIN, SURE = 2.5, 0.6
-#: Least sentences of a word in the hand-labelled documents, and least share of them in one area.
-LEAST_SENTENCES, LEAST_SHARE = 4, 0.7
-
+#: Most hand-labelled documents that the words are learned from, chosen by hash of doc_id, and most
+#: characters of them.
+MAX_LABELLED, MAX_CHARS = 5000, 30_000_000
+#: Least probability with which the word model votes, and least posterior of a sentence's area.
+WORD_SURE, SURE = 0.9, 0.6
+#: Least sentences of a word of the lexicon, and least share of them in one area.
+LEAST_SENTENCES, LEAST_SHARE = 3, 0.8
+#: Most characters of a line without a stop that is a heading.
+HEADING_CHARS = 80
+#: Rounds of expectation maximisation, and share of a labelled document's sentences that is about none.
+EM_ROUNDS, ABOUT_NONE = 8, 0.2
 
 _MARKS = re.compile("[\u0300-\u036f]")
 _WORD = re.compile(r"[^\W_]+")
@@ -85,130 +56,132 @@ def plain(text: str) -> str:
 
 
 def words_of(sentence: str) -> str:
-    """Words of a plain sentence without its opening, with a blank on both sides."""
-    words = " ".join(_WORD.findall(sentence))
-    return f" {_OPENING.sub('', words + ' ').strip()} "
+    """Words of a plain sentence, parted by blanks."""
+    return " ".join(_WORD.findall(sentence))
 
 
 def paragraphs_of(text: str) -> list[list[str]]:
-    """Paragraphs as lists of plain sentences (as :func:`words_of` gives them); a title line is no sentence.
+    """Paragraphs as lists of plain sentences (as :func:`words_of` gives them); a heading is no sentence.
 
-    Lines broken inside a sentence are joined: a line that does not end a sentence goes on in the next.
+    Lines broken inside a sentence are joined: a line that does not end a sentence goes on in the next. A
+    short line without a stop that stands alone in a text of several paragraphs is a heading.
     """
     out: list[list[str]] = []
-    for block in re.split(r"\n\s*\n", plain(text)):
+    blocks = [b for b in _BLANK_LINE.split(plain(text)) if b.strip()]
+    for block in blocks:
+        if len(blocks) > 1 and len(block) < HEADING_CHARS and "\n" not in block.strip() and block.rstrip()[-1] not in _ENDS:
+            continue
         lines: list[list[str]] = []
         for line in block.split("\n"):
-            if lines and lines[-1][-1].rstrip()[-1:] not in _ENDS and not (len(lines[-1]) == 1 and _NOTE.match(lines[-1][0].strip())):
+            if lines and lines[-1][-1].rstrip()[-1:] not in _ENDS:
                 lines[-1].append(line)
             else:
                 lines.append([line])
         for parts in lines:
-            sentences = [w for s in _SENTENCE.split(" ".join(parts)) if s and not (_NOTE.match(s.strip()) and len(s) < 80 and not re.search(r"[.!?]\s*$", s)) and len(w := words_of(s)) > 2]
+            sentences = [w for s in _SENTENCE.split(" ".join(parts)) if s and (w := words_of(s))]
             if sentences:
                 out.append(sentences)
     return out
 
 
-@dataclass
-class Lexicon:
-    """Word beginnings of the areas. Of overlapping ones the longest counts."""
-
-    subjects: tuple[str, ...]
-    owner: dict[str, tuple[int, ...]]
-    _automaton: object = None
-
-    @classmethod
-    def of(cls, subjects: Sequence[str], entries: Mapping[str, str] = LEXICON) -> Lexicon:
-        owner: dict[str, set[int]] = defaultdict(set)
-        for i, s in enumerate(subjects):
-            for e in {e.strip() for e in entries.get(s, "").split(",") if e.strip()}:
-                owner[e].add(i)
-        return cls(tuple(subjects), {e: tuple(sorted(v)) for e, v in owner.items()})
-
-    def __getstate__(self) -> dict:
-        return {**self.__dict__, "_automaton": None}
-
-    def matches(self, sentence: str) -> Iterator[tuple[int, ...]]:
-        """Areas of each entry that a word or phrase of the sentence begins with."""
-        if self._automaton is None:
-            import ahocorasick
-
-            self._automaton = ahocorasick.Automaton()
-            for e, areas in self.owner.items():
-                self._automaton.add_word(f" {e}", areas)
-            self._automaton.make_automaton()
-        return (areas for _, areas in self._automaton.iter_long(sentence)) if self.owner else iter(())
-
-    def vote(self, sentence: str) -> int:
-        """The area with most evidence; -1 without any or with a tie."""
-        score: Counter[int] = Counter()
-        for areas in self.matches(sentence):
-            for i in areas:
-                score[i] += 1 / len(areas)
-        top = score.most_common(2)
-        return -1 if not top or len(top) > 1 and top[0][1] == top[1][1] else top[0][0]
+def _telling(sentence: str) -> set[str]:
+    """Words of a sentence that can tell: of three letters or more, without digits."""
+    return {w for w in sentence.split() if len(w) > 2 and w.isalpha()}
 
 
 @dataclass
-class WordModel:
-    """Log-odds of words for each area, from hand labels."""
+class Words:
+    """Lexicon and word model: per word its log-odds for each area and for none, and the area it tells."""
 
-    weights: dict[str, list[float]] = field(default_factory=dict)
-    bias: list[float] = field(default_factory=list)
+    areas: int
+    index: dict[str, int] = field(default_factory=dict)
+    odds: np.ndarray | None = None
+    prior: np.ndarray | None = None
+    lexicon: dict[str, int] = field(default_factory=dict)
+    _memo: dict = field(default_factory=dict)
 
     @classmethod
-    def fit(cls, documents: Sequence[tuple[str, Sequence[int]]], areas: int, lexicon: Lexicon) -> WordModel:
-        """From (text, areas): a sentence counts for the areas of its document, in shares that follow the
-        lexicon where it has a say, so that the paragraphs of two areas do not blur each other."""
-        counts: dict[str, list[float]] = {}
-        total = [0.0] * areas
+    def fit(cls, documents: Iterable[tuple[str, Sequence[int]]], areas: int, descriptions: Sequence[str] = ()) -> Words:
+        """From (text, areas). A sentence is about one of its document's areas or about none (class
+        ``areas``); which one is estimated. The words of a subject's description are in the lexicon as
+        well, where the labelled sentences do not say otherwise."""
+        index: dict[str, int] = {}
+        words: list[int] = []
+        starts: list[int] = []
+        allowed: list[Sequence[int]] = []
         for text, labels in documents:
-            if not labels:
-                continue
-            for sentences in paragraphs_of(text):
+            for sentences in paragraphs_of(text) if labels else ():
                 for s in sentences:
-                    v = lexicon.vote(s)
-                    if v >= 0 and v not in labels:
-                        continue  # a mention, or a wrong label
-                    mine = [v] if v >= 0 else list(labels)
-                    for w in set(s.split()):
-                        if len(w) < 3 or any(c.isdigit() for c in w):
-                            continue
-                        row = counts.setdefault(w, [0.0] * areas)
-                        for i in mine:
-                            row[i] += 1 / len(mine)
-                    for i in mine:
-                        total[i] += 1 / len(mine)
-        everything = sum(total) or 1.0
-        weights = {}
-        for w, row in counts.items():
-            n = sum(row)
-            # words of all areas, and of few sentences, say nothing
-            if n < LEAST_SENTENCES or max(row) < LEAST_SHARE * n:
-                continue
-            base = [t / everything for t in total]
-            weights[w] = [math.log((row[i] + 2 * base[i]) / (n + 2) / max(base[i], 1e-6)) if total[i] else 0.0 for i in range(areas)]
-        return cls(weights, [0.0] * areas)
-
-    def vote(self, sentence: str) -> int:
-        if not self.weights:
-            return -1
-        score = list(self.bias)
-        for w in set(sentence.split()):
-            row = self.weights.get(w)
-            if row:
-                score = [a + b for a, b in zip(score, row)]
-        first, second = sorted(score, reverse=True)[:2] if len(score) > 1 else (score[0], 0.0)
-        return score.index(first) if first - max(second, 0.0) >= WORD_MARGIN else -1
+                    if told := _telling(s):
+                        starts.append(len(words))
+                        words += [index.setdefault(w, len(index)) for w in told]
+                        allowed.append(labels)
+        told_by = _description_words(descriptions)
+        if not starts:
+            return cls(areas, {}, None, None, told_by)
+        at = np.array(words)
+        sentence = np.repeat(np.arange(len(starts)), np.diff([*starts, len(words)]))
+        mask = np.full((len(starts), areas + 1), -np.inf)
+        mask[:, areas] = 0.0
+        for i, labels in enumerate(allowed):
+            mask[i, list(labels)] = 0.0
+        share = np.where(np.isfinite(mask), (1 - ABOUT_NONE) / np.maximum(1, np.isfinite(mask).sum(1, keepdims=True) - 1), 0.0)
+        share[:, areas] = ABOUT_NONE
+        n = np.bincount(at, minlength=len(index)).astype(float)
+        for step in range(EM_ROUNDS + 1):
+            held = np.stack([np.bincount(at, weights=share[sentence, k], minlength=len(index)) for k in range(areas + 1)], axis=1)
+            total = share.sum(0)
+            base = (n / len(starts))[:, None]
+            odds = np.log((held + 2 * base) / (total + 2) / base)
+            prior = np.log((total + 1) / (total.sum() + areas + 1))
+            if step == EM_ROUNDS:
+                break
+            score = np.add.reduceat(odds[at], starts) + prior + mask
+            share = np.exp(score - score.max(1, keepdims=True))
+            share /= share.sum(1, keepdims=True)
+        best = held.argmax(1)
+        sure = (n >= LEAST_SENTENCES) & (held.max(1) >= LEAST_SHARE * n) & (best < areas)
+        lexicon = {w: int(best[i]) for w, i in index.items() if sure[i]}
+        lexicon |= {w: k for w, k in told_by.items() if w not in lexicon and (w not in index or n[index[w]] < LEAST_SENTENCES)}
+        return cls(areas, index, odds, prior, lexicon)
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_memo": {}}
+
+    def vote(self, sentence: str) -> tuple[int, int]:
+        """The lexicon's area (-1 without any or with a tie) and the word model's (-1 if it is not sure)."""
+        told = frozenset(w for w in _telling(sentence) if w in self.index or w in self.lexicon)
+        if told in self._memo:
+            return self._memo[told]
+        if len(self._memo) > 50_000:
+            self._memo.clear()
+        top = Counter(self.lexicon[w] for w in told if w in self.lexicon).most_common(2)
+        by_lexicon = -1 if not top or len(top) > 1 and top[0][1] == top[1][1] else top[0][0]
+        by_words = -1
+        if self.odds is not None and (rows := [self.index[w] for w in told if w in self.index]):
+            score = self.odds[rows].sum(0) + self.prior
+            k = int(score.argmax())
+            if k < self.areas and 1 >= WORD_SURE * float(np.exp(score - score[k]).sum()):
+                by_words = k
+        self._memo[told] = by_lexicon, by_words
+        return by_lexicon, by_words
+
+
+def _description_words(descriptions: Sequence[str]) -> dict[str, int]:
+    """Words of four letters or more that only one subject's description has."""
+    owner: dict[str, set[int]] = defaultdict(set)
+    for i, d in enumerate(descriptions):
+        for w in _telling(words_of(plain(d or ""))):
+            if len(w) > 3:
+                owner[w].add(i)
+    return {w: min(v) for w, v in owner.items() if len(v) == 1}
 
 
 @dataclass
 class Judges:
     """The labelling functions."""
 
-    lexicon: Lexicon
-    model: WordModel
+    words: Words
     address: dict[str, int]
     source: dict[str, int]
 
@@ -218,7 +191,7 @@ class Judges:
         origin = self.source.get((source or "").strip().casefold(), -1)
         out = []
         for sentences in paragraphs:
-            own = [(self.lexicon.vote(s), self.model.vote(s)) for s in sentences]
+            own = [self.words.vote(s) for s in sentences]
             around: Counter[int] = Counter(v for pair in own for v in set(pair) if v >= 0)
             rows = []
             for a, b in own:
@@ -299,14 +272,17 @@ def areas_of(votes: list[list[tuple[int, ...]]], model: Accuracies) -> dict[int,
     return out
 
 
-def fit_judges(docs: DataFrame, labels: DataFrame, subjects: Sequence[str]) -> Judges:
-    """Labelling functions from at most ``MAX_LABELLED`` hand-labelled documents (bounded by parameter)."""
+def fit_judges(docs: DataFrame, labels: DataFrame, subjects: Sequence[str], descriptions: Sequence[str] = ()) -> Judges:
+    """Labelling functions from hand-labelled documents, at most ``MAX_LABELLED`` of them and ``MAX_CHARS``
+    characters (bounds by parameter)."""
     index = {s: i for i, s in enumerate(subjects)}
     hand = labels.where(F.col("doc_id").isNotNull() & F.col("subject").isin(list(subjects))).groupBy("doc_id").agg(F.collect_set("subject").alias("areas"))
     chosen = hand.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text", "container", "source").join(F.broadcast(chosen), "doc_id").collect()
-    lexicon = Lexicon.of(subjects)
-    model = WordModel.fit([(r.text, [index[a] for a in r.areas]) for r in rows], len(subjects), lexicon)
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text", "container", "source").join(F.broadcast(chosen), "doc_id")
+    room = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of MAX_LABELLED documents
+    kept = rows.select("doc_id", F.length("text").alias("n")).withColumn("sum", F.sum("n").over(room)).where(F.col("sum") <= MAX_CHARS).select("doc_id").distinct()
+    rows = sorted(rows.join(F.broadcast(kept), "doc_id").collect(), key=lambda r: (r.doc_id, r.text))
+    words = Words.fit([(r.text, sorted(index[a] for a in r.areas)) for r in rows], len(subjects), descriptions)
 
     def leaning(name: str) -> dict[str, int]:
         seen: dict[str, Counter[int]] = defaultdict(Counter)
@@ -315,22 +291,24 @@ def fit_judges(docs: DataFrame, labels: DataFrame, subjects: Sequence[str]) -> J
                 seen[r[name].strip().casefold()].update(index[a] for a in r.areas)
         return {k: c.most_common(1)[0][0] for k, c in seen.items() if sum(c.values()) >= 5 and c.most_common(1)[0][1] >= 0.6 * sum(c.values())}
 
-    return Judges(lexicon, model, leaning("container"), leaning("source"))
+    return Judges(words, leaning("container"), leaning("source"))
 
 
 def subject_areas(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
     """(doc_id, subject, probability): one row per area that a paragraph or more of the document is about.
 
     Null, empty and blank texts, and texts without any area, give no row; a doc_id in several rows gives
-    the areas of all of them once; null subjects are ignored; without labels the word model and the
-    address and source functions abstain. Every text is judged whole and once; the votes
+    the areas of all of them once; null subjects are ignored; without labels only the words of the
+    descriptions vote. Every text is judged whole and once; the votes
     are kept, counted by pattern (a bounded number of patterns goes to the driver), and assigned.
     """
-    names = [r[0] for r in subjects.where(F.col("subject").isNotNull()).groupBy("subject").agg(F.min("subject_no").alias("n")).orderBy("n", "subject").select("subject").collect()]
+    about = F.max("description") if "description" in subjects.columns else F.lit("")
+    listed = subjects.where(F.col("subject").isNotNull()).groupBy("subject").agg(F.min("subject_no").alias("n"), about.alias("about")).orderBy("n", "subject").collect()
+    names = [r.subject for r in listed]
     schema = T.StructType([docs.schema["doc_id"], T.StructField("subject", T.StringType()), T.StructField("probability", T.DoubleType())])
     if not names:
         return docs.sparkSession.createDataFrame([], schema)
-    judges = docs.sparkSession.sparkContext.broadcast(fit_judges(docs, labels, names))
+    judges = docs.sparkSession.sparkContext.broadcast(fit_judges(docs, labels, names, [r.about for r in listed]))
     base = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "container", "source")
     base = spread(base)
     voted = T.StructType([docs.schema["doc_id"], T.StructField("votes", T.StringType())])

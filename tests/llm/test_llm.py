@@ -455,16 +455,22 @@ def test_more_passes_give_the_same(spark, monkeypatch):
 # 10 - subjects
 
 
+STABILITY = ["A new disulfide bridge rigidified the loop.", "Proline made the variant heat-tolerant.", "Directed evolution lifted the unfolding point."]
+SOIL = ["Earthworms moved microplastic into the soil.", "Biofilms covered drifting debris.", "El suelo guarda microplásticos."]
+
+
 def test_paragraphs_and_mentions(spark):
-    stability = "A new disulfide bridge rigidified the loop. Proline made the variant heat-tolerant. Directed evolution lifted the unfolding point."
-    soil = "Earthworms moved microplastic into the soil. Biofilms covered drifting debris."
-    docs = [(1, f"{stability}\n\n{soil}"), (2, f"{stability} Earthworms moved microplastic into the soil."), (3, "Nothing of note here."), (4, None), (5, ""), (6, "Earthworms moved microplastic into the soil."), (6, soil)]
+    stability, soil = " ".join(STABILITY), " ".join(SOIL[:2])
+    docs = [(1, f"{stability}\n\n{soil}"), (2, f"{stability} {SOIL[0]}"), (3, "Nothing of note here."), (4, None), (5, ""), (6, SOIL[0]), (6, soil), (7, f"{STABILITY[1]} {STABILITY[2]}\n\n{SOIL[2]}")]
+    docs += [(k + i, " ".join(t[i % 2 :])) for k, t in ((100, STABILITY), (200, SOIL)) for i in range(6)]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"container": F.lit(None).cast("string"), "source": F.lit("s"), "subject": F.lit("clash")})
     names = spark.createDataFrame([(1, "stability_engineering"), (2, "environmental_fate"), (3, None)], "subject_no int, subject string")
-    none = spark.createDataFrame([], "doc_id long, subject string")
-    got = {(r.doc_id, r.subject) for r in subjects.subject_areas(df, none, names).collect()}
-    assert got == {(1, "stability_engineering"), (1, "environmental_fate"), (2, "stability_engineering"), (6, "environmental_fate")}
-    assert subjects.subject_areas(df, none, names.limit(0)).count() == 0 == subjects.subject_areas(df.limit(0), none, names).count()
+    labels = spark.createDataFrame([(100 + i, "stability_engineering") for i in range(6)] + [(200 + i, "environmental_fate") for i in range(6)] + [(None, "environmental_fate"), (1, "no such area")], "doc_id long, subject string")
+    got = {(r.doc_id, r.subject) for r in subjects.subject_areas(df, labels, names).collect() if r.doc_id < 100}
+    assert got == {(1, "stability_engineering"), (1, "environmental_fate"), (2, "stability_engineering"), (6, "environmental_fate"), (7, "stability_engineering"), (7, "environmental_fate")}
+    assert subjects.subject_areas(df, labels, names.limit(0)).count() == 0 == subjects.subject_areas(df.limit(0), labels, names).count()
+    told = names.withColumn("description", F.when(F.col("subject_no") == 2, "What earthworms and debris do").otherwise("Proteins"))
+    assert {(r.doc_id, r.subject) for r in subjects.subject_areas(df, labels.limit(0), told).collect()} >= {(6, "environmental_fate")}
 
 
 def test_accuracies_are_learned():
@@ -479,16 +485,18 @@ def test_accuracies_are_learned():
 
 
 def test_held_out_labels(spark):
-    docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    """Labels of half of the documents find the areas of the other half; no word is written down anywhere."""
+    folder = "/root/testdata/sf0.1"
     labels = {}
-    for r in spark.read.parquet("/root/testdata/sf0.01/subject_labels.parquet").collect():
+    for r in spark.read.parquet(f"{folder}/subject_labels.parquet").collect():
         labels.setdefault(r.doc_id, set()).add(r.subject)
     held = {d for d in labels if d % 2}
-    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rest = spark.read.parquet("/root/testdata/sf0.01/subject_labels.parquet").where("doc_id % 2 = 0")
+    base = spark.read.parquet(f"{folder}/documents.parquet")
+    rest = spark.read.parquet(f"{folder}/subject_labels.parquet").where("doc_id % 2 = 0")
     got = {}
-    for r in subjects.subject_areas(base, rest, spark.read.parquet("/root/testdata/sf0.01/subjects.parquet")).collect():
+    for r in subjects.subject_areas(base, rest, spark.read.parquet(f"{folder}/subjects.parquet")).collect():
         got.setdefault(r.doc_id, set()).add(r.subject)
     right = sum(len(got.get(d, set()) & labels[d]) for d in held)
-    assert right >= 0.85 * sum(len(labels[d]) for d in held) and right >= 0.85 * sum(len(got.get(d, set())) for d in held)
-    assert docs
+    recall, precision = right / sum(len(labels[d]) for d in held), right / sum(len(got.get(d, set())) for d in held)
+    print(f"held out: recall {recall:.3f}, precision {precision:.3f}")
+    assert recall >= 0.9 and precision >= 0.9
