@@ -120,20 +120,37 @@ def _digests(names: Sequence[str]):
     return run
 
 
+def spellings(df: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (k, form, seen, stored) of the values in which there is something to see, as 16-byte digests, and
+    the spellings (form, seen, stored, records) of the forms that have more than one."""
+    base = df.select(F.col(key).alias("k"), F.col(value).alias("_v")).where(F.col("k").isNotNull() & F.col("_v").isNotNull())
+    schema = T.StructType([base.schema["k"], *[T.StructField(c, T.BinaryType()) for c in ("form", "seen", "stored")]])
+    rows = cut(base.mapInArrow(_digests(schema.names), schema).distinct())  # each value is folded once
+    told = rows.groupBy("form", "seen", "stored").agg(F.count("*").alias("records"))
+    several = told.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
+    return rows, told.join(several, "form", "left_semi")
+
+
 def same_looking_pairs(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """(field_name, key_a, key_b): keys whose values look the same but differ in their characters.
 
-    Values that share their canonical form are candidates; those with one visual form are pairs. Null,
-    empty and blank values are in no pair; repeated rows count once; exact copies are no pair, nor is a
-    key with itself. Texts stay where they are: only 16-byte digests are shuffled, forms without a
-    second spelling are dropped by a partial aggregation first, and the join is on (form, seen), so a
-    group of exact copies meets only its other spellings.
+    Forms with more than one spelling are the candidates; the exact check is that two spellings of a form
+    have one visual form. Null, empty and blank values are in no pair; repeated rows count once; exact
+    copies are no pair, nor is a key with itself. Texts stay where they are: only 16-byte digests are
+    shuffled. Spellings are paired before their records, so exact copies never meet each other, and every
+    row that a join makes is a row of the result.
     """
-    base = df.select(F.col(key).alias("k"), F.col(value).alias("_v")).where(F.col("k").isNotNull() & F.col("_v").isNotNull())
-    schema = T.StructType([base.schema["k"], *[T.StructField(c, T.BinaryType()) for c in ("form", "seen", "stored")]])
-    rows = cut(base.mapInArrow(_digests(schema.names), schema).distinct())  # each value is folded once
-    spelt = rows.groupBy("form").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo < hi").select("form")
-    left = rows.join(spelt, "form", "left_semi")
-    a, b = left.alias("a"), left.alias("b")
-    hit = (F.col("a.form") == F.col("b.form")) & (F.col("a.seen") == F.col("b.seen")) & (F.col("a.stored") != F.col("b.stored")) & (F.col("a.k") < F.col("b.k"))
-    return a.join(b, hit).select(F.lit(name).alias("field_name"), F.col("a.k").alias("key_a"), F.col("b.k").alias("key_b")).distinct()
+    rows, told = spellings(df, key, value)
+    told = cut(told)
+    a, b = told.alias("a"), told.alias("b")
+    pairs = a.join(b, (F.col("a.form") == F.col("b.form")) & (F.col("a.seen") == F.col("b.seen")) & (F.col("a.stored") < F.col("b.stored"))).select(F.col("a.stored").alias("s"), F.col("b.stored").alias("t"))
+    one = pairs.join(rows.select(F.col("k").alias("x"), F.col("stored").alias("s")), "s").select("t", "x")
+    both = one.join(rows.select(F.col("k").alias("y"), F.col("stored").alias("t")), "t").where("x <> y")
+    return both.select(F.lit(name).alias("field_name"), F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
+
+
+def form_classes(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """(field_name, form, spellings, looks, records): one row per form that is held in more than one
+    spelling, with how many of them a reader can tell apart and how many records hold them."""
+    _, told = spellings(df, key, value)
+    return told.groupBy("form").agg(F.count("*").alias("spellings"), F.count_distinct("seen").alias("looks"), F.sum("records").alias("records")).select(F.lit(name).alias("field_name"), F.hex("form").alias("form"), "spellings", "looks", "records")

@@ -30,8 +30,10 @@ BLOCK = 6
 GAP_CHARS = 40
 #: Least characters of a stretch, and least share of the item in its two largest stretches.
 STRETCH_CHARS, SHARE = 40, 0.42
-#: Characters of items that are searched for in one pass; more items take more passes.
-ITEM_CHARS_PER_PASS = 8_000_000
+#: Characters of items that are searched for in one pass; more items take more passes. An item of n
+#: characters has n / STRIDE patterns and at most n blocks in the shift table, which is about 200 bytes a
+#: character, 200 MB a pass in each Python worker (measured: test_index_is_bounded).
+ITEM_CHARS_PER_PASS = 1_000_000
 
 _FOLD: dict[int, str | None] = {}
 

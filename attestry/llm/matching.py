@@ -263,14 +263,16 @@ def block_keys(words: Sequence[str], names: Sequence[str], entry: bool) -> list[
 
 def candidates(entries: DataFrame, units: DataFrame) -> DataFrame:
     """(eid, uid) pairs that share a key: entries and descriptions of units, not whole units, so a work
-    that a third of all documents hold meets an entry only under the descriptions that are near it."""
+    that a third of all documents hold meets an entry only under the descriptions that are near it. Pairs
+    whose years are known and more than two apart, which their log-odds rule out, end here."""
 
     def keyed(df: DataFrame, k: str, entry: bool) -> DataFrame:
         keys = F.pandas_udf(lambda w, n: pd.Series([block_keys(list(a), list(b), entry) for a, b in zip(w, n)]), T.ArrayType(T.LongType()))
-        return df.select(k, F.explode(keys("words", "names")).alias("key")).distinct()
+        return df.select(k, F.col("year").alias(f"{k}_year"), F.explode(keys("words", "names")).alias("key"))
 
     # exploded keys are far more than the planner takes them for, so neither side may be broadcast
-    return keyed(entries, "eid", True).hint("merge").join(keyed(units, "uid", False), "key").select("eid", "uid").distinct()
+    met = keyed(entries, "eid", True).hint("merge").join(keyed(units, "uid", False), "key")
+    return met.where(F.col("eid_year").isNull() | F.col("uid_year").isNull() | (F.abs(F.col("eid_year") - F.col("uid_year")) <= 2)).select("eid", "uid").distinct()
 
 
 def score_pairs(pairs: DataFrame, entries: DataFrame, units: DataFrame) -> DataFrame:
@@ -281,8 +283,6 @@ def score_pairs(pairs: DataFrame, entries: DataFrame, units: DataFrame) -> DataF
     # nor does any pair of known authors of whom none is alike (the distance admits all slips that near() does)
     slip = lambda a, b: F.levenshtein(a, b) <= F.when(F.least(F.length(a), F.length(b)) > 8, 4).otherwise(2)
     wide = wide.where((F.size("names") == 0) | (F.size("u_names") == 0) | F.arrays_overlap("names", "u_names") | F.exists("names", lambda a: F.exists("u_names", lambda b: slip(a, b))))
-    # nor does any pair whose years are known and more than two apart, by its log-odds
-    wide = wide.where(F.col("year").isNull() | F.col("u_year").isNull() | (F.abs(F.col("u_year") - F.col("year")) <= 2))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -354,8 +354,8 @@ def match_references(refs: DataFrame, staging: DataFrame, confidence: float = CO
     filled = known.select("unit", "words", F.when(F.size("names") > 0, F.col("names")).otherwise(F.coalesce("usual_names", "names")).alias("names"), F.coalesce("year", "usual_year").alias("year"))
     units = cut(filled.withColumn("uid", F.xxhash64("unit", "words", "names", "year")).dropDuplicates(["uid"]))
     entries = cut(read_entries(spread(refs)).where(F.size("words") > 0).withColumn("eid", F.xxhash64("ref_id", "words", "names", "year")))
-    pairs = candidates(entries, units)
-    edges = score_pairs(pairs, entries.select("eid", "words", "names", "year").distinct(), units).where(F.col("odds") > WEAK)
+    described = entries.select("eid", "words", "names", "year").dropDuplicates(["eid"])
+    edges = score_pairs(candidates(described, units), described, units).where(F.col("odds") > WEAK)
     found = propagate(edges).where(F.col("marginal") >= confidence)
     named = entries.select("ref_id", "eid").join(found, "eid")
     return named.join(member, "unit").groupBy("ref_id", "doc_id").agg(F.max("marginal").alias("confidence"))

@@ -26,12 +26,23 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_oversized(spread(spark.read.parquet(f"{d}/documents_staging.parquet").select("doc_id", "full_text")))
 
 
+def _looking(spark: SparkSession, d: str, of: Callable[..., DataFrame]) -> DataFrame:
+    out = None
+    for table, key, value in (("documents_staging", "doc_id", "full_text"), ("documents_curated", "chunk_id", "chunk_id"), ("mutant_stability", "record_id", "evidence_span")):
+        rows = spark.read.parquet(f"{d}/{table}.parquet").select(key, *{value} - {key})
+        one = of(spread(rows) if value != key else rows, key, value, f"{table}.{value}")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Values that look the same but differ in their characters."""
-    staging, curated, facts = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents_staging", "documents_curated", "mutant_stability"))
-    out = folding.same_looking_pairs(spread(staging.select("doc_id", "full_text")), "doc_id", "full_text", "documents_staging.full_text")
-    out = out.unionByName(folding.same_looking_pairs(curated, "chunk_id", "chunk_id", "documents_curated.chunk_id"))
-    return out.unionByName(folding.same_looking_pairs(spread(facts.select("record_id", "evidence_span")), "record_id", "evidence_span", "mutant_stability.evidence_span"))
+    return _looking(spark, d, folding.same_looking_pairs)
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Forms held in more than one spelling, with the number of records that hold them."""
+    return _looking(spark, d, folding.form_classes)
 
 
 def p3_forms(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +109,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_forms": p3_forms, 
+    "p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_classes": p3_classes, "p3_forms": p3_forms,
     "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_matches": p6_matches, "p7_found": p7_found, "p7_clean": p7_clean,
     "p8_ids": p8_ids, "p9_found": p9_found,
     "p10_found": p10_found, "p10_areas": p10_areas,

@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import random
 import time
+import tracemalloc
 import unicodedata
 
 import pytest
@@ -146,6 +147,8 @@ def test_same_looking_pairs_equal_brute_force(spark):
     want = {(a, b) for (a, x), (b, y) in itertools.product(rows, rows) if a < b and x and y and x != y and folding.visual(x) and folding.visual(x) == folding.visual(y)}
     assert {(r.key_a, r.key_b) for r in folding.same_looking_pairs(df, "k", "v", "f").collect()} == want
     assert folding.same_looking_pairs(df.limit(0), "k", "v", "f").count() == 0
+    classes = folding.form_classes(df, "k", "v", "f").orderBy("records").collect()
+    assert len(classes) == 1 and classes[0].looks == 3 and classes[0].spellings == 6
 
 
 # 4 - splits
@@ -445,6 +448,15 @@ def test_leaks(spark):
     assert leaks.leaked_items(df, items.limit(0)).count() == 0 == leaks.leaked_items(df.limit(0), items).count()
 
 
+def test_index_is_bounded():
+    rnd = random.Random(14)
+    tracemalloc.start()
+    leaks.WuManber([(i, "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1000))) for i in range(100)])
+    size = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size < 300 * 100_000  # bytes a character of random, that is most different, items
+
+
 def test_more_passes_give_the_same(spark, monkeypatch):
     docs, items = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/eval_items.parquet")
     one = {tuple(r) for r in leaks.leaked_items(docs, items).collect()}
