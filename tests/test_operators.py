@@ -223,6 +223,19 @@ CASES = {
     "Compared to wild-type IsPETase, ThermoPETase has a Tm of 56.6 °C.": [("ThermoPETase", "", "Tm", 56.6, "high")],
     "DuraPETase reached a Tm = 77 °C in the presence of 20 mM Ca2+.": [("DuraPETase", "", "Tm", 77.0, "medium")],
     "A Tm of 300 °C was seen for LCC.": [],
+    "A Tm of 62.5 °C was found for the LCC variant F243I.": [("LCC", "F243I", "Tm", 62.5, "high")],
+    "The variant had a Tm of 71 °C for PET films.": [],
+    "The melting temperature of EmberPETase L181R was 61.21 ℃ in buffer.": [("EmberPETase", "L181R", "Tm", 61.21, "high")],
+    "Shift in melting temperature = 25.2 °C for XenMHETase T204Q.": [("XenMHETase", "T204Q", "dTm", 25.2, "low")],
+    "HotPETase showed a ΔTm of 3-5 °C.": [("HotPETase", "", "dTm", 4.0, "low")],
+    "The Tm of TfCut2 decreased by 2.5 °C.": [("TfCut2", "", "dTm", -2.5, "low")],
+    "IsPETase with Ser121Glu has a Tm of 50.1 °C.": [("IsPETase", "S121E", "Tm", 50.1, "high")],
+    "IsPETase was unstable, whereas under load the Tm was 45 °C.": [("IsPETase", "", "Tm", 45.0, "low")],
+    "LCC has a Tm of about 86 °C.": [("LCC", "", "Tm", 86.0, "low")],
+    "The cutinase had a Tm of 60 °C.": [("cutinase", "", "Tm", 60.0, "medium")],
+    "LCC had a Tm of 84 °C and a Tm of 88 °C.": [("LCC", "", "Tm", 84.0, "high"), ("", "", "Tm", 88.0, "low")],
+    "The glass transition T g of 78 °C and Tm of 90 °C belong to LCC.": [],
+    "Tm unknown.": [], "": [],
 }
 
 
@@ -232,6 +245,22 @@ def test_facts_of_sentences():
         assert all(q[6] in q[10] for q in quoted(text))
 
 
+def test_facts_of_pieces(spark):
+    from attestry.operators.facts import extract_facts, extraction_stats, table_triage
+
+    table = "Table 1 Tm " + "IsPETase S121E 46.8 °C Tm " * 40
+    rows = [
+        ("d#2", "d", "The Tm of LCC was 84.7 °C. LCC had a Tm of 84.7 °C."), ("d#10", "d", "The Tm of LCC was 84.7 °C."), ("e#1", "e", "The Tm of LCC was 84.7 °C."), ("e#2", "e", None), ("e#3", "e", ""), ("e#4", "e", "No cue at 50 °C."),
+        ("f#1", "f", table), ("d#2", "d", "The Tm of LCC was 84.7 °C. LCC had a Tm of 84.7 °C."),
+    ]
+    df = spark.createDataFrame(rows, "chunk_id string, doc_id string, text string").withColumn("value", F.lit("clash"))
+    got = extract_facts(df, is_table=classify.is_table_line).orderBy("doc_id").collect()
+    assert [(r.chunk_id, r.doc_id, r.value, r.sentence_no) for r in got] == [("d#2", "d", 84.7, 0), ("e#1", "e", 84.7, 0)]
+    assert len({r.record_id for r in got}) == 2 and extraction_stats(extract_facts(df, is_table=classify.is_table_line)).first().facts == 2
+    assert [(r.chunk_id, r.cues, r.mutations) for r in table_triage(df, classify.is_table_line).collect()] == [("f#1", 41, 1)]
+    assert extract_facts(df.limit(0)).count() == 0
+
+
 def test_timestamps_are_plain(spark):
     from attestry.tables import free_name, with_timestamps
 
