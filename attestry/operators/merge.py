@@ -49,21 +49,33 @@ def add_columns(df: DataFrame, wanted: T.StructType) -> tuple[DataFrame, list[st
     return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}) if missing else df, [f.name for f in missing]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever file system the path names; other errors are raised."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def publish(df: DataFrame, root: str, partition_by: tuple[str, ...] = ()) -> str:
-    """Write a version of a table beside the others and point ``root/_current`` at it; readers of the old
-    version are not disturbed, and a writer that dies leaves the pointer as it was."""
-    version = f"{root}/v-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(version)
+    """Write a version of a table beside the others and then append a pointer to it under
+    ``root/_versions``; the pointer with the highest number is the current one. Nothing is overwritten, so
+    readers of the old version are not disturbed and a writer that dies before the last step changes nothing."""
     spark = df.sparkSession
-    spark.createDataFrame([(version,)], "path string").coalesce(1).write.mode("overwrite").parquet(f"{root}/_current")
+    version, pointers = f"{root}/v-{uuid.uuid4().hex}", f"{root}/_versions"
+    df.write.partitionBy(*partition_by).parquet(version)
+    number = 1 + (spark.read.parquet(pointers).agg(F.max("number")).first()[0] if exists(spark, pointers) else 0)
+    spark.createDataFrame([(number, version)], "number long, path string").coalesce(1).write.mode("append").parquet(pointers)
     return version
 
 
+def published(spark: SparkSession, root: str) -> bool:
+    return exists(spark, f"{root}/_versions")
+
+
 def current(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(spark.read.parquet(f"{root}/_current").first()[0])
+    return spark.read.parquet(spark.read.parquet(f"{root}/_versions").agg(F.max_by("path", "number")).first()[0])
 
 
 def audit_row(spark: SparkSession, values: Mapping[str, str], refs: list[str]) -> DataFrame:
-    """One audit event: a fresh id, the server's time, sorted distinct references (200 at most)."""
-    base = spark.createDataFrame([(*values.values(), sorted(set(refs))[:200])], T.StructType([*[T.StructField(k, T.StringType()) for k in values], T.StructField("refs", T.ArrayType(T.StringType()))]))
+    """One audit event: a fresh id, the server's time, sorted distinct references."""
+    base = spark.createDataFrame([(*values.values(), sorted(set(refs)))], T.StructType([*[T.StructField(k, T.StringType()) for k in values], T.StructField("refs", T.ArrayType(T.StringType()))]))
     return base.select(F.expr("uuid()").alias("event_id"), F.current_timestamp().alias("ts"), "*")

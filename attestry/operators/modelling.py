@@ -51,16 +51,18 @@ def electric(seq: pd.Series) -> pd.DataFrame:
 def descriptors(features: DataFrame, sequence: str = "sequence") -> DataFrame:
     """(enzyme_id, seq_length, composition, aromaticity, gravy, molecular_weight, ...) from sequences.
 
-    Counts are taken in the JVM; only the iterative isoelectric point goes to Python. A null or empty
-    sequence gives a length of 0 and nulls.
+    Letters that are no standard residue are counted and then left out of everything else. Counts are
+    taken in the JVM; only the iterative isoelectric point goes to Python. A null or empty sequence gives a
+    length of 0 and nulls.
     """
-    rows = features.select("enzyme_id", bare_sequence(F.col(sequence)).alias("_s")).distinct()
+    raw = features.select("enzyme_id", bare_sequence(F.col(sequence)).alias("_raw")).distinct()
+    rows = raw.withColumn("_s", F.regexp_replace("_raw", f"[^{RESIDUES}]", ""))
     n = F.nullif(F.length("_s"), F.lit(0))
     count = {a: F.length("_s") - F.length(F.replace("_s", F.lit(a), F.lit(""))) for a in RESIDUES}
     total = lambda table: sum((count[a] * v for a, v in table.items()), F.lit(0.0))
     share = lambda letters: sum((count[a] for a in letters), F.lit(0)) / n
     wide = rows.select(
-        "enzyme_id", F.coalesce(F.length("_s"), F.lit(0)).alias("seq_length"), (F.length("_s") - sum(count.values(), F.lit(0))).alias("nonstandard_residues"),
+        "enzyme_id", F.coalesce(F.length("_s"), F.lit(0)).alias("seq_length"), (F.length("_raw") - F.length("_s")).alias("nonstandard_residues"),
         *[(count[a] / n).alias(f"aa_{a.lower()}") for a in RESIDUES], share("FWY").alias("aromaticity"), share("AVILMFWC").alias("hydrophobic_fraction"),
         (total(HYDROPATHY) / n).alias("gravy"), F.when(n.isNotNull(), total(MASS) + WATER).alias("molecular_weight"), electric("_s").alias("_e"),
     )
@@ -121,33 +123,59 @@ def knn_labels(table: DataFrame, queries: DataFrame, k: int, key: str, vector: s
     return votes.groupBy("query_id").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(label).alias("l"))).alias("w")).select("query_id", F.col("w.l").alias("guess"))
 
 
-def bins(df: DataFrame, columns: Sequence[str], n: int = 4) -> DataFrame:
-    """Each column as its quantile bin (0 to n - 1), -1 for null and NaN. One pass for all quantiles."""
+def edges(df: DataFrame, columns: Sequence[str], n: int = 4) -> dict[str, list[float]]:
+    """Quantiles that part each column into ``n`` bins, all in one pass."""
     q = df.agg(*[F.percentile_approx(F.when(~F.isnan(c), F.col(c).cast("double")), [i / n for i in range(1, n)], 1000).alias(c) for c in columns]).first()
+    return {c: q[c] or [] for c in columns}
+
+
+def binned_at(df: DataFrame, at: Mapping[str, Sequence[float]]) -> DataFrame:
+    """Each column as its bin (0 to n - 1), -1 for null and NaN."""
     binned = {}
-    for c in columns:
+    for c, points in at.items():
         value = F.col(c).cast("double")
-        binned[f"{c}_bin"] = F.when(value.isNull() | F.isnan(value), F.lit(-1)).otherwise(sum(((value > F.lit(x)).cast("int") for x in (q[c] or [])), F.lit(0)))
+        binned[f"{c}_bin"] = F.when(value.isNull() | F.isnan(value), F.lit(-1)).otherwise(sum(((value > F.lit(x)).cast("int") for x in points), F.lit(0)))
     return df.withColumns(binned)
 
 
-def table_model_scores(binned: DataFrame, columns: Sequence[str], truth: str, fold: str, weight: str | None = None) -> DataFrame:
+def bins(df: DataFrame, columns: Sequence[str], n: int = 4) -> DataFrame:
+    """Each column as its quantile bin."""
+    return binned_at(df, edges(df, columns, n))
+
+
+def table_model_scores(binned: DataFrame, columns: Sequence[str], truth: str, fold: str, weight: str | None = None, train: DataFrame | None = None) -> DataFrame:
     """(fold, accuracy) of a table model: the label that is most frequent outside the fold among rows
-    with the same bins. Counts only; ``weight`` is the column with the rows that a row stands for."""
+    with the same bins. Counts only; ``weight`` is the column with the rows that a row stands for. The
+    labels are learned from ``train`` where that is given (another version of the same rows), else from
+    ``binned``; it is always ``binned`` that is scored."""
     keys = [f"{c}_bin" for c in columns]
-    cells = binned.where(F.col(truth).isNotNull() & F.col(fold).isNotNull()).groupBy(*keys, fold, truth).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
-    per_key = cells.groupBy(*keys, truth).agg(F.sum("n").alias("all"))
-    here = cells.select(*keys, fold).distinct()
+    count = lambda df: df.where(F.col(truth).isNotNull() & F.col(fold).isNotNull()).groupBy(*keys, fold, truth).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
+    asked = count(binned)
+    known = asked if train is None else count(train)
+    per_key = known.groupBy(*keys, truth).agg(F.sum("n").alias("all"))
+    here = asked.select(*keys, fold).distinct()
     rest = here.join(per_key, keys) if keys else here.crossJoin(per_key)
-    rest = rest.join(cells, [*keys, fold, truth], "left").select(*keys, fold, truth, (F.col("all") - F.coalesce("n", F.lit(0))).alias("rest"), F.coalesce("n", F.lit(0)).alias("n"))
-    best = rest.groupBy(*keys, fold).agg(F.max_by("n", F.struct("rest", F.col(truth).cast("string"))).alias("hit"), F.sum("n").alias("rows"))
-    return best.groupBy(fold).agg((F.sum("hit") / F.sum("rows")).alias("accuracy"))
+    guess = rest.join(known.withColumnRenamed("n", "own"), [*keys, fold, truth], "left").select(*keys, fold, F.struct((F.col("all") - F.coalesce("own", F.lit(0))).alias("n"), F.col(truth).cast("string").alias("t")).alias("g"))
+    best = guess.groupBy(*keys, fold).agg(F.max("g").alias("g"))
+    scored = asked.join(best, [*keys, fold], "left")
+    return scored.groupBy(fold).agg((F.sum(F.when(F.col(truth).cast("string") == F.col("g.t"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
+
+
+SCENARIOS = ("original", "noise", "missing", "few", "flipped")
+
+
+def scenario_pair(df: DataFrame, name: str, columns: Sequence[str], truth: str, key: Column, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(train, test) of an adverse scenario: noise and missing values disturb what is tested, fewer rows
+    (three tenths) and flipped labels what is learned from; the truth that scores are taken against stays."""
+    if name in ("noise", "missing"):
+        return df, scenario(df, name, columns, truth, key, seed)
+    return scenario(df, name, columns, truth, key, seed), df
 
 
 def scenario(df: DataFrame, name: str, columns: Sequence[str], truth: str, key: Column, seed: int = 0) -> DataFrame:
     """An adverse version of a table: ``original``, ``noise`` (0.2 of a column's deviation), ``missing``
-    (a fifth of the values gone), ``flipped`` (a tenth of the labels turned). Seeded by key, so it is the
-    same for any partitioning."""
+    (a fifth of the values gone), ``few`` (three tenths of the rows), ``flipped`` (a tenth of the labels
+    turned). Seeded by key, so it is the same for any partitioning."""
     draw = lambda salt: F.pmod(F.xxhash64(key, F.lit(seed), F.lit(salt)), F.lit(1_000_000)) / 1_000_000
     if name == "noise":
         spread: Mapping[str, float] = df.agg(*[F.stddev_pop(F.when(~F.isnan(c), F.col(c).cast("double"))).alias(c) for c in columns]).first().asDict()
@@ -156,6 +184,8 @@ def scenario(df: DataFrame, name: str, columns: Sequence[str], truth: str, key:
         return df.withColumns({c: F.col(c) + 0.2 * (spread[c] or 0.0) * normal(c) for c in columns})
     if name == "missing":
         return df.withColumns({c: F.when(draw(c) >= 0.2, F.col(c)) for c in columns})
+    if name == "few":
+        return df.where(draw("row") < 0.3)
     if name == "flipped":
         return df.withColumn(truth, F.when(draw("label") < 0.1, ~F.col(truth)).otherwise(F.col(truth)))
     return df

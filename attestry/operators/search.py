@@ -77,22 +77,30 @@ def minimal_subset(columns: Sequence[str], score: Callable[[tuple[str, ...]], fl
     return best, rate(best)
 
 
-def alpha_beta(state: Hashable, depth: int, moves: Callable[[Hashable], Sequence[Hashable]], value: Callable[[Hashable], float], maximise: bool = True, low: float = -math.inf, high: float = math.inf) -> tuple[float, int]:
-    """Minimax value within the window, and how many leaves were valued."""
+def alpha_beta(state: Hashable, depth: int, moves: Callable[[Hashable], Sequence[Hashable]], value: Callable[[Hashable], float], maximise: bool = True, low: float = -math.inf, high: float = math.inf) -> tuple[float, Hashable | None, int]:
+    """(minimax value, best move, leaves valued). Fail-hard: the value never leaves the window low..high. Of
+    moves of equal value the first; the value of a state that was cut off is a bound of its true value."""
     options = moves(state) if depth else ()
     if not options:
-        return value(state), 1
-    best, leaves = (-math.inf, 0) if maximise else (math.inf, 0)
+        return min(max(value(state), low), high), None, 1
+    best, leaves = None, 0
     for other in options:
-        got, n = alpha_beta(other, depth - 1, moves, value, not maximise, low, high)
+        got, _, n = alpha_beta(other, depth - 1, moves, value, not maximise, low, high)
         leaves += n
-        if maximise:
-            best, low = max(best, got), max(low, got)
-        else:
-            best, high = min(best, got), min(high, got)
+        if maximise and got > low or not maximise and got < high:
+            best = other
+            low, high = (got, high) if maximise else (low, got)
         if low >= high:
             break
-    return min(max(best, -math.inf), math.inf), leaves
+    return (low if maximise else high), best if best is not None else options[0], leaves
+
+
+def worst_case_choice(options: Sequence[str], adversities: Sequence[str], score: Callable[[str, str], float]) -> tuple[str, float, int]:
+    """(option, its worst score, scores computed): the option whose worst score over the adversities is
+    best, a game of two moves in which scores that cannot matter are not computed."""
+    root: tuple = ()
+    worst, best, n = alpha_beta(root, 2, lambda s: [(*s, x) for x in (options if not s else adversities)], lambda s: score(*s))
+    return best[0], worst, n
 
 
 def evolve(genes: dict[str, Sequence], fitness: Callable[[list[dict]], list[float]], population: int = 12, generations: int = 10, mutation: float = 0.1, elite: float = 0.25, patience: int = 4, seed: int = 0) -> tuple[dict, float]:

@@ -68,17 +68,19 @@ def conditions_long(spark: SparkSession, d: str) -> DataFrame:
     """Highest activity per enzyme and condition as condition columns, then in long form again."""
     rows = read(spark, d, "pet_activity_ml").where(F.col("activity").isNotNull() & ~F.isnan("activity"))
     name = F.concat_ws("_", F.lit("activity_at"), F.format_string("%.1f", "ph"), F.col("temperature_c").cast("string"), "substrate")
-    seen = [r[0] for r in rows.select(name.alias("n")).distinct().orderBy("n").limit(2000).collect()]  # conditions of the assay, not data
+    seen = sorted(r[0] for r in rows.select(name.alias("n")).distinct().collect())  # columns of a table, so their names are few
     wide = rows.withColumn("n", name).groupBy("enzyme_id").pivot("n", seen).agg(F.max("activity"))
     long = modelling.to_long(wide, ["enzyme_id"], [c for c in wide.columns if c != "enzyme_id"])
     return modelling.measured_conditions(long)
 
 
 def ml_view(spark: SparkSession, d: str) -> DataFrame:
-    """Measurements with the features of their enzyme, each column once."""
+    """Measurements with the features of their enzyme, each column once; NaN is no measurement."""
     measured, features = read(spark, d, "pet_activity_ml"), read(spark, d, "enzyme_features")
     both = [c for c in features.columns if c in measured.columns and c != "enzyme_id"]
-    return measured.join(features.drop(*both, "sequence"), "enzyme_id").select("enzyme_id", "ph", "temperature_c", "substrate", "activity", "is_active", "instability_index", "helix_fraction", "aa_l")
+    wide = measured.join(features.drop(*both, "sequence"), "enzyme_id")
+    kept = ("enzyme_id", "ph", "temperature_c", "substrate", "activity", "is_active", "instability_index", "helix_fraction", "aa_l")
+    return wide.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if dict(wide.dtypes)[c] == "double" else F.col(c) for c in kept])
 
 
 def class_balance(spark: SparkSession, d: str) -> DataFrame:
@@ -135,20 +137,36 @@ def minimal_columns(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(c, i, round(value, 6)) for i, c in enumerate(best, 1)], "column_name string, place int, score double")
 
 
-def robust_minimax(spark: SparkSession, d: str) -> DataFrame:
-    """Worst score of three table models over adverse versions of the table, best first."""
+MODELS = {"conditions": CONDITIONS[:2], "sequence": CONDITIONS[2:], "all": CONDITIONS}
+
+
+def _scenario_scores(spark: SparkSession, d: str, model: str, name: str) -> DataFrame:
     rows = _measured(spark, d).withColumns({c: F.col(c).cast("double") for c in CONDITIONS})
     key = F.concat_ws("|", "enzyme_id", "ph", "temperature_c", "substrate", "activity")
-    models = {"conditions": CONDITIONS[:2], "sequence": CONDITIONS[2:], "all": CONDITIONS}
+    train, test = modelling.scenario_pair(rows, name, CONDITIONS, "is_active", key)
+    edges = modelling.edges(rows, CONDITIONS)  # of the undisturbed table, for both sides
+    binned = [modelling.binned_at(x, edges) for x in (train, test)]
+    return modelling.table_model_scores(binned[1], MODELS[model], "is_active", "cv_split", train=binned[0]).agg(F.lit(model).alias("model"), F.lit(name).alias("scenario"), F.avg("accuracy").alias("score"))
+
+
+def robust_minimax(spark: SparkSession, d: str) -> DataFrame:
+    """Worst score of three table models over adverse versions of the table, best first."""
     out = None
-    for name in ("original", "noise", "missing", "flipped"):
-        table = _binned(modelling.scenario(rows, name, CONDITIONS, "is_active", key))
-        for model, columns in models.items():
-            one = modelling.table_model_scores(table, columns, "is_active", "cv_split").agg(F.lit(model).alias("model"), F.lit(name).alias("scenario"), F.avg("accuracy").alias("score"))
+    for name in modelling.SCENARIOS:
+        for model in MODELS:
+            one = _scenario_scores(spark, d, model, name)
             out = one if out is None else out.unionByName(one)
     return out.groupBy("model").agg(F.round(F.min("score"), 6).alias("worst"), F.min_by("scenario", "score").alias("scenario"))
 
 
+def robust_choice(spark: SparkSession, d: str) -> DataFrame:
+    """The model whose worst case is best, found by alpha-beta search; scores that cannot matter are not
+    computed, and how many were is told."""
+    score = lambda model, name: float(_scenario_scores(spark, d, model, name).first()["score"] or 0.0)
+    best, worst, n = search.worst_case_choice(list(MODELS), modelling.SCENARIOS, score)
+    return spark.createDataFrame([(best, round(worst, 6), n, len(MODELS) * len(modelling.SCENARIOS))], "model string, worst double, computed int, of int")
+
+
 def tree_cv(spark: SparkSession, d: str) -> DataFrame:
     """A decision tree over fixed folds: mean macro-F1, its deviation, and the gap to training."""
     rows = _measured(spark, d).select("cv_split", "substrate", *[F.col(c).cast("double").alias(c) for c in CONDITIONS], F.col("is_active").cast("double").alias("label")).persist()
@@ -174,7 +192,7 @@ def tuned_table_model(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     loo_contrast, stratified_sample, sample_allocation, uniform_sample, wilson_by_lang, reidentified, descriptors, sequence_counts, composition_long, conditions_long, ml_view,
-    class_balance, majority_baseline, fold_stats, regression_errors, knn_predict, minimal_columns, robust_minimax, tree_cv, tuned_table_model,
+    class_balance, majority_baseline, fold_stats, regression_errors, knn_predict, minimal_columns, robust_minimax, robust_choice, tree_cv, tuned_table_model,
 )}
 
 _OK = "activity IS NOT NULL AND NOT isnan(activity)"
@@ -189,11 +207,12 @@ SQL = {
         SELECT section, least(n, greatest(3, round_even(60 * n / (SELECT sum(n) FROM g), 0)))::BIGINT AS drawn FROM g""",
     "wilson_by_lang": """WITH l AS (SELECT doc_id, count(DISTINCT subject) AS a FROM subject_labels GROUP BY 1), g AS (SELECT lang, count(*) FILTER (a > 1) AS good, count(*) AS n FROM l JOIN documents USING (doc_id) GROUP BY lang)
         SELECT lang, good, n, round((good / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(good / n * (1 - good / n) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n), 6) AS lower FROM g""",
-    "sequence_counts": f"WITH q AS (SELECT DISTINCT enzyme_id, {_CLEAN_SEQ} AS s FROM enzyme_features) SELECT enzyme_id, length(s)::INT AS seq_length, length(regexp_replace(s, '[{modelling.RESIDUES}]', '', 'g'))::INT AS nonstandard_residues, "
+    "sequence_counts": f"WITH r AS (SELECT DISTINCT enzyme_id, {_CLEAN_SEQ} AS raw FROM enzyme_features), q AS (SELECT *, regexp_replace(raw, '[^{modelling.RESIDUES}]', '', 'g') AS s FROM r) SELECT enzyme_id, length(s)::INT AS seq_length, (length(raw) - length(s))::INT AS nonstandard_residues, "
     f"round(({_N('F')} + {_N('W')} + {_N('Y')}) / length(s), 5) AS aromaticity, round(({' + '.join(f'{_N(a)} * {v}' for a, v in modelling.HYDROPATHY.items())}) / length(s), 5) AS gravy, round({_N('L')} / length(s), 5) AS aa_l FROM q",
     "composition_long": "SELECT enzyme_id, residue, share FROM (UNPIVOT (SELECT enzyme_id, " + ", ".join(f"aa_{a.lower()}" for a in modelling.RESIDUES) + " FROM enzyme_features) ON COLUMNS('aa_.*') INTO NAME residue VALUE share)",
     "conditions_long": f"WITH m AS (SELECT enzyme_id, format('{{:.1f}}', ph)::DOUBLE AS ph, temperature_c, substrate, max(activity) AS activity FROM pet_activity_ml WHERE {_OK} GROUP BY ALL) SELECT *, activity > 0 AS is_active FROM m",
-    "ml_view": "SELECT m.enzyme_id, ph, temperature_c, substrate, activity, is_active, instability_index, helix_fraction, aa_l FROM pet_activity_ml m JOIN enzyme_features f USING (enzyme_id)",
+    "ml_view": "SELECT m.enzyme_id, CASE WHEN NOT isnan(ph) THEN ph END AS ph, temperature_c, substrate, CASE WHEN NOT isnan(activity) THEN activity END AS activity, is_active, "
+    "CASE WHEN NOT isnan(instability_index) THEN instability_index END AS instability_index, CASE WHEN NOT isnan(helix_fraction) THEN helix_fraction END AS helix_fraction, CASE WHEN NOT isnan(aa_l) THEN aa_l END AS aa_l FROM pet_activity_ml m JOIN enzyme_features f USING (enzyme_id)",
     "class_balance": "SELECT substrate, temperature_c, count(*) FILTER (is_active) AS active, count(*) AS n FROM pet_activity_ml WHERE is_active IS NOT NULL GROUP BY ALL",
     "majority_baseline": """WITH r AS (SELECT cv_split, is_active FROM pet_activity_ml WHERE is_active IS NOT NULL AND cv_split IS NOT NULL),
         g AS (SELECT f.cv_split, (SELECT is_active FROM r WHERE r.cv_split <> f.cv_split GROUP BY is_active ORDER BY count(*) DESC, is_active LIMIT 1) AS guess FROM (SELECT DISTINCT cv_split FROM r) f),

@@ -58,7 +58,7 @@ def text_of_inverted(index: Column) -> Column:
 
 def sections_of_xml(xml: str | None) -> str:
     """Full text of an article's XML: ``## title`` lines, paragraphs and tables as one line each, in the
-    order of the document. Broken XML gives ''."""
+    order of the document. Broken XML, and an article without a body, give ''."""
     if not xml:
         return ""
     try:
@@ -80,8 +80,9 @@ def sections_of_xml(xml: str | None) -> str:
             else:
                 walk(child)
 
-    body = root.find(".//body")
-    walk(root if body is None else body)
+    body = next((x for x in root.iter() if x.tag.rpartition("}")[2] == "body"), None)
+    if body is not None:
+        walk(body)
     return "\n".join(x for x in out if x)
 
 
@@ -110,11 +111,15 @@ def staging_row(rows: DataFrame, source: str, fields: dict[str, Column], metadat
 
 
 def articles(payloads: DataFrame) -> DataFrame:
-    """Search answers of an article service: one record per row, full text as XML where open."""
+    """Search answers of an article service: one record per row, full text as XML where open. The id is the
+    first of pmid, pmcid and the service's own; a preprint is one by its source or its publication types."""
     c = F.col
-    kind = F.when(c("source") == "PPR", "preprint").otherwise("article")
+    types = F.transform(F.coalesce("pubTypeList.pubType", F.array().cast("array<string>")), F.lower)
+    kind = F.when((c("source") == "PPR") | F.exists(types, lambda t: t.contains("preprint")), "preprint").otherwise("article")
+    listed = F.filter(F.transform("authorList.author", lambda a: F.trim(a["fullName"])), lambda a: a != "")
+    written = F.filter(F.split(F.regexp_replace("authorString", r"\.$", ""), r",\s*"), lambda a: a != "")
     return staging_row(payloads, "europepmc", {
-        "source_id": F.coalesce("pmcid", "pmid", "id"), "doc_type": kind, "title": F.regexp_replace("title", r"\.$", ""), "authors": F.filter(F.split("authorString", r",\s*"), lambda a: a != ""),
+        "source_id": F.coalesce(*[F.nullif(c(k), F.lit("")) for k in ("pmid", "pmcid", "id")]), "doc_type": kind, "title": F.regexp_replace("title", r"\.$", ""), "authors": F.when(F.size(F.coalesce(listed, F.array())) > 0, listed).otherwise(written),
         "year": c("pubYear"), "doi": c("doi"), "license": c("license"), "is_open_access": c("isOpenAccess") == "Y", "abstract": F.regexp_replace("abstractText", "<[^>]+>", " "), "full_text": xml_text("fullTextXml"),
     }, {"journal": c("journalTitle"), "pmid": c("pmid"), "cited_by": c("citedByCount")})
 
@@ -146,7 +151,9 @@ def accessions(structure_rows: DataFrame) -> DataFrame:
 def predictions(payloads: DataFrame) -> DataFrame:
     """Predicted structures by accession; an accession without an answer has no row."""
     c = F.col
-    rows = payloads.where(c("uniprotAccession").isNotNull()).dropDuplicates(["uniprotAccession"])
+    told = payloads.where(c("uniprotAccession").isNotNull())
+    # of several models of an accession the latest, of equals the first by address
+    rows = told.groupBy("uniprotAccession").agg(F.max_by(F.struct(*[x for x in told.columns if x != "uniprotAccession"]), F.struct("modelCreatedDate", "cifUrl")).alias("r")).select("uniprotAccession", "r.*")
     return staging_row(rows, "alphafold", {"source_id": c("uniprotAccession"), "doc_type": F.lit("prediction"), "title": c("uniprotDescription"), "url": c("cifUrl"), "year": F.year(F.to_date("modelCreatedDate"))}, {"organism": c("organismScientificName"), "plddt": c("globalMetricValue")})
 
 

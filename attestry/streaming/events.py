@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -23,9 +22,10 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
     """A file source over a table that is a file or a folder; its time stamps are plain ones."""
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema)
-    if os.path.isdir(path):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
         return with_timestamps(reader.parquet(path))
-    folder, name = os.path.split(path)
+    folder, name = path.rsplit("/", 1)
     return with_timestamps(reader.option("pathGlobFilter", name).parquet(folder))
 
 
@@ -84,12 +84,17 @@ _STATE = T.StructType([T.StructField("arrived", T.LongType()), T.StructField("co
 _LIFECYCLE = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("answered", T.BooleanType()), T.StructField("version", T.LongType())])
 
 
-def lifecycle_stream(events: DataFrame, kinds: dict[str, str]) -> DataFrame:
+def lifecycle_stream(events: DataFrame, kinds: dict[str, str], late: str = LATE, idle: str = "30 days") -> DataFrame:
     """The same as a stateful stream keyed by user_id: arrival, completion and failure times are the
-    state; every batch emits the keys it touched, the last version of a key is its state."""
+    state; every batch emits the keys it touched, the last version of a key is its state. The state of a
+    key without an event for ``idle`` is dropped once the watermark has passed it, so it does not grow for ever."""
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
     names = {v: k for k, v in kinds.items()}
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         arrived, completed, failed = state.get if state.exists else (None, None, None)
         version = 0
         for p in batches:
@@ -103,12 +108,13 @@ def lifecycle_stream(events: DataFrame, kinds: dict[str, str]) -> DataFrame:
                 elif what == "failure":
                     failed = ts if failed is None else max(failed, ts)
         state.update((arrived, completed, failed))
+        state.setTimeoutTimestamp(max(version // 1000, state.getCurrentWatermarkMs()) + idle_ms)
         if arrived is not None:
             done = completed is not None and completed >= arrived and not (failed is not None and failed > completed)
             yield pd.DataFrame({"user_id": [key[0]], "answered": [done], "version": [version]})
 
-    rows = events.select("user_id", "event_type", F.unix_micros("ts").alias("micros"))
-    return rows.groupBy("user_id").applyInPandasWithState(step, _LIFECYCLE, _STATE, "update", GroupStateTimeout.NoTimeout)
+    rows = events.withWatermark("ts", late).select("user_id", "event_type", "ts", F.unix_micros("ts").alias("micros"))
+    return rows.groupBy("user_id").applyInPandasWithState(step, _LIFECYCLE, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def approvals(requests: DataFrame, answers: DataFrame, key: str, seconds: int = APPROVAL_SECONDS) -> DataFrame:
@@ -143,16 +149,14 @@ def ingest_files(spark: SparkSession, source: str, target: str, state: str, proj
 
 
 def upsert_stream(changes: DataFrame, root: str, key: str, state: str) -> None:
-    """Changes of a table as versions of a snapshot: each batch is merged into the current version."""
+    """Changes of a table as versions of a snapshot: each batch is merged into the current version. A batch
+    that comes again after a failure is merged again, with the same result."""
     from attestry.operators import merge
 
     def apply(batch: DataFrame, _: int) -> None:
         newest = batch.groupBy(key).agg(F.max(F.struct("version", *[c for c in batch.columns if c not in (key, "version")])).alias("r")).select(key, "r.*")
-        try:
-            stored = merge.current(batch.sparkSession, root)
-        except Exception:  # nothing is published yet
-            merge.publish(newest, root)
-            return
-        merge.publish(merge.merge_snapshot(stored, newest, key), root)
+        if merge.published(batch.sparkSession, root):
+            newest = merge.merge_snapshot(merge.current(batch.sparkSession, root), newest, key)
+        merge.publish(newest, root)
 
     changes.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(apply).start().awaitTermination()

@@ -155,6 +155,22 @@ def test_descriptors(spark):
     r = modelling.descriptors(spark.createDataFrame([("e", "acdef ghik\nlmnpqrstvwy*"), ("n", None)], "enzyme_id string, sequence string")).orderBy("enzyme_id").collect()
     assert r[0].seq_length == 20 and abs(r[0].molecular_weight - 2395.7) < 1 and abs(r[0].aa_a - 0.05) < 1e-9 and abs(r[0].gravy + 0.49) < 1e-6 and 6 < r[0].isoelectric_point < 8
     assert r[1].seq_length == 0 and r[1].gravy is None
+    odd = modelling.descriptors(spark.createDataFrame([("e", "AAXXB")], "enzyme_id string, sequence string")).first()
+    assert odd.seq_length == 2 and odd.nonstandard_residues == 3 and odd.aa_a == 1.0
+
+
+def test_scenarios_disturb_one_side(spark):
+    df = spark.createDataFrame([(i, float(i % 7), i % 3 == 0, i % 4) for i in range(400)], "i int, x double, y boolean, fold int")
+    for name in modelling.SCENARIOS:
+        train, test = modelling.scenario_pair(df, name, ["x"], "y", F.col("i").cast("string"))
+        assert (train is df) == (name in ("original", "noise", "missing")) and (test is df) == (name not in ("noise", "missing"))
+        assert test.count() == 400 and test.where("y").count() == df.where("y").count()
+    few = modelling.scenario_pair(df, "few", ["x"], "y", F.col("i").cast("string"))[0].count()
+    flipped = modelling.scenario_pair(df, "flipped", ["x"], "y", F.col("i").cast("string"))[0].join(df.select("i", F.col("y").alias("z")), "i").where("y <> z").count()
+    assert 80 < few < 160 and 20 < flipped < 65
+    rows = spark.createDataFrame([(0, True, 0)] * 3 + [(0, False, 1)] * 3 + [(1, False, 0)] * 2 + [(1, False, 1)] * 2, "x_bin int, y boolean, fold int")
+    got = {r.fold: r.accuracy for r in modelling.table_model_scores(rows, ["x"], "y", "fold").collect()}
+    assert got == {0: 0.4, 1: 0.4}  # each fold's bin 0 is guessed from the other fold
 
 
 def test_search_engines():
@@ -166,7 +182,11 @@ def test_search_engines():
     assert best == ("x", "z") and score == 0.9
     tree = {0: [1, 2], 1: [3, 4], 2: [5, 6]}
     leaf = {3: 3.0, 4: 5.0, 5: 2.0, 6: 9.0}
-    assert search.alpha_beta(0, 2, lambda s: tree.get(s, []), leaf.get) == (3.0, 3)
+    assert search.alpha_beta(0, 2, lambda s: tree.get(s, []), leaf.get) == (3.0, 1, 3)
+    # fail-hard: a value outside the window comes out as the window's edge
+    assert search.alpha_beta(0, 2, lambda s: tree.get(s, []), leaf.get, low=4.0, high=8.0)[0] == 4.0 and search.alpha_beta(0, 2, lambda s: tree.get(s, []), leaf.get, low=0.0, high=2.5)[0] == 2.5
+    table = {"a": (0.9, 0.2, 0.8), "b": (0.7, 0.6, 0.65), "c": (0.5, 0.9, 0.9)}
+    assert search.worst_case_choice(list(table), [0, 1, 2], lambda m, i: table[m][i]) == ("b", 0.6, 7)
     genome, value = search.evolve({"a": range(10), "b": range(10)}, lambda g: [float("nan") if x["a"] == 9 else x["a"] + x["b"] for x in g], population=30, generations=20, seed=3)
     assert value >= 15
 

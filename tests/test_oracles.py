@@ -16,7 +16,7 @@ def plain(v):
     if hasattr(v, "item"):
         v = v.item()
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6)
+        return "NaN" if math.isnan(v) else round(v, 6)
     return tuple(map(plain, v)) if isinstance(v, (list, tuple)) else v
 
 

@@ -1,6 +1,8 @@
 import json
+import shutil
 import tarfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from attestry.operators import merge
@@ -15,6 +17,16 @@ def test_inverted_abstract_and_xml(spark):
     assert records.sections_of_xml(xml) == "## Methods\nOne two\n## Sub\n1 2" and records.sections_of_xml("<broken") == "" == records.sections_of_xml(None)
 
 
+def test_article_ids_types_and_authors(spark):
+    schema = "id string, source string, pmid string, pmcid string, title string, authorString string, authorList struct<author:array<struct<fullName:string>>>, pubTypeList struct<pubType:array<string>>, pubYear int, doi string, license string, isOpenAccess string, abstractText string, fullTextXml string, journalTitle string, citedByCount int"
+    rows = [
+        ("X1", "MED", "77", "PMC5", "A title.", "A B, C D.", ([("Ana B",), ("Cy D",)],), (["Journal Article"],), 2020, None, None, "Y", "x", "<article><front><title>T</title></front></article>", "J", 1),
+        ("X2", "MED", "", "PMC6", "B", "A B, C D.", None, (["Preprint"],), 2021, None, None, "N", None, None, "J", 1), ("PPR1", "PPR", None, None, "C", None, None, None, 2021, None, None, "N", None, None, None, None),
+    ]
+    got = [(r.doc_id, r.doc_type, r.authors, r.full_text) for r in records.articles(spark.createDataFrame(rows, schema)).collect()]
+    assert got[0] == ("europepmc:77", "article", ["Ana B", "Cy D"], "") and got[1][:3] == ("europepmc:PMC6", "preprint", ["A B", "C D"]) and got[2][:2] == ("europepmc:PPR1", "preprint")
+
+
 def test_paging_and_retries():
     pages = {"*": ([{"i": 1}, {"i": 2}], "b"), "b": ([{"i": 3}], "b")}
     assert [r["i"] for r in records.cursor_pages(pages.get)] == [1, 2, 3] and len(list(records.cursor_pages(pages.get, limit=2))) == 2
@@ -71,6 +83,14 @@ def test_upsert_stream(spark, tmp_path):
     (source / "2.json").write_text('{"k": "b", "v": 6, "version": 2}\n')
     go()
     assert {r.k: r.v for r in merge.current(spark, str(tmp_path / "t")).collect()} == {"a": 2, "b": 6}
+    # a version that cannot be read is an error, not an empty table
+    shutil.rmtree(next((tmp_path / "t").glob("v-*")))
+    for p in (tmp_path / "t").glob("v-*"):
+        shutil.rmtree(p)
+    (source / "3.json").write_text('{"k": "c", "v": 7, "version": 1}\n')
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        go()
+    assert not list((tmp_path / "t").glob("v-*"))
 
 
 def test_approvals_at_the_limit(spark):
