@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 #: Dashes and quotes that are typed in many ways, and the plain sign of each.
 _SIGNS = {
-    **dict.fromkeys("‐‑‒–—―−﹣－", "-"), **dict.fromkeys("‘’‚‛′`´", "'"), **dict.fromkeys("“”„‟«»″", '"'),
+    **dict.fromkeys("‐‑‒–—―−﹣－", "-"), **dict.fromkeys("‘’‚‛′", "'"), **dict.fromkeys("“”„‟«»″", '"'),
     "µ": "μ", "∆": "Δ", "Ω": "Ω",
 }
 _TABLE = str.maketrans(_SIGNS)

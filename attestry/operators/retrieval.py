@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 #: Least similarity that counts as evidence, passages per document, least characters of a passage (fixed values).
 THRESHOLD, PER_DOCUMENT, PASSAGE_CHARS = 0.70, 3, 40
+#: What is said where nothing is found.
+NO_EVIDENCE = "No evidence was found in the approved corpus."
 #: Queries that are compared in one pass; more take more passes over the table.
 QUERIES_PER_PASS = 4096
 #: Characters of literals that are searched for in one pass.
@@ -115,18 +117,55 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{Nd}_]+"), F.lit(0)), lambda w: F.length(w) > 3))
 
 
-def passages(chunks: DataFrame, queries: DataFrame, per_document: int = PER_DOCUMENT) -> DataFrame:
-    """(query_id, chunk_id, doc_id, overlap, place): passages that share terms with a query, at most
-    ``per_document`` of each document by overlap and id. ``queries``: query_id, text.
+def signed(chunks: DataFrame) -> DataFrame:
+    """Passages that somebody approved and that are long enough to be one."""
+    return chunks.where((F.trim(F.coalesce("approved_by", F.lit(""))) != "") & (F.length("text") >= PASSAGE_CHARS))
 
-    Passages under 40 characters are no passages. The join is on terms, with the terms of the queries
-    (a stated, small set) on one side; counts are combined before the shuffle.
+
+def passages(chunks: DataFrame, queries: DataFrame, per_document: int = PER_DOCUMENT, results: int = 8, documents: DataFrame | None = None, section: str = "") -> DataFrame:
+    """(query_id, chunk_id, doc_id, overlap, evidence_span, rank): approved passages that share terms with a
+    query, at most ``per_document`` of each document and ``results`` of all, by overlap and then by id.
+
+    ``queries``: query_id, text. ``documents`` (query_id, doc_id) confines a query to its documents, such as
+    the hits of a vector search or the one document that is read; a query without documents finds none.
+    ``section`` is a part of the section's name. ``evidence_span`` is the passage to the letter.
+
+    The join is on terms, with those of the queries on one side; counts are combined before the shuffle and
+    texts join last, to the passages that are returned.
     """
+    rows = signed(chunks)
+    if section:
+        rows = rows.where(F.lower("section").contains(section.lower()))
+    rows = rows.groupBy("chunk_id", "doc_id").agg(F.max("text").alias("text"))
     asked = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term"))
-    told = chunks.where(F.length("text") >= PASSAGE_CHARS).select("chunk_id", "doc_id", F.explode(terms(F.col("text"))).alias("term"))
+    told = rows.select("chunk_id", "doc_id", F.explode(terms(F.col("text"))).alias("term"))
     counted = told.join(asked, "term").groupBy("query_id", "chunk_id", "doc_id").agg(F.count("*").alias("overlap"))
-    order = Window.partitionBy("query_id", "doc_id").orderBy(F.desc("overlap"), "chunk_id")
-    return counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_document)
+    if documents is not None:
+        counted = counted.join(documents.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
+    best = Window.partitionBy("query_id", "doc_id").orderBy(F.desc("overlap"), "chunk_id")
+    few = counted.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= per_document).drop("_n")
+    order = Window.partitionBy("query_id").orderBy(F.desc("overlap"), "doc_id", "chunk_id")
+    kept = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= results)
+    return kept.join(rows.select("chunk_id", "doc_id", F.trim("text").alias("evidence_span")), ["chunk_id", "doc_id"]).select("query_id", "chunk_id", "doc_id", "overlap", "evidence_span", "rank")
+
+
+def snippets(hits: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """The hits (query_id, doc_id, ...) with ``snippet``: the passage of the document that shares most terms
+    with the query, of equals the first by id; '' where none shares any."""
+    found = passages(chunks, queries, per_document=1, results=2**31 - 1, documents=hits)
+    return hits.join(found.select("query_id", "doc_id", F.col("evidence_span").alias("snippet")), ["query_id", "doc_id"], "left").withColumn("snippet", F.coalesce("snippet", F.lit("")))
+
+
+def answers(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, answered, citations, spoken): hits with ``has_evidence`` and ``snippet`` become citations in
+    the order of rank and the first sentence of the first snippet; a query without evidence has no citations
+    and the fixed message."""
+    good = hits.where("has_evidence").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "snippet"))).alias("h"))  # k hits a query
+    first = F.element_at(F.filter("h", lambda x: x["snippet"] != "")["snippet"], 1)
+    rows = queries.select("query_id").distinct().join(good, "query_id", "left")
+    cited = F.coalesce(F.col("h.doc_id"), F.array().cast("array<string>"))
+    said = F.when(F.size(F.coalesce(F.filter("h", lambda x: x["snippet"] != ""), F.array().cast("array<struct<rank:int,doc_id:string,snippet:string>>"))) > 0, first_sentence(first)).otherwise(F.lit(NO_EVIDENCE))
+    return rows.select("query_id", (F.size(cited) > 0).alias("answered"), cited.alias("citations"), said.alias("spoken"))
 
 
 def containing(texts: DataFrame, literals: DataFrame, text_key: str, text: str, literal_key: str, literal: str) -> DataFrame:

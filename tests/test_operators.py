@@ -122,17 +122,54 @@ def test_containment(spark):
     assert {tuple(r) for r in retrieval.containing(texts, literals, "d", "t", "i", "s").collect()} == {(1, 7), (1, 8), (3, 7), (1, 11), (3, 11)}
 
 
-def test_evidence(spark):
+def test_gate(spark):
     span = "The melting temperature of the enzyme was 46.8 C in buffer."
-    evidence = spark.createDataFrame([("e1", "d1", span, "r1", 46.8, "C"), ("e2", "d1", span, "r1", 46.9, "C"), ("e3", "gone", span, "r9", 46.8, "C"), ("e4", "d2", "46.8", "r1", 46.8, "c ")], "evidence_id string, doc_id string, evidence_span string, record_id string, value double, unit string")
-    corpus = spark.createDataFrame([("d1", f"x {span} y", True), ("d2", "no", None)], "doc_id string, text string, approved boolean")
-    records = spark.createDataFrame([("r1", 46.8, "C", True)], "record_id string, value double, unit string, verified boolean")
-    checked = provenance.check_evidence(evidence, corpus, records)
-    got = {r.evidence_id: r for r in checked.collect()}
-    assert got["e1"].passed and not got["e2"].number_in_span and not got["e3"].document_found and not got["e4"].span_long_enough
-    sources = spark.createDataFrame([("d1", "s")], "doc_id string, source string")
-    assert {r.doc_id: r.verdict for r in provenance.verdicts(checked, sources).collect()} == {"d1": "partly", "gone": "unsupported", "d2": "unsupported"}
-    assert provenance.receipt(checked).orderBy("doc_id").collect() == provenance.receipt(checked.repartition(5)).orderBy("doc_id").collect()
+    hypotheses = spark.createDataFrame([
+        ("good", "A statement that is long enough", "A prediction that is long enough", ["ph"]), ("bad", "short", None, ["ph", "nothing"]), ("lone", "A statement that is long enough", "A prediction that is long enough", []),
+        ("one", "A statement that is long enough", "A prediction that is long enough", None),
+    ], "hypothesis_id string, statement string, prediction string, variables array<string>")
+    evidence = spark.createDataFrame([
+        ("good", 1, " d1", span, 46.8, "r1"), ("good", 2, "d2", "Ｔhe   SECOND document says — quite something else.", None, ""), ("bad", 1, "d1", span, 46.9, "r1"), ("bad", 2, "gone", span, 46.8, "r9"),
+        ("bad", 3, "d2", span, None, "r9"), ("bad", 4, "d3", "short", None, "r2"), ("bad", 5, "d1", None, 8.0, None), ("one", 1, "d1", span, 46.8, "r1"),
+    ], "hypothesis_id string, evidence_no int, doc_id string, evidence_span string, value double, record_id string")
+    corpus = spark.createDataFrame([("d1", f"x {span} y", "ana", "s1"), ("d1", None, None, "s1"), ("d2", 'no\nThe second document says - quite something else. "End"', "bo", "s2"), ("d3", "a short text", " ", None)], "doc_id string, text string, approved_by string, source string")
+    records = spark.createDataFrame([("r1", 46.8, True, "x"), ("r2", 1.0, None, None)], "record_id string, value double, verified boolean, extracted_by string")
+    columns = spark.createDataFrame([("ph",)], "name string")
+    checks = provenance.gate(hypotheses, evidence, corpus, records, columns)
+    got = {(r.hypothesis_id, r.evidence_no, r.name): r for r in checks.collect()}
+    assert {k[2] for k in got} == {*provenance.GLOBAL_CHECKS, *provenance.EVIDENCE_CHECKS, provenance.WARNING}
+    assert {(k[1], k[2]) for k, r in got.items() if k[0] == "bad" and not r.passed} == {
+        (0, "enunciado_presente"), (0, "prediccion_presente"), (0, "variables_existen"), (1, "valor_en_span"), (1, "valor_coincide_registro"), (2, "doc_existe"), (3, "span_literal"), (3, "registro_existe"),
+        (4, "doc_aprobado"), (4, "span_suficiente"), (4, "registro_verificado"), (5, "span_suficiente"), (5, "span_literal"), (5, "valor_en_span"),
+    }
+    assert got["bad", 3, "span_literal"].detail == "not in d2; found in 1 other, first d1" and got["bad", 0, "variables_existen"].detail == "no such column: nothing"
+    assert got["bad", 1, "valor_coincide_registro"].value == 46.8 and got["bad", 1, "valor_coincide_registro"].threshold == 46.9 and (("bad", 2, "doc_aprobado") not in got)
+    told = {r.hypothesis_id: r for r in provenance.verdicts(checks).collect()}
+    assert {k: r.verdict for k, r in told.items()} == {"good": "ADMITIDA", "bad": "RECHAZADA", "lone": "RECHAZADA", "one": "ADMITIDA_CON_AVISOS"} and told["bad"].failed == 14 and told["one"].warnings == 1
+    assert provenance.verdicts(checks).orderBy("hypothesis_id").collect() == provenance.verdicts(checks.repartition(5)).orderBy("hypothesis_id").collect()
+    lines = [r.line for r in provenance.receipt_lines(checks).where("hypothesis_id = 'one'").orderBy("evidence_no", "place").collect()]
+    assert lines[0] == "[ok] respaldo_presente: 1 / 1" and "[warning] fuentes_distintas: 1 / 2 - all evidence comes from fewer sources" in lines and "[ok] respaldo[0].span_suficiente: 59 / 40" in lines
+    assert provenance.gate(hypotheses, evidence.limit(0), corpus, records).where("name = 'respaldo_presente'").select("passed").distinct().collect() == [Row(passed=False)]
+    assert provenance.gate(hypotheses.limit(0), evidence.limit(0), corpus, records).count() == 0
+
+
+def test_passages_snippets_and_answers(spark):
+    text = "The variant withstands sixty degrees of heat for a whole day."
+    chunks = spark.createDataFrame([
+        ("a#1", "a", "Results", f"  {text} ", "ana"), ("a#2", "a", "Methods", "A variant of heat was measured over degrees in a bath.", "ana"), ("a#3", "a", "Results", text.upper(), None), ("b#1", "b", "Results", text + " Indeed it does.", " "),
+        ("c#1", "c", "Results", text, "bo"), ("c#2", "c", "Results", "Unrelated sentences of sufficient length stand here.", "bo"), ("d#1", "d", "Results", "variant heat", "bo"), ("e#1", "e", None, None, "bo"),
+    ], "chunk_id string, doc_id string, section string, text string, approved_by string")
+    queries = spark.createDataFrame([(1, "Which variant withstands degrees of heat?"), (2, "and so on"), (3, "Nothing alike xylophone")], "query_id int, text string")
+    got = retrieval.passages(chunks, queries).orderBy("rank").collect()
+    assert [(r.chunk_id, r.overlap, r.rank) for r in got] == [("a#1", 4, 1), ("c#1", 4, 2), ("a#2", 3, 3)] and got[0].evidence_span == text
+    only = spark.createDataFrame([(1, "c"), (3, "c")], "query_id int, doc_id string")
+    assert [r.chunk_id for r in retrieval.passages(chunks, queries, documents=only).collect()] == ["c#1"] and retrieval.passages(chunks, queries, documents=only.limit(0)).count() == 0
+    assert [r.chunk_id for r in retrieval.passages(chunks, queries, per_document=1, results=1, section="METH").collect()] == ["a#2"]
+    hits = spark.createDataFrame([(1, "d", 1, True), (1, "c", 2, True), (3, "a", 1, False)], "query_id int, doc_id string, rank int, has_evidence boolean")
+    told = retrieval.snippets(hits, chunks, queries)
+    assert {(r.doc_id, r.snippet) for r in told.collect()} == {("d", ""), ("c", text), ("a", "")}
+    said = {r.query_id: r for r in retrieval.answers(queries, told).collect()}
+    assert said[1].answered and said[1].citations == ["d", "c"] and said[1].spoken == text and not said[3].answered and said[3].citations == [] and said[2].spoken == retrieval.NO_EVIDENCE
 
 
 def test_wilson_and_allocation(spark):
