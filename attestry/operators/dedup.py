@@ -1,4 +1,4 @@
-"""Duplicate records of one work: one survivor each, with the list of those it absorbed."""
+"""Duplicate records of one work: every document and the one that stands for it."""
 
 from __future__ import annotations
 
@@ -16,24 +16,23 @@ def has_text(text: Column) -> Column:
     return (F.coalesce(text, F.lit("")) != "") & ~F.coalesce(text, F.lit("")).rlike("(?i)" + classify.FILLER)
 
 
-def survivors(rows: DataFrame, key: Column, order: list[Column]) -> DataFrame:
-    """(doc_id, absorbed) of each group: its first row by ``order`` (larger first, then the smaller
-    doc_id) and the ids it absorbs. A null key is a group of its own.
+def membership(rows: DataFrame, key: Column, order: list[Column]) -> DataFrame:
+    """(doc_id, survivor) of every document: the survivor is the first of its group by ``order`` (larger
+    first, then the smaller doc_id). A null key is a group of its own.
 
-    The survivor is found by an aggregate, not by a window, so a group with a third of all rows is
-    merged before the shuffle; the ids it absorbs are the one thing that grows with a group.
+    The survivor is found by an aggregate, not by a window, and what it absorbs are rows, not a list, so no
+    row grows with a group.
     """
     ranked = rows.select("doc_id", key.alias("_k"), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("_o")).groupBy("doc_id").agg(F.min("_k").alias("_k"), F.max("_o").alias("_o"))
-    alone = ranked.where(F.col("_k").isNull()).select("doc_id", F.array().cast("array<string>").alias("absorbed"))
     grouped = ranked.where(F.col("_k").isNotNull())
     best = grouped.groupBy("_k").agg(F.max("_o").alias("_best"))
-    first = grouped.join(best, "_k").where(F.col("_o").eqNullSafe(F.col("_best"))).groupBy("_k").agg(F.min("doc_id").alias("w"))
-    taken = grouped.join(first, "_k").groupBy("_k", "w").agg(F.array_sort(F.collect_set(F.when(F.col("doc_id") != F.col("w"), F.col("doc_id")))).alias("absorbed"))
-    return alone.unionByName(taken.select(F.col("w").alias("doc_id"), "absorbed"))
+    first = grouped.join(best, "_k").where(F.col("_o").eqNullSafe(F.col("_best"))).groupBy("_k").agg(F.min("doc_id").alias("survivor"))
+    alone = ranked.where(F.col("_k").isNull()).select("doc_id", F.col("doc_id").alias("survivor"))
+    return alone.unionByName(grouped.join(first, "_k").select("doc_id", "survivor"))
 
 
 def deduplicate(staging: DataFrame) -> DataFrame:
-    """(doc_id, absorbed): surviving documents.
+    """(doc_id, survivor): every document and the one that stands for it, which is itself if it survives.
 
     First by DOI or, lacking one, content hash, within a kind; a record with text comes first, then the
     primary source, then the longer text and abstract. Then datasets, software and models with one title
@@ -45,14 +44,21 @@ def deduplicate(staging: DataFrame) -> DataFrame:
     hashed = F.when(F.coalesce("content_hash", F.lit("")) != "", F.concat(F.lit("h:"), "content_hash"))
     key = F.when(~kind.isin(*UNGROUPED), F.concat(kind, F.lit("|"), F.coalesce(F.concat(F.lit("d:"), doi), hashed)))
     order = [has_text(F.col("full_text")).cast("int"), (F.col("source") == "europepmc").cast("int"), F.length(F.coalesce("full_text", F.lit(""))), F.length(F.coalesce("abstract", F.lit("")))]
-    first = survivors(staging, key, order)
+    first = membership(staging, key, order)
     title = F.trim(F.regexp_replace(F.lower("title"), r"[^\p{L}\p{Nd}]+", " "))
     versioned = F.when(F.col("doc_type").isin(*VERSIONED) & (F.length(title) >= TITLE_CHARS), title)
-    kept = staging.join(first.select("doc_id"), "doc_id", "left_semi")
-    second = survivors(kept, versioned, [(F.col("source") == "zenodo").cast("int"), F.length(F.coalesce("abstract", F.lit("")))])
-    # absorbed lists are passed on: whatever an absorbed record had taken belongs to the final survivor
-    moved = second.select("doc_id", F.explode_outer("absorbed").alias("other"))
-    lists = first.select(F.col("doc_id").alias("other"), F.col("absorbed").alias("theirs"))
-    own = first.select("doc_id", F.col("absorbed").alias("mine"))
-    passed = moved.join(lists, "other", "left").groupBy("doc_id").agg(F.array_compact(F.collect_set("other")).alias("a"), F.flatten(F.collect_list(F.coalesce("theirs", F.array().cast("array<string>")))).alias("b"))
-    return passed.join(own, "doc_id").select("doc_id", F.array_sort(F.array_distinct(F.concat("a", "b", "mine"))).alias("absorbed"))
+    kept = staging.select("doc_id", "source", "doc_type", "title", "abstract").join(first.where("doc_id = survivor").select("doc_id"), "doc_id", "left_semi")
+    second = membership(kept, versioned, [(F.col("source") == "zenodo").cast("int"), F.length(F.coalesce("abstract", F.lit("")))])
+    moved = second.select(F.col("doc_id").alias("survivor"), F.col("survivor").alias("_last"))
+    return first.join(moved, "survivor").select("doc_id", F.col("_last").alias("survivor"))
+
+
+def surviving_rows(staging: DataFrame, members: DataFrame) -> DataFrame:
+    """One row of ``staging`` per surviving document: of its rows the one fetched last. Rows are told apart
+    by their place in their file (``staging`` must be read from files), so what is compared is narrow and
+    texts move once, to the join."""
+    place = ("_metadata.file_path", "_metadata.row_index")
+    rows = staging.select("*", F.col(place[0]).alias("_file"), F.col(place[1]).alias("_row"))
+    last = rows.groupBy("doc_id").agg(F.max(F.struct("fetched_at", "_file", "_row")).alias("_w"))
+    chosen = last.join(members.where("doc_id = survivor").select("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("_w._file").alias("_file"), F.col("_w._row").alias("_row"))
+    return rows.join(chosen, ["doc_id", "_file", "_row"], "left_semi").drop("_file", "_row")

@@ -161,6 +161,51 @@ def table_model_scores(binned: DataFrame, columns: Sequence[str], truth: str, fo
     return scored.groupBy(fold).agg((F.sum(F.when(F.col(truth).cast("string") == F.col("g.t"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
 
 
+class CellCounts:
+    """The rows of a table model as counts per cell (bins, fold, label), for searches that score many sets of
+    columns. Cells are at most bins ** columns * folds * labels, whatever the rows, and refused over
+    ``most``; they come to the driver once, and a score is a few sums over them."""
+
+    def __init__(self, binned: DataFrame, columns: Sequence[str], truth: str, fold: str, most: int = 2_000_000):
+        self.columns, self.truth, self.fold = list(columns), truth, fold
+        keys = [f"{c}_bin" for c in columns]
+        cells = binned.where(F.col(truth).isNotNull() & F.col(fold).isNotNull()).groupBy(*keys, fold, F.col(truth).cast("string").alias("_t")).agg(F.count("*").alias("_n"))
+        self.cells = cells.limit(most + 1).toPandas()
+        if len(self.cells) > most:
+            raise ValueError(f"more than {most} cells")
+
+    def folds(self) -> list:
+        return sorted(self.cells[self.fold].unique())
+
+    def by_fold(self, columns: Sequence[str], without: Sequence = (), on: Sequence | None = None) -> dict:
+        """Accuracy on each fold (of ``on``) of the labels most frequent outside it among rows with its bins,
+        as :func:`table_model_scores`; rows of the folds ``without`` are not there at all."""
+        keys = [f"{c}_bin" for c in columns] or ["_all"]
+        cells = self.cells[~self.cells[self.fold].isin(list(without))].assign(_all=0).groupby([*keys, self.fold, "_t"], as_index=False, dropna=False)["_n"].sum()
+        out = {}
+        for f in sorted(cells[self.fold].unique()) if on is None else on:
+            here, rest = cells[cells[self.fold] == f], cells[cells[self.fold] != f].groupby([*keys, "_t"], as_index=False)["_n"].sum()
+            guess = rest.sort_values(["_n", "_t"]).groupby(keys, as_index=False).last().rename(columns={"_t": "_g"})[[*keys, "_g"]]
+            told = here.merge(guess, on=keys, how="left")
+            out[f] = float(told.loc[told["_t"] == told["_g"], "_n"].sum() / told["_n"].sum()) if len(told) else float("nan")
+        return out
+
+    def score(self, columns: Sequence[str], without: Sequence = ()) -> float:
+        scores = list(self.by_fold(columns, without).values())
+        return sum(scores) / len(scores) if scores else 0.0
+
+
+def separate(df: DataFrame, target: str, targets: Sequence[str], group: str, fold: str, metadata: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+    """The rows with a target, and the columns that a model may see: not the target, nor another target,
+    nor what names the group, the fold or where a row is from, all of which would tell it the answer."""
+    missing = [c for c in (target, group, fold) if c not in df.columns]
+    if missing:
+        raise ValueError(f"the table lacks {missing}")
+    hidden = {target, group, fold, *targets, *metadata}
+    rows = df.where(F.col(target).isNotNull() & ~F.isnan(target)) if dict(df.dtypes)[target] == "double" else df.where(F.col(target).isNotNull())
+    return rows, [c for c in df.columns if c not in hidden]
+
+
 SCENARIOS = ("original", "noise", "missing", "few", "flipped")
 
 

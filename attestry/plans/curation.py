@@ -2,22 +2,45 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestry.functions import classify
 from attestry.functions.keys import content_key, doi_plain
-from attestry.operators import chunking, dedup, merge
+from attestry.operators import chunking, dedup, facts, merge
 from attestry.tables import read, spread
 
-EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+\.[A-Za-z0-9.\-]+"
-EMAIL_MASK = "[correo omitido]"
+# What an address looks like and its mask, markup that goes, documents left out by title, and
+# the scopes in which topics are told.
+EMAIL, EMAIL_MASK = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+\.[A-Za-z0-9.\-]+", "[correo omitido]"
+RAISED, TAG = r"</?(?:sub|sup)>", r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>"
+LEFT_OUT = r"(?i)zimmerman framework"
+TOPIC_SCOPES = ("nucleo_pet_enzima", "enzima_plasticos_sin_pet")
+#: Members of the metadata that a piece keeps.
+KEPT_METADATA = ("pmid", "pmcid", "journal", "mutations", "uniprot")
+
+
+@F.pandas_udf(T.StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: html.unescape(html.unescape(t)), na_action="ignore").astype(object)
+
+
+def unescaped(c: Column) -> Column:
+    """Entities as their signs, also those that were escaped twice; only texts with an ampersand reach Python."""
+    return F.coalesce(_unescaped(F.when(F.contains(c, F.lit("&")), c)), c)
 
 
 def clean_text(c: Column) -> Column:
-    """Masked addresses, no sub and sup tags, no other tags, single blanks."""
-    c = F.regexp_replace(c, EMAIL, EMAIL_MASK)
-    c = F.regexp_replace(F.regexp_replace(c, r"</?(?:sub|sup)>", ""), r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>", "")
+    """Signs for entities, masked addresses, no sub and sup tags, no other tags, single blanks."""
+    return plain_tags(unescaped(c))
+
+
+def plain_tags(c: Column) -> Column:
+    c = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, EMAIL, EMAIL_MASK), RAISED, ""), TAG, "")
     return F.regexp_replace(c, r"[ \t]{2,}", " ")
 
 
@@ -32,7 +55,7 @@ def corpus_slice(spark: SparkSession, d: str) -> DataFrame:
 
 def distinct_texts(spark: SparkSession, d: str) -> DataFrame:
     """Distinct documents per language after removal of exact copies."""
-    docs = read(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", "lang", clean_text(F.col("text")).alias("t"))
+    docs = read(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", "lang", plain_tags(F.col("text")).alias("t"))
     first = docs.groupBy(F.sha2("t", 256).alias("h")).agg(F.min_by("lang", "doc_id").alias("lang"), F.count("*").alias("n"))
     return first.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n").alias("copies"))
 
@@ -96,28 +119,86 @@ def topics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dedup_survivors(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.deduplicate(read(spark, d, "documents_staging")).select("doc_id", F.array_join("absorbed", ",").alias("absorbed"))
+    """Every document and the one that stands for it."""
+    return dedup.deduplicate(read(spark, d, "documents_staging"))
+
+
+def left_out_by_title(spark: SparkSession, d: str) -> DataFrame:
+    """Documents left out by hand, for the report; no title of these tables is known to be one."""
+    return read(spark, d, "documents_staging").where(F.col("title").rlike(LEFT_OUT)).select("doc_id", "title").distinct()
+
+
+def usable(staging: DataFrame) -> Column:
+    """Whether there is something to cut: an abstract of 50 characters, or a text that is no stand-in."""
+    return (F.length(F.coalesce("abstract", F.lit(""))) >= classify.MIN_ABSTRACT) | dedup.has_text(F.col("full_text"))
+
+
+def _kept(spark: SparkSession, d: str) -> DataFrame:
+    """The row of every surviving document that is not left out, with the document's own attributes."""
+    staging = read(spark, d, "documents_staging").where(~F.coalesce(F.col("title").rlike(LEFT_OUT), F.lit(False)))
+    c = F.col
+    rows = dedup.surviving_rows(staging, dedup.deduplicate(staging)).where(usable(staging))
+    said = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.when(F.coalesce("abstract", F.lit("")) != "", c("abstract")).otherwise(F.substring(F.coalesce("full_text", F.lit("")), 1, 1500)))
+    origin = F.from_json("metadata", "map<string,string>")
+    kept = F.map_filter(F.coalesce(F.when(F.try_parse_json("metadata").isNotNull(), origin), F.create_map().cast("map<string,string>")), lambda k, v: k.isin(*KEPT_METADATA) & v.isNotNull() & (v != ""))
+    return spread(rows).select(
+        "doc_id", "doc_type", "source", "title", "abstract", "full_text", "year", "raw_path", "content_hash", classify.license_name(c("license")).alias("license"), c("license").alias("license_declared"),
+        classify.document_relevance(c("doc_type"), c("title"), c("abstract"), c("full_text")).alias("relevance"), classify.relevance(c("title"), c("abstract"), c("full_text")).alias("text_relevance"),
+        F.when(c("doc_type").isin("structure", "prediction"), "en").otherwise(classify.language(said)).alias("language"), (c("year") > F.year(F.current_date())).alias("suspicious_year"), kept.alias("origin"),
+    )
+
+
+KEPT_COLUMNS = ("doc_id", "doc_type", "source", "license", "relevance", "language")
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Pieces of every surviving staging document."""
-    staging = read(spark, d, "documents_staging")
-    kept = staging.dropDuplicates(["doc_id"]).join(dedup.deduplicate(staging).select("doc_id"), "doc_id", "left_semi")
-    return chunking.chunk(spread(kept.select("doc_id", "doc_type", "title", "abstract", "full_text")))
+    """Pieces of every surviving staging document; the text of those that are kept is clean."""
+    out = chunking.chunk(_kept(spark, d), keep=("doc_id", "doc_type"))
+    return out.withColumn("text", F.when(F.col("reason").isNull(), clean_text(F.col("text"))).otherwise(F.col("text")))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _enzymes(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: facts.enzymes_in(t) if t else [])
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    """Kept pieces as curated rows: labels, the document's attributes, enzymes and metadata. Topics are told
+    only of documents in scope, others would get labels that mislead."""
+    c = F.col
+    attributes = ("title", "year", "license_declared", "text_relevance", "suspicious_year", "raw_path", "content_hash", "origin")
+    pieces = chunking.chunk(_kept(spark, d), keep=(*KEPT_COLUMNS, *attributes)).where(c("reason").isNull())
+    pieces = pieces.withColumns({"text": clean_text(c("text")), "title": clean_text(c("title"))})
+    rows = chunking.label(pieces.withColumnRenamed("language", "_language")).withColumnRenamed("language", "piece_language").withColumnRenamed("_language", "language")
+    scope = c("relevance").isin(*TOPIC_SCOPES)
+    meta = F.to_json(F.struct(
+        c("relevance").alias("relevancia"), c("text_relevance").alias("relevancia_texto"), c("language").alias("idioma"), c("license_declared").alias("licencia_declarada"), classify.tokens(c("text")).alias("tokens_estimados"),
+        c("is_table").alias("es_tabla"), "raw_path", "content_hash", F.when(c("suspicious_year"), c("year")).alias("ano_sospechoso"), *[F.try_element_at("origin", F.lit(k)).alias(k) for k in KEPT_METADATA],
+    ))
+    return rows.withColumns({k: F.when(scope, c(k)) for k in ("subtopic", "subtopic_secondary")} | {"enzyme": _enzymes("text"), "metadata": meta, "tokens": classify.tokens(c("text"))}).drop("origin")
 
 
 def chunk_labels(spark: SparkSession, d: str) -> DataFrame:
     """Labels of every piece that is kept."""
-    return chunking.label(chunks(spark, d).where(F.col("reason").isNull())).drop("text")
+    return _labelled(spark, d).select(*KEPT_COLUMNS, "chunk_id", "ordinal", "section", "title", "is_table", "subtopic", "subtopic_secondary", "evidence_type", "marks", "enzyme", "metadata")
 
 
 def curation_report(spark: SparkSession, d: str) -> DataFrame:
-    """Counts of pieces by reason left out, language, topic and kind of evidence, in one pass."""
-    rows = chunks(spark, d)
-    kept = chunking.label(rows.where(F.col("reason").isNull()))
-    facts = kept.select(F.explode(F.array(*[F.struct(F.lit(k).alias("what"), F.coalesce(F.col(k), F.lit("(none)")).alias("value")) for k in ("language", "subtopic", "evidence_type")])).alias("f"))
-    left = rows.where(F.col("reason").isNotNull()).select(F.struct(F.lit("left_out").alias("what"), F.col("reason").alias("value")).alias("f"))
-    return facts.unionByName(left).groupBy("f.what", "f.value").agg(F.count("*").alias("pieces"))
+    """(what, value, n): documents and pieces by every label, what was left out and why, sources of what was
+    absorbed, and pieces over the maximum, each side of the path read once."""
+    c, none = F.col, F.lit("(none)")
+    pair = lambda what, value: F.struct(F.lit(what).alias("what"), F.coalesce(value.cast("string"), none).alias("value"))
+    count = lambda rows, *pairs: rows.select(F.explode(F.array_compact(F.array(*pairs))).alias("p")).groupBy("p.what", "p.value").agg(F.count("*").alias("n"))
+    staging = read(spark, d, "documents_staging")
+    members = dedup.deduplicate(staging.where(~F.coalesce(F.col("title").rlike(LEFT_OUT), F.lit(False))))
+    docs = _kept(spark, d)
+    cut = docs.select(*KEPT_COLUMNS, "suspicious_year", chunking.chunks_of("title", "abstract", "full_text").alias("_c"))
+    per_doc = count(cut, F.when(F.size("_c") == 0, pair("document_left_out", F.lit("no_pieces"))), *[F.when(F.size("_c") > 0, pair(k, c(k))) for k in ("language", "relevance", "license")], F.when(c("suspicious_year"), pair("suspicious_year", F.lit("true"))))
+    reasons = count(cut.select(F.explode("_c.reason").alias("r")).where("r IS NOT NULL"), pair("piece_left_out", c("r")))
+    over = (c("tokens") > chunking.MOST)
+    pieces = count(_labelled(spark, d), pair("subtopic", c("subtopic")), pair("evidence_type", c("evidence_type")), F.when(over, pair("over_maximum", F.when(c("is_table"), "table").otherwise("text"))))
+    absorbed = count(members.where("doc_id <> survivor"), pair("absorbed_by_source", F.substring_index("doc_id", ":", 1)))
+    return per_doc.unionByName(reasons).unionByName(pieces).unionByName(absorbed)
 
 
 def token_ranks(spark: SparkSession, d: str) -> DataFrame:
@@ -144,12 +225,12 @@ SPLIT_DAY = "2024-01-01"
 
 
 def snapshot_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Rows from the turn of the year on, merged into the older ones."""
-    facts = _facts(spark, d).drop("created_at")
-    day = read(spark, d, "mutant_stability").groupBy("record_id").agg(F.max("created_at").alias("at"))
-    dated = facts.join(day, "record_id")
-    old, new = dated.where(F.col("at") < F.lit(SPLIT_DAY).cast("timestamp_ntz")).drop("at"), dated.where(F.col("at") >= F.lit(SPLIT_DAY).cast("timestamp_ntz")).drop("at")
-    return merge.merge_snapshot(old, new, "record_id")
+    """Facts of the turn of the year on replace the older ones of their document and metric, others are added."""
+    keep = ("record_id", "doc_id", "metric", "value", "created_at")
+    rows = read(spark, d, "mutant_stability").where(F.col("metric").isNotNull()).select(F.concat_ws("|", "doc_id", "metric").alias("fact"), *keep).distinct()
+    last = lambda df: df.groupBy("fact").agg(F.max_by(F.struct("record_id", "value"), F.struct("created_at", "record_id")).alias("r")).select("fact", "r.*")
+    day = F.lit(SPLIT_DAY).cast("timestamp_ntz")
+    return merge.merge_snapshot(last(rows.where(F.col("created_at") < day)), last(rows.where(F.col("created_at") >= day)), "fact")
 
 
 def conditional_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -160,9 +241,12 @@ def conditional_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_orphans(spark: SparkSession, d: str) -> DataFrame:
-    """Curated pieces whose document has left the staging table."""
-    curated = read(spark, d, "documents_curated").select("chunk_id", "doc_id").distinct()
-    return curated.join(read(spark, d, "documents_staging").select("doc_id"), "doc_id", "left_anti").select("chunk_id", "doc_id")
+    """Curated pieces whose number is over what their document has now, if every document had lost its last."""
+    pieces = read(spark, d, "documents_curated").where(F.col("chunk_id").rlike(r"^[a-z_]+:[A-Za-z0-9-]+#[0-9]+$")).select("chunk_id", "doc_id").distinct()
+    number = F.substring_index("chunk_id", "#", -1).cast("int")
+    last = pieces.groupBy("doc_id").agg(F.max(number).alias("last"))
+    now = pieces.join(last, "doc_id").where(number < F.col("last")).select("chunk_id", "doc_id")
+    return merge.orphans(pieces, now, "chunk_id", "doc_id")
 
 
 def document_text(spark: SparkSession, d: str) -> DataFrame:
@@ -175,7 +259,7 @@ def document_text(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     corpus_slice, distinct_texts, doi_normalized, content_hashes, mask_emails, sparse_metadata, license_names, languages, relevance, document_relevance, suspicious_years,
-    evidence_types, topic_scores, topics, dedup_survivors, chunks, chunk_labels, curation_report, token_ranks, snapshot_merge, conditional_merge, chunk_orphans, document_text,
+    evidence_types, topic_scores, topics, dedup_survivors, left_out_by_title, chunks, chunk_labels, curation_report, token_ranks, snapshot_merge, conditional_merge, chunk_orphans, document_text,
 )}
 
 _CLEAN = (
@@ -222,9 +306,12 @@ SQL = {
     "topic_scores": _topic_sql(),
     "token_ranks": """WITH s AS (SELECT greatest(1, length(text) // 4)::INT AS s, row_number() OVER (ORDER BY length(text) // 4) - 1 AS r, count(*) OVER () AS n FROM documents_curated WHERE text IS NOT NULL)
         SELECT max(s) FILTER (r = n // 2) AS median_tokens, max(s) FILTER (r = floor(n * 0.9)) AS p90_tokens, max(s) AS max_tokens FROM s""",
-    "snapshot_merge": f"WITH {_ONE} SELECT record_id, metric, value, verified FROM one",
+    "snapshot_merge": """WITH r AS (SELECT DISTINCT doc_id || '|' || metric AS fact, record_id, value, created_at, created_at >= TIMESTAMP '2024-01-01' AS fresh FROM mutant_stability WHERE metric IS NOT NULL)
+        SELECT fact, record_id, value FROM r QUALIFY row_number() OVER (PARTITION BY fact ORDER BY fresh DESC, created_at DESC, record_id DESC) = 1""",
     "conditional_merge": f"WITH {_ONE} SELECT record_id, metric, CASE WHEN coalesce(verified, false) THEN value ELSE value * 2 END AS value, CASE WHEN coalesce(verified, false) THEN verified ELSE false END AS verified FROM one",
-    "chunk_orphans": "SELECT DISTINCT chunk_id, doc_id FROM documents_curated c WHERE NOT EXISTS (SELECT 1 FROM documents_staging s WHERE s.doc_id = c.doc_id)",
+    "chunk_orphans": """WITH p AS (SELECT DISTINCT chunk_id, doc_id, split_part(chunk_id, '#', 2)::INT AS n FROM documents_curated WHERE regexp_matches(chunk_id, '^[a-z_]+:[A-Za-z0-9-]+#[0-9]+$')),
+        m AS (SELECT doc_id, max(n) AS last FROM p GROUP BY 1) SELECT chunk_id, doc_id FROM p JOIN m USING (doc_id) WHERE n = last AND last > (SELECT min(n) FROM p q WHERE q.doc_id = p.doc_id)""",
+    "left_out_by_title": "SELECT DISTINCT doc_id, title FROM documents_staging WHERE regexp_matches(title, '(?i)zimmerman framework')",
     "document_text": """WITH p AS (SELECT doc_id, split_part(chunk_id, '#', 2)::INT AS n, max(text) AS text, max(approved_by) AS approved_by FROM documents_curated
         WHERE text IS NOT NULL AND regexp_matches(chunk_id, '^[a-z_]+:[A-Za-z0-9-]+#[0-9]+$') GROUP BY ALL)
         SELECT doc_id, md5(string_agg(text, ' ' ORDER BY n)) AS text_md5, count(*)::INT AS pieces, max(approved_by) AS approved_by FROM p GROUP BY doc_id""",
@@ -237,5 +324,5 @@ SQL = {
         s AS (SELECT *, trim(regexp_replace(lower(title), '[^\\p{L}\\p{Nd}]+', ' ', 'g')) AS t FROM r WHERE doc_id = w1),
         q AS (SELECT *, CASE WHEN doc_type IN ('dataset','software','model') AND length(t) >= 25 THEN t ELSE 'own:' || doc_id END AS tk FROM s),
         z AS (SELECT doc_id AS w1, first_value(doc_id) OVER (PARTITION BY tk ORDER BY (source = 'zenodo')::INT DESC, length(ab) DESC, doc_id) AS w2 FROM q)
-        SELECT w2 AS doc_id, coalesce(string_agg(r.doc_id, ',' ORDER BY r.doc_id) FILTER (r.doc_id <> w2), '') AS absorbed FROM r JOIN z ON r.w1 = z.w1 GROUP BY w2""",
+        SELECT r.doc_id, w2 AS survivor FROM r JOIN z ON r.w1 = z.w1""",
 }

@@ -5,16 +5,84 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.operators import modelling, review, search
+from attestry.operators import modelling, review, search, units
 from attestry.tables import read
 
 CONDITIONS = ("ph", "temperature_c", "seq_length", "gravy", "aromaticity")
 
 
+def _reviewed(spark: SparkSession, d: str) -> DataFrame:
+    """One row per record of the recorded facts, with its number and what a review asks for."""
+    keep = ("doc_id", "enzyme", "mutations", "metric", "value", "unit", "conditions", "evidence_span", "extracted_by", "verified")
+    one = read(spark, d, "mutant_stability").groupBy("record_id").agg(F.min(F.struct(*keep)).alias("r")).select("record_id", "r.*")
+    return one.withColumn("n", F.nullif(F.regexp_extract("record_id", "([0-9]+)$", 1), F.lit("")).cast("long"))
+
+
+def _melting(spark: SparkSession, d: str) -> DataFrame:
+    """Melting temperatures in their common unit, with what their sentence tells."""
+    facts = read(spark, d, "mutant_stability")
+    common = units.to_common_units(facts, read(spark, d, "metric_units")).where("metric_name = 'Tm' AND common_value IS NOT NULL")
+    cites = facts.groupBy("record_id").agg(F.bool_or(review.cites_another(F.col("evidence_span"))).alias("cites"))
+    return common.select("record_id", "doc_id", "enzyme", "mutations", F.col("common_value").alias("value")).distinct().join(cites, "record_id")
+
+
 def loo_contrast(spark: SparkSession, d: str) -> DataFrame:
-    """Every melting temperature in its recorded unit against the other documents' of the variant."""
-    facts = read(spark, d, "mutant_stability").where("metric IN ('Tm', 'T_m', 'melting temperature')")
-    return review.contrast(facts).select("record_id", "others", "median", "contrast")
+    """Every melting temperature, in its common unit, against the other documents' of the variant."""
+    return review.contrast(_melting(spark, d)).select("record_id", "others", "citing", F.round("median", 6).alias("median"), "contrast")
+
+
+def contrast_as_recorded(spark: SparkSession, d: str) -> DataFrame:
+    """Every fact against those of its variant in other documents that have the same metric and unit as written."""
+    rows = _reviewed(spark, d).where(~F.isnan("value"))
+    named = rows.withColumns({"enzyme": F.when(F.trim("enzyme") != "", F.concat_ws("|", "enzyme", F.coalesce("metric", F.lit("")), F.coalesce("unit", F.lit("")))), "cites": review.cites_another(F.col("evidence_span"))})
+    return review.contrast(named).select("record_id", "others", "citing", "median", "contrast")
+
+
+def _decided(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Facts and the decisions on them; the answers follow from the record's number, a third are not given."""
+    facts, n = _reviewed(spark, d), F.col("n")
+    told = lambda k, x, y="": F.when(n % k == 0, x).otherwise(y)
+    answered = lambda c: F.when((n % 3 != 2), c).otherwise("")
+    answers = facts.where(n.isNotNull()).select(
+        F.col("record_id").alias("id"), answered(told(5, "n", "S")).alias("q1_valor_en_frase"), answered(told(7, " n", "s")).alias("q2_enzima_en_frase"), answered(F.lit("s")).alias("q3_metrica_correcta"),
+        answered(F.when(n % 11 == 0, "a").when(n % 13 == 0, "n").otherwise("s")).alias("q4_condiciones"), told(14, "NewPETase").alias("enzima_corr"), told(17, "A1C").alias("mutaciones_corr"), F.lit("").alias("metrica_corr"),
+        F.when(n % 10 == 0, F.regexp_extract("evidence_span", "([0-9]+[.][0-9]{1,3})", 1)).alias("valor_corr"), told(11, "pH 8").alias("condiciones_corr"),
+    )
+    return facts, review.decide(answers, facts)
+
+
+def review_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """What follows from the answers to each fact."""
+    return _decided(spark, d)[1].withColumn("reasons", F.array_join("reasons", ","))
+
+
+def review_applied(spark: SparkSession, d: str) -> DataFrame:
+    """The facts after the review."""
+    facts, decided = _decided(spark, d)
+    return review.apply_decisions(facts, decided.where("error IS NULL"), "reviewer").select("record_id", "enzyme", "mutations", "value", "verified", "extracted_by")
+
+
+def review_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions per metric, their precision and its lower bound."""
+    facts, decided = _decided(spark, d)
+    out = review.decision_counts(facts, decided, "metric")
+    return out.withColumns({c: F.round(c, 6) for c in ("precision", "lower")})
+
+
+def review_contrasts(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions by what the contrast had said."""
+    return review.contrast_by_decision(_decided(spark, d)[1], contrast_as_recorded(spark, d))
+
+
+def review_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return review.reason_counts(_decided(spark, d)[1])
+
+
+def review_eligible(spark: SparkSession, d: str) -> DataFrame:
+    """Why facts cannot be reviewed, with how many of the sentences cite another work."""
+    rows = _reviewed(spark, d)
+    why = F.coalesce(review.not_eligible(F.col("conditions"), F.col("enzyme")), F.lit("eligible"))
+    return rows.groupBy(why.alias("why")).agg(F.count("*").alias("facts"), F.count_if(review.cites_another(F.col("evidence_span"))).alias("citing"))
 
 
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -124,17 +192,35 @@ def _measured(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pet_activity_ml").where("is_active IS NOT NULL AND cv_split IS NOT NULL")
 
 
+def _cells(spark: SparkSession, d: str) -> modelling.CellCounts:
+    return modelling.CellCounts(_binned(_measured(spark, d)), CONDITIONS, "is_active", "cv_split")
+
+
 def minimal_columns(spark: SparkSession, d: str) -> DataFrame:
     """Fewest columns whose table model is within 0.02 of the one of all, over fixed folds."""
-    rows = _binned(_measured(spark, d)).select("is_active", "cv_split", *[f"{c}_bin" for c in CONDITIONS])
-    counts = rows.groupBy(*rows.columns).agg(F.count("*").alias("n")).persist()
+    best, value = search.minimal_subset(CONDITIONS, _cells(spark, d).score, most=3)
+    return spark.createDataFrame([(c, i, round(value, 6)) for i, c in enumerate(best, 1)], "column_name string, place int, score double")
 
-    def score(chosen: tuple[str, ...]) -> float:
-        return float(modelling.table_model_scores(counts, chosen, "is_active", "cv_split", "n").agg(F.avg("accuracy")).first()[0] or 0.0)
 
-    best, value = search.minimal_subset(CONDITIONS, score, most=3)
-    counts.unpersist()
-    return spark.createDataFrame([(c, i, round(value, 6)) for i, c in enumerate(best, 1)], "column_name string, place int, score double")
+def _nested(spark: SparkSession, d: str) -> list[tuple[int, tuple[str, ...], float, float]]:
+    """(fold, columns, score, score of all columns): columns chosen without the fold, then scored on it once."""
+    cells, out = _cells(spark, d), []
+    for f in cells.folds():
+        chosen, _ = search.minimal_subset(CONDITIONS, lambda c, f=f: cells.score(c, without=(f,)), most=3)
+        out.append((int(f), chosen, cells.by_fold(chosen, on=[f])[f], cells.by_fold(CONDITIONS, on=[f])[f]))
+    return out
+
+
+def nested_cv(spark: SparkSession, d: str) -> DataFrame:
+    """Nested cross-validation: the selection never sees the fold that it is scored on."""
+    rows = [(f, ",".join(c), round(x, 6), round(y, 6)) for f, c, x, y in _nested(spark, d)]
+    return spark.createDataFrame(rows, "cv_split int, columns string, accuracy double, accuracy_of_all double")
+
+
+def selected_columns(spark: SparkSession, d: str) -> DataFrame:
+    """In how many outer folds each column was chosen."""
+    rows = [(c,) for _, chosen, *_ in _nested(spark, d) for c in chosen]
+    return spark.createDataFrame(rows, "column_name string").groupBy("column_name").agg(F.count("*").alias("folds"))
 
 
 MODELS = {"conditions": CONDITIONS[:2], "sequence": CONDITIONS[2:], "all": CONDITIONS}
@@ -175,23 +261,15 @@ def tree_cv(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tuned_table_model(spark: SparkSession, d: str) -> DataFrame:
-    """Columns of the table model chosen by genetic search, each generation one pass of counts."""
-    rows = _binned(_measured(spark, d)).groupBy("is_active", "cv_split", *[f"{c}_bin" for c in CONDITIONS]).agg(F.count("*").alias("n")).persist()
-
-    def fitness(genomes: list[dict]) -> list[float]:
-        out = []
-        for g in genomes:
-            chosen = [c for c in CONDITIONS if g[c]]
-            out.append(float(modelling.table_model_scores(rows, chosen, "is_active", "cv_split", "n").agg(F.avg("accuracy")).first()[0]) if chosen else float("nan"))
-        return out
-
-    best, score = search.evolve({c: (True, False) for c in CONDITIONS}, fitness, population=6, generations=3)
-    rows.unpersist()
-    return spark.createDataFrame([(",".join(c for c in CONDITIONS if best[c]), round(score, 6))], "columns string, score double")
+    """Columns of the table model chosen by genetic search; the counts are made once, scores are sums of them."""
+    cells = _cells(spark, d)
+    chosen = lambda g: [c for c in CONDITIONS if g[c]]
+    best, score = search.evolve({c: (True, False) for c in CONDITIONS}, lambda genomes: [cells.score(chosen(g)) if chosen(g) else float("nan") for g in genomes])
+    return spark.createDataFrame([(",".join(chosen(best)), round(score, 6))], "columns string, score double")
 
 
 QUERIES = {f.__name__: f for f in (
-    loo_contrast, stratified_sample, sample_allocation, uniform_sample, wilson_by_lang, reidentified, descriptors, sequence_counts, composition_long, conditions_long, ml_view,
+    loo_contrast, contrast_as_recorded, review_decisions, review_applied, review_counts, review_contrasts, review_reasons, review_eligible, nested_cv, selected_columns, stratified_sample, sample_allocation, uniform_sample, wilson_by_lang, reidentified, descriptors, sequence_counts, composition_long, conditions_long, ml_view,
     class_balance, majority_baseline, fold_stats, regression_errors, knn_predict, minimal_columns, robust_minimax, robust_choice, tree_cv, tuned_table_model,
 )}
 
@@ -199,10 +277,36 @@ _OK = "activity IS NOT NULL AND NOT isnan(activity)"
 _CLEAN_SEQ = "regexp_replace(regexp_replace(upper(sequence), '\\s+', '', 'g'), '\\*+$', '')"
 _N = lambda a: f"(length(s) - length(replace(s, '{a}', '')))"
 
+_CITES = review.CITES.replace("'", "''")
+_RECORDS = """f AS (SELECT record_id, doc_id, enzyme, mutations, metric, value, unit, conditions, evidence_span, extracted_by, verified, nullif(regexp_extract(record_id, '([0-9]+)$', 1), '')::BIGINT AS n FROM mutant_stability
+    QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY doc_id NULLS FIRST, enzyme NULLS FIRST, mutations NULLS FIRST, metric NULLS FIRST, value NULLS FIRST, unit NULLS FIRST, conditions NULLS FIRST, evidence_span NULLS FIRST, extracted_by NULLS FIRST, verified NULLS FIRST) = 1)"""
+_CONTRAST = _RECORDS + f""", named AS (SELECT *, CASE WHEN trim(enzyme) <> '' THEN enzyme || '|' || coalesce(metric, '') || '|' || coalesce(unit, '') END AS e, coalesce(mutations, '') AS m, coalesce(regexp_matches(evidence_span, '{_CITES}'), false) AS cites FROM f WHERE value IS NOT NULL AND NOT isnan(value)),
+    contrasts AS (SELECT a.record_id, count(DISTINCT b.doc_id) AS others, count(*) FILTER (b.cites) AS citing, median(b.value) AS median,
+      CASE WHEN a.e IS NULL THEN 'generic' WHEN median(b.value) IS NULL THEN 'alone' WHEN abs(a.value - median(b.value)) > 5 THEN 'differs' ELSE 'agrees' END AS contrast
+      FROM named a LEFT JOIN named b ON a.e = b.e AND a.m = b.m AND a.doc_id <> b.doc_id GROUP BY a.record_id, a.e, a.value)"""
+_DECIDED = _RECORDS + """, a AS (SELECT record_id, n % 5 = 0 AS no1, n % 7 = 0 AS no2, n % 11 = 0 AS adds, n % 11 <> 0 AND n % 13 = 0 AS no4, CASE WHEN n % 14 = 0 THEN 'NewPETase' END AS e2, CASE WHEN n % 17 = 0 THEN 'A1C' END AS m2,
+      CASE WHEN n % 10 = 0 THEN nullif(regexp_extract(evidence_span, '([0-9]+[.][0-9]{1,3})', 1), '')::DOUBLE END AS v2, coalesce(evidence_span, '') AS span, coalesce(conditions, '') AS c FROM f WHERE n % 3 <> 2),
+    b AS (SELECT *, CASE WHEN v2 IS NOT NULL AND NOT contains(span, regexp_replace(regexp_replace(format('{:.6f}', v2), '0+$', ''), '[.]$', '')) THEN 'the corrected value is not in the sentence' END AS error,
+      no4 OR (no1 AND v2 IS NULL) OR (no2 AND e2 IS NULL) AS lost, v2 IS NOT NULL OR e2 IS NOT NULL OR m2 IS NOT NULL AS changed FROM a),
+    d0 AS (SELECT *, CASE WHEN error IS NULL THEN CASE WHEN lost THEN 'descartar' WHEN no1 OR no2 OR no4 OR changed THEN 'corregir' ELSE 'ok' END END AS decision FROM b),
+    decided AS (SELECT record_id, decision, CASE WHEN error IS NULL THEN CASE WHEN no1 OR no2 OR no4 THEN list_filter([CASE WHEN no1 THEN 'valor_no_respaldado' END, CASE WHEN no2 THEN 'enzima_equivocada' END, CASE WHEN no4 THEN 'condiciones_no_precisables' END], lambda x: x IS NOT NULL)
+      WHEN changed THEN ['ajuste_menor'] ELSE [] END END AS reasons, error, CASE WHEN decision <> 'descartar' THEN e2 END AS enzyme, CASE WHEN decision <> 'descartar' THEN m2 END AS mutations, NULL::VARCHAR AS metric,
+      CASE WHEN decision <> 'descartar' THEN v2 END AS value, CASE WHEN decision <> 'descartar' AND adds THEN concat_ws('; ', nullif(c, ''), 'pH 8') END AS conditions FROM d0)"""
+
 SQL = {
-    "loo_contrast": """WITH f AS (SELECT DISTINCT record_id, doc_id, coalesce(enzyme, chr(0)) AS e, coalesce(mutations, chr(0)) AS m, value FROM mutant_stability WHERE metric IN ('Tm','T_m','melting temperature') AND value IS NOT NULL),
-        x AS (SELECT a.record_id, a.doc_id, a.value, count(DISTINCT b.doc_id) AS others, median(b.value) AS median FROM f a LEFT JOIN f b ON a.e = b.e AND a.m = b.m AND a.doc_id <> b.doc_id GROUP BY a.record_id, a.doc_id, a.e, a.m, a.value)
-        SELECT record_id, others, median, CASE WHEN median IS NULL THEN 'alone' WHEN abs(value - median) > 5 THEN 'differs' ELSE 'agrees' END AS contrast FROM x""",
+    "contrast_as_recorded": f"WITH {_CONTRAST} SELECT record_id, others, citing, median, contrast FROM contrasts",
+    "review_decisions": f"WITH {_DECIDED} SELECT record_id, decision, array_to_string(reasons, ',') AS reasons, error, enzyme, mutations, metric, value, conditions FROM decided",
+    "review_counts": f"""WITH {_DECIDED}, c AS (SELECT f.metric, count(*) FILTER (decision = 'ok') AS ok, count(*) FILTER (decision = 'corregir') AS corregir, count(*) FILTER (decision = 'descartar') AS descartar,
+          count(*) FILTER (decision IS NULL) AS sin_revisar, count(decision) AS n FROM f LEFT JOIN decided g USING (record_id) GROUP BY f.metric)
+        SELECT metric, ok, corregir, descartar, sin_revisar, CASE WHEN n > 0 THEN round(ok / n, 6) END AS precision,
+          CASE WHEN n > 0 THEN round((ok / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(ok / n * (1 - ok / n) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n), 6) END AS lower FROM c""",
+    "review_contrasts": f"""WITH {_DECIDED}, {_CONTRAST.removeprefix(_RECORDS + ", ")}, j AS (SELECT decision, CASE WHEN contrast IN ('differs', 'agrees') THEN contrast ELSE 'none' END AS contrast FROM decided LEFT JOIN contrasts USING (record_id) WHERE decision IS NOT NULL)
+        SELECT contrast, count(*) FILTER (decision = 'ok') AS ok, count(*) FILTER (decision = 'corregir') AS corregir, count(*) FILTER (decision = 'descartar') AS descartar FROM j GROUP BY 1""",
+    "review_reasons": f"WITH {_DECIDED}, u AS (SELECT unnest(reasons) AS reason FROM decided) SELECT reason, count(*) AS facts FROM u GROUP BY 1",
+    "review_applied": f"""WITH {_DECIDED} SELECT record_id, coalesce(g.enzyme, f.enzyme) AS enzyme, coalesce(g.mutations, f.mutations) AS mutations, coalesce(g.value, f.value) AS value, CASE WHEN decision IS NOT NULL THEN true ELSE f.verified END AS verified,
+        CASE WHEN decision = 'corregir' THEN 'human:reviewer' ELSE extracted_by END AS extracted_by FROM f LEFT JOIN decided g USING (record_id) WHERE coalesce(decision, '') <> 'descartar'""",
+    "review_eligible": f"""WITH {_RECORDS} SELECT CASE WHEN contains(coalesce(conditions, ''), 'order of the names') THEN 'values in the order of the names' WHEN trim(coalesce(enzyme, '')) = '' THEN 'no enzyme' ELSE 'eligible' END AS why,
+        count(*) AS facts, count(*) FILTER (regexp_matches(evidence_span, '{_CITES}')) AS citing FROM f GROUP BY 1""",
     "sample_allocation": """WITH g AS (SELECT section, count(*) AS n FROM (SELECT DISTINCT chunk_id, section FROM documents_curated) GROUP BY section)
         SELECT section, least(n, greatest(3, round_even(60 * n / (SELECT sum(n) FROM g), 0)))::BIGINT AS drawn FROM g""",
     "wilson_by_lang": """WITH l AS (SELECT doc_id, count(DISTINCT subject) AS a FROM subject_labels GROUP BY 1), g AS (SELECT lang, count(*) FILTER (a > 1) AS good, count(*) AS n FROM l JOIN documents USING (doc_id) GROUP BY lang)

@@ -69,13 +69,96 @@ def test_deduplication(spark):
         ("s:7", "zenodo", "dataset", "short", "10.2/d", "h7", "", ""), ("s:8", "openalex", "article", None, None, "same", "", ""), ("s:9", "openalex", "article", None, "", "same", "", ""), ("s:9", "openalex", "article", None, "", "same", "", ""),
     ]
     df = spark.createDataFrame(rows, DOC)
-    got = {r.doc_id: list(r.absorbed) for r in dedup.deduplicate(df).collect()}
-    assert got == {"s:1": ["s:2"], "s:3": [], "s:5": ["s:4"], "s:6": [], "s:7": [], "s:8": ["s:9"]}
-    again = {r.doc_id: list(r.absorbed) for r in dedup.deduplicate(df.where(F.col("doc_id").isin(*got))).collect()}
-    assert again == dict.fromkeys(got, [])
+    got = {r.doc_id: r.survivor for r in dedup.deduplicate(df).collect()}
+    assert got == {f"s:{i}": f"s:{j}" for i, j in ((1, 1), (2, 1), (3, 3), (4, 5), (5, 5), (6, 6), (7, 7), (8, 8), (9, 8))}
+    again = {r.doc_id: r.survivor for r in dedup.deduplicate(df.where(F.col("doc_id").isin(*got.values()))).collect()}
+    assert again == {k: k for k in got.values()}
     assert dedup.deduplicate(df.limit(0)).count() == 0
 
 
+def test_surviving_rows_are_the_last_fetched(spark, tmp_path):
+    rows = [("a", "one", 1), ("a", "two", 3), ("a", "two", 3), ("b", "x", 1), ("c", "y", 2), ("c", None, None)]
+    spark.createDataFrame(rows, "doc_id string, full_text string, fetched_at int").repartition(3).write.parquet(str(tmp_path / "s"))
+    members = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c")], "doc_id string, survivor string")
+    assert sorted(map(tuple, dedup.surviving_rows(spark.read.parquet(str(tmp_path / "s")), members).collect())) == [("a", "two", 3), ("c", "y", 2)]
+
+
+def test_cleaning_before_pieces(spark):
+    from attestry.plans.curation import clean_text
+
+    texts = ["&lt;i&gt;Is&lt;/i&gt;PETase", "&amp;lt;b&amp;gt;k&amp;lt;/b&amp;gt;<sub>cat</sub> a  b", "write to ana.b@uni.example now", "p < 0.05 & q > 1", None, ""]
+    assert values(spark, texts, clean_text) == ["IsPETase", "kcat a b", "write to [correo omitido] now", "p < 0.05 & q > 1", None, ""]
+
+
+FACT = "record_id string, doc_id string, enzyme string, mutations string, value double, special boolean, cites boolean"
+
+
+def test_contrast_equals_brute_force(spark):
+    rnd = np.random.default_rng(3)
+    rows = [(f"r{i:03}", f"d{int(rnd.integers(0, 9)) if i % 3 else 0}", ["LCC", "LCC", "HiC", "PETase", None][int(rnd.integers(0, 5))], ["", "A1C", None][int(rnd.integers(0, 3))], float(np.round(rnd.normal(60, 8), 0)), bool(i % 11 == 0), bool(i % 4 == 0)) for i in range(400)]
+    got = {r.record_id: r for r in review.contrast(spark.createDataFrame(rows + rows[:5], FACT)).collect()}
+    assert len(got) == 400
+    for rid, doc, enzyme, mutations, value, *_ in rows:
+        if not enzyme or enzyme == "PETase":
+            assert got[rid].contrast == "generic" and got[rid].others == 0 and got[rid].median is None
+            continue
+        others = [r for r in rows if r[2] == enzyme and (r[3] or "") == (mutations or "") and r[1] != doc and not r[5]]
+        median = float(np.median([r[4] for r in others])) if others else None
+        want = "alone" if median is None else "differs" if abs(value - median) > 5 else "agrees"
+        assert (got[rid].others, got[rid].citing, got[rid].median, got[rid].contrast) == (len({r[1] for r in others}), sum(r[6] for r in others), median, want), rid
+    assert review.contrast(spark.createDataFrame([], FACT)).count() == 0
+
+
+def test_decisions(spark):
+    answer = "id string, q1_valor_en_frase string, q2_enzima_en_frase string, q3_metrica_correcta string, q4_condiciones string, enzima_corr string, mutaciones_corr string, metrica_corr string, valor_corr string, condiciones_corr string"
+    told = {
+        "ok": ("s", "S", " s ", "s", None, "", "", None, ""), "fixed": ("s", "n", "s", "s", "LCC", "", "", "", ""), "lost": ("s", "n", "s", "s", "", "", "", "", ""), "minor": ("s", "s", "s", "s", "", "A1C", "", "", ""),
+        "noted": ("s", "s", "s", "a", "", "", "", "", "pH 8"), "vague": ("s", "s", "s", "n", "", "", "", "", "x"), "value": ("n", "s", "s", "s", "", "", "", "61,5", ""), "blank": ("", "", " ", None, "LCC", "", "", "", ""),
+        "half": ("s", "", "s", "s", "", "", "", "", ""), "odd": ("s", "x", "s", "s", "", "", "", "", ""), "nan": ("n", "s", "s", "s", "", "", "", "sixty", ""), "far": ("n", "s", "s", "s", "", "", "", "99", ""), "metric": ("s", "s", "n", "s", "", "", "kcat", "", ""),
+        "bare": ("s", "s", "s", "a", "", "", "", "", ""), "swap": ("s", "s", "n", "s", "", "", "dTm", "", ""), "gone": ("s", "s", "s", "s", "", "", "", "", ""),
+    }
+    facts = spark.createDataFrame([(k, "HiC", "", "Tm", 60.0, "in buffer" if k == "noted" else None, "The Tm was 61.5 C", "agent", False, "high" if k < "n" else "low") for k in told if k != "gone"], "record_id string, enzyme string, mutations string, metric string, value double, conditions string, evidence_span string, extracted_by string, verified boolean, confidence string")
+    decided = review.decide(spark.createDataFrame([(k, *v) for k, v in told.items()], answer), facts)
+    got = {r.record_id: r for r in decided.collect()}
+    assert {k: r.decision for k, r in got.items() if r.error is None} == {"ok": "ok", "fixed": "corregir", "lost": "descartar", "minor": "corregir", "noted": "ok", "vague": "descartar", "value": "corregir", "swap": "corregir"}
+    assert {k for k, r in got.items() if r.error} == {"half", "odd", "nan", "far", "metric", "bare"} and got["noted"].conditions == "in buffer; pH 8" and got["value"].value == 61.5
+    assert got["fixed"].reasons == ["enzima_equivocada"] and got["minor"].reasons == ["ajuste_menor"] and got["vague"].reasons == ["condiciones_no_precisables"] and got["ok"].reasons == []
+    try:
+        review.apply_decisions(facts, decided, "ana")
+        raise AssertionError("errors must stop everything")
+    except ValueError as e:
+        assert "6 rows" in str(e)
+    good = decided.where("error IS NULL")
+    done = {r.record_id: r for r in review.apply_decisions(facts, good, "ana").collect()}
+    assert "lost" not in done and done["fixed"].enzyme == "LCC" and done["fixed"].extracted_by == "human:ana" and done["ok"].extracted_by == "agent" and done["ok"].verified and not done["blank"].verified
+    counts = {r.confidence: r for r in review.decision_counts(facts, good).collect()}
+    assert counts["high"].corregir == 2 and counts["high"].descartar == 1 and counts["high"].sin_revisar == 5 and counts["low"].ok == 2 and abs(counts["low"].precision - 0.4) < 1e-9
+    crossed = {r.contrast: r for r in review.contrast_by_decision(good, spark.createDataFrame([("ok", "agrees"), ("lost", "differs")], "record_id string, contrast string")).collect()}
+    assert crossed["agrees"].ok == 1 and crossed["differs"].descartar == 1 and crossed["none"].corregir == 4
+    assert review.seconds_per_fact(good, 4).first().seconds == 30.0 and review.seconds_per_fact(good.limit(0), 4).first().seconds is None
+    assert {r.reason: r.facts for r in review.reason_counts(good).collect()}["enzima_equivocada"] == 2
+
+
+def test_eligibility_and_citations(spark):
+    spans = ["as reported [ 19 ]", "by Then et al., 2016", "( Perz 2015 )", "(Ana and Bo, 2014)", "a value of 46.8", None]
+    assert values(spark, spans, review.cites_another) == [True, True, True, True, False, False]
+    df = spark.createDataFrame([("values in the order of the names", "LCC"), (None, " "), ("", "LCC")], "c string, e string").select(review.not_eligible(F.col("c"), F.col("e")))
+    assert [r[0] for r in df.collect()] == ["values in the order of the names", "no enzyme", None]
+
+
+def test_cell_counts_are_those_of_the_table_model(spark):
+    df = spark.range(3000).select((F.col("id") % 4).alias("fold"), *[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(3)).alias(f"{c}_bin") for i, c in enumerate("xyz")]).withColumn("y", (F.col("x_bin") + F.col("z_bin") + F.col("fold")) % 3 == 0)
+    cells = modelling.CellCounts(df, "xyz", "y", "fold")
+    for chosen in ("x", "xz", "xyz", ""):
+        want = {r.fold: r.accuracy for r in modelling.table_model_scores(df, list(chosen), "y", "fold").collect()}
+        got = cells.by_fold(list(chosen))
+        assert want.keys() == got.keys() and all(abs(want[f] - got[f]) < 1e-12 for f in want), chosen
+    inner = {r.fold: r.accuracy for r in modelling.table_model_scores(df.where("fold <> 2"), ["x"], "y", "fold").collect()}
+    assert cells.by_fold(["x"], without=[2]) == inner
+    rows, seen = modelling.separate(spark.createDataFrame([(1.0, True, "g", 0, "s", 2.0), (float("nan"), None, "g", 0, "s", 2.0)], "activity double, is_active boolean, enzyme_id string, cv_split int, source string, ph double"), "activity", ("activity", "is_active"), "enzyme_id", "cv_split", ("source",))
+    assert rows.count() == 1 and seen == ["ph"]
+
+
 def test_merges(spark, tmp_path):
     old = spark.createDataFrame([("a", 1, True), ("b", 2, None), ("c", 3, False)], "k string, v int, verified boolean")
     new = spark.createDataFrame([("a", 9, False), ("b", 8, False), ("d", 7, True)], "k string, v int, verified boolean")
