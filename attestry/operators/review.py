@@ -156,20 +156,25 @@ def allocation(size: Column, total: Column, n: int, least: int = 3) -> Column:
 
 
 def stratified_sample(df: DataFrame, key: str, stratum: Column, n: int, seed: int = 0, least: int = 3) -> DataFrame:
-    """A seeded sample with every stratum in it. Rows are ordered by a hash of key and seed; those over
+    """A seeded sample with every stratum in it. Rows are ordered by the MD5 of key and seed; those over
     a stratum's allocation are dropped in two steps (per salt, then per stratum), so that no task sorts a
     stratum with a third of all rows."""
-    rows = df.withColumn("_s", stratum).withColumn("_h", F.xxhash64(key, F.lit(seed)))
+    rows = df.withColumn("_s", stratum).withColumn("_h", _draw(key, seed))
     sizes = rows.groupBy("_s").agg(F.count("*").alias("_n"))
     total = sizes.agg(F.sum("_n").alias("_t"))
     wanted = sizes.crossJoin(total).select(F.col("_s").alias("_w"), allocation(F.col("_n"), F.col("_t"), n, least).alias("_k"))  # a row per stratum, times one
-    salted = rows.join(wanted, F.col("_s").eqNullSafe(F.col("_w"))).withColumn("_b", F.pmod("_h", F.lit(64)))
+    salted = rows.join(wanted, F.col("_s").eqNullSafe(F.col("_w"))).withColumn("_b", F.pmod(F.xxhash64("_h"), F.lit(64)))
     few = salted.withColumn("_r", F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", key))).where("_r <= _k")
     return few.withColumn("_r", F.row_number().over(Window.partitionBy("_s").orderBy("_h", key))).where("_r <= _k").drop("_s", "_h", "_w", "_k", "_b", "_r")
 
 
 def uniform_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    """``n`` rows, every one as likely: the first in the order of the MD5 of key and seed, which any engine gives."""
+    return df.orderBy(_draw(key, seed), key).limit(n)
+
+
+def _draw(key: str, seed: int) -> Column:
+    return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
 
 
 def wilson_lower(good: Column, n: Column, z: float = Z) -> Column:

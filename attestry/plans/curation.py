@@ -293,6 +293,22 @@ _LANGUAGE_SQL = (
     "WHEN cy / n > 0.2 THEN 'cirilico' WHEN len(w) > 0 AND best >= 0.12 * len(w) THEN CASE " + " ".join(f"WHEN {k}_n = best THEN '{k}'" for k in classify.LANGUAGE_WORDS) + " END ELSE 'desconocido' END AS language FROM b"
 )
 
+_TOPIC_NAMES = list(classify.TOPICS)
+
+
+def _relevance_sql() -> str:
+    # RE2 has no lookahead: the scans that PET is not are taken out first
+    quote = lambda p: p.replace("'", "''")
+    pet = classify.PET.replace(r"(?!\s*[/-]\s*(?:CT|MRI|scan|imaging))", "")
+    said = "regexp_replace(b, '(?i)\\bPET\\b\\s*[/-]\\s*(?:CT|MRI|scan|imaging)', ' ', 'g')"
+    is_ = {"p": f"regexp_matches({said}, '(?i){quote(pet)}')", "e": f"regexp_matches(b, '(?i){quote(classify.ENZYME)}')", "k": f"regexp_matches(b, '(?i){quote(classify.PLASTIC)}')"}
+    return (
+        f"WITH b AS (SELECT doc_id, doc_type, concat_ws(' ', coalesce(title,''), CASE WHEN length(coalesce(abstract,'')) >= 50 THEN abstract ELSE substr(coalesce(full_text,''), 1, 1500) END) AS b FROM documents_staging), "
+        f"t AS (SELECT doc_id, doc_type, {is_['p']} AS p, {is_['e']} AS e, {is_['k']} AS k FROM b) SELECT DISTINCT doc_id, CASE WHEN doc_type IN ('structure','prediction') THEN 'estructura' "
+        "WHEN p AND e THEN 'nucleo_pet_enzima' WHEN e AND k THEN 'enzima_plasticos_sin_pet' WHEN p OR k THEN 'plasticos_sin_enzima' ELSE 'fuera_de_alcance' END AS relevance FROM t"
+    )
+
+
 SQL = {
     "distinct_texts": f"WITH f AS (SELECT arg_min(struct_pack(l := lang), doc_id).l AS lang, count(*) AS n FROM (SELECT doc_id, lang, {_CLEAN} AS t FROM documents WHERE text IS NOT NULL) GROUP BY t) SELECT lang, count(*) AS docs, sum(n)::BIGINT AS copies FROM f GROUP BY lang",
     "doi_normalized": "SELECT DISTINCT doc_id, regexp_replace(lower(trim(coalesce(doi,''))), '^(https://doi\\.org/)?(http://doi\\.org/)?(doi:)?', '') AS doi_key FROM documents_staging",
@@ -303,7 +319,11 @@ SQL = {
     "relevance": f"WITH b AS (SELECT doc_id, concat_ws(' ', coalesce(title,''), coalesce(abstract,''), substr(coalesce(full_text,''), 1, 4000)) AS b FROM documents_staging) SELECT DISTINCT doc_id, {_case(list(classify.TEXT_SIGNALS), 'b', 'sin_senal')} AS relevance FROM b",
     "suspicious_years": "SELECT DISTINCT doc_id, year FROM documents_staging WHERE year > year(fetched_at)",
     "evidence_types": f"SELECT DISTINCT chunk_id, CASE WHEN doc_type = 'structure' THEN 'estructura' WHEN doc_type = 'prediction' THEN 'prediccion' WHEN section = 'Resumen' THEN 'resumen' ELSE {_case(list(classify.EVIDENCE), chr(99) + 'oalesce(section, chr(0))', 'otro')} END AS kind FROM documents_curated",
-    "topic_scores": _topic_sql(),
+    "topic_scores": _topic_sql(), "document_relevance": _relevance_sql(),
+    "topics": f"WITH s AS ({_topic_sql().replace('SELECT DISTINCT chunk_id', 'SELECT chunk_id')} WHERE text IS NOT NULL), r AS (SELECT chunk_id, list_sort([" + ", ".join(f"struct_pack(s := -{k}, i := {i}, k := '{k}')" for i, k in enumerate(_TOPIC_NAMES)) + """]) AS r FROM s)
+        SELECT DISTINCT chunk_id, CASE WHEN -r[1].s >= 4 THEN r[1].k END AS subtopic, CASE WHEN -r[1].s >= 4 AND -r[2].s >= 4 AND -r[2].s >= 0.6 * -r[1].s THEN r[2].k END AS subtopic_secondary FROM r""",
+    "sparse_metadata": """WITH m AS (SELECT doc_id, CASE WHEN json_type(metadata) = 'OBJECT' THEN list_filter(json_keys(metadata), lambda k: coalesce(json_extract_string(metadata, '$."' || k || '"'), '') NOT IN ('', '[]')) END AS k
+        FROM documents_staging WHERE json_valid(metadata)) SELECT DISTINCT doc_id, array_to_string(list_sort(k), ',') AS filled_keys, len(k)::INT AS n_filled FROM m""",
     "token_ranks": """WITH s AS (SELECT greatest(1, length(text) // 4)::INT AS s, row_number() OVER (ORDER BY length(text) // 4) - 1 AS r, count(*) OVER () AS n FROM documents_curated WHERE text IS NOT NULL)
         SELECT max(s) FILTER (r = n // 2) AS median_tokens, max(s) FILTER (r = floor(n * 0.9)) AS p90_tokens, max(s) AS max_tokens FROM s""",
     "snapshot_merge": """WITH r AS (SELECT DISTINCT doc_id || '|' || metric AS fact, record_id, value, created_at, created_at >= TIMESTAMP '2024-01-01' AS fresh FROM mutant_stability WHERE metric IS NOT NULL)

@@ -309,6 +309,12 @@ SQL = {
         count(*) AS facts, count(*) FILTER (regexp_matches(evidence_span, '{_CITES}')) AS citing FROM f GROUP BY 1""",
     "sample_allocation": """WITH g AS (SELECT section, count(*) AS n FROM (SELECT DISTINCT chunk_id, section FROM documents_curated) GROUP BY section)
         SELECT section, least(n, greatest(3, round_even(60 * n / (SELECT sum(n) FROM g), 0)))::BIGINT AS drawn FROM g""",
+    "stratified_sample": """WITH r AS (SELECT DISTINCT chunk_id, section FROM documents_curated), g AS (SELECT section AS s, count(*) AS n FROM r GROUP BY 1), w AS (SELECT s, least(n, greatest(3, round_even(60 * n / (SELECT sum(n) FROM g), 0)))::BIGINT AS k FROM g)
+        SELECT chunk_id, section FROM r JOIN w ON section IS NOT DISTINCT FROM s QUALIFY row_number() OVER (PARTITION BY section ORDER BY md5(chunk_id || '|0'), chunk_id) <= k""",
+    "uniform_sample": "SELECT DISTINCT chunk_id FROM documents_curated ORDER BY md5(chunk_id || '|0'), chunk_id LIMIT 50",
+    "reidentified": """WITH o AS (SELECT record_id, max(doc_id) AS d, max(enzyme) AS e, max(mutations) AS m, max(metric) AS k, max(value) AS v FROM mutant_stability GROUP BY 1),
+        c AS (SELECT d, e, m, k, v, min(record_id) AS r FROM o WHERE k = 'Tm' GROUP BY ALL HAVING count(*) = 1) SELECT record_id AS old_key, record_id AS new_key FROM o WHERE k IS DISTINCT FROM 'Tm'
+        UNION ALL SELECT r, 'new:' || r FROM c WHERE d IS NOT NULL AND e IS NOT NULL AND m IS NOT NULL AND v IS NOT NULL""",
     "wilson_by_lang": """WITH l AS (SELECT doc_id, count(DISTINCT subject) AS a FROM subject_labels GROUP BY 1), g AS (SELECT lang, count(*) FILTER (a > 1) AS good, count(*) AS n FROM l JOIN documents USING (doc_id) GROUP BY lang)
         SELECT lang, good, n, round((good / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(good / n * (1 - good / n) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n), 6) AS lower FROM g""",
     "sequence_counts": f"WITH r AS (SELECT DISTINCT enzyme_id, {_CLEAN_SEQ} AS raw FROM enzyme_features), q AS (SELECT *, regexp_replace(raw, '[^{modelling.RESIDUES}]', '', 'g') AS s FROM r) SELECT enzyme_id, length(s)::INT AS seq_length, (length(raw) - length(s))::INT AS nonstandard_residues, "

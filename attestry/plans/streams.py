@@ -138,6 +138,10 @@ SQL = {
     "session_fold": "SELECT user_id, count(*) AS n, arg_max(event_type, event_id) AS last_type FROM events GROUP BY 1",
     "keyword_topics": f"WITH {_TOPICS}, u AS (SELECT unnest(topics) AS topic FROM t) SELECT topic, count(*) AS docs FROM u GROUP BY 1",
     "topic_pairs": f"WITH {_TOPICS}, u AS (SELECT doc_id, unnest(topics) AS x FROM t) SELECT a.x AS a, b.x AS b, count(*) AS n FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.x < b.x GROUP BY ALL ORDER BY n DESC, a, b LIMIT 8",
+    "tf_idf_terms": r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}{3,}') AS w FROM documents WHERE text IS NOT NULL),
+        t AS (SELECT doc_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS term FROM d), c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(DISTINCT doc_id) AS n FROM c),
+        f AS (SELECT term, count(*) AS df FROM c GROUP BY 1 HAVING count(*) >= 6 AND count(*) <= 0.35 * (SELECT n FROM n)), r AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT n FROM n)) / (1 + df)) + 1) AS w FROM c JOIN f USING (term))
+        SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM r""",
     "labelling_agreement": """WITH d AS (SELECT lang, source FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL), c AS (SELECT lang, source, count(*) AS n FROM d GROUP BY ALL),
         s AS (SELECT sum(n * (n - 1) / 2) AS same, sum(n) AS total FROM c), l AS (SELECT sum(n * (n - 1) / 2) AS v FROM (SELECT sum(n) AS n FROM c GROUP BY lang)), r AS (SELECT sum(n * (n - 1) / 2) AS v FROM (SELECT sum(n) AS n FROM c GROUP BY source))
         SELECT round((same - l.v * r.v / (total * (total - 1) / 2)) / ((l.v + r.v) / 2 - l.v * r.v / (total * (total - 1) / 2)), 6) AS ari FROM s, l, r""",
