@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestry.functions.missing import EMPTY_WORDS
 from attestry.llm import folding, fusion, leaks, markup, matching, pieces, splits, subjects, tokens
 from attestry.tables import read, spread
 
@@ -131,6 +132,13 @@ SQL: dict[str, str] = {
           UNION ALL SELECT group_id, doc_id, tr, fa, 'abstract', length(ab) FROM m WHERE trim(ab) <> '' AND ab NOT IN ({_BAD}) UNION ALL SELECT group_id, doc_id, tr, fa, 'metadata', v FROM (SELECT *, (SELECT count(*) FROM
           (SELECT unnest(json_keys(md)) AS kk) WHERE trim(coalesce(json_extract_string(md, '$."' || kk || '"'), '')) NOT IN ('', 'n/a', '[]')) AS v FROM m WHERE json_valid(md) AND md LIKE '{{%') WHERE v > 0)
         SELECT group_id, f AS field_name, doc_id FROM c QUALIFY row_number() OVER (PARTITION BY group_id, f ORDER BY v DESC, tr, fa DESC, doc_id) = 1""",
+    "p4_found": r"""WITH RECURSIVE m AS (SELECT enzyme_id, lower(trim(source_doc_id, ' ')) AS k, cv_split FROM pet_activity_ml WHERE enzyme_id IS NOT NULL),
+        q AS (SELECT enzyme_id, regexp_replace(regexp_replace(upper(sequence), '\s+', '', 'g'), '\*+$', '') AS s FROM enzyme_features WHERE enzyme_id IS NOT NULL),
+        k AS (SELECT DISTINCT enzyme_id, 'd:' || k AS k FROM m WHERE regexp_replace(k, '^[\s\[\](){}<>]+|[\s\[\](){}<>]+$', '', 'g') NOT IN (""" + ", ".join(f"'{w}'" for w in EMPTY_WORDS) + r""")
+          UNION SELECT DISTINCT enzyme_id, 's:' || s FROM q WHERE lower(s) NOT IN (""" + ", ".join(f"'{w}'" for w in EMPTY_WORDS) + r""")),
+        hub AS (SELECT k, min(enzyme_id) AS h FROM k GROUP BY 1), e AS (SELECT DISTINCT enzyme_id AS a, h AS b FROM k JOIN hub USING (k) UNION SELECT DISTINCT h, enzyme_id FROM k JOIN hub USING (k)),
+        r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), g AS (SELECT enzyme_id, coalesce(min(b), enzyme_id) AS group_id FROM (SELECT enzyme_id FROM m UNION SELECT enzyme_id FROM q) LEFT JOIN r ON a = enzyme_id GROUP BY enzyme_id),
+        bad AS (SELECT group_id FROM m JOIN g USING (enzyme_id) WHERE cv_split IS NOT NULL GROUP BY 1 HAVING count(DISTINCT cv_split) > 1) SELECT group_id, enzyme_id FROM g JOIN bad USING (group_id)""",
     "p2_found": r"""WITH s AS (SELECT DISTINCT doc_id, string_split_regex(full_text, '(?m)^## [^\n]*$') AS s FROM documents_staging WHERE length(full_text) > 4000),
         u AS (SELECT doc_id, unnest(s) AS t, generate_subscripts(s, 1) - 1 AS n FROM s) SELECT DISTINCT doc_id, n::INT AS section_no FROM u WHERE length(regexp_replace(t, '^\s+|\s+$', '', 'g')) > 4000""",
 }
