@@ -58,6 +58,42 @@ def approval_timeouts(spark: SparkSession, d: str) -> DataFrame:
     return ev.approvals(asked, told, "user_id", 7200).select("request_id", "decision")
 
 
+def approval_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """The same with purchases as yes and errors as no; the first answer counts, none is no yes."""
+    rows = _events(spark, d)
+    asked, told = _asked_and_told(rows)
+    return ev.approvals(asked, told, "user_id", 7200).groupBy("decision").agg(F.count("*").alias("requests"))
+
+
+def _asked_and_told(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    asked = rows.where("event_type = 'click'").select(F.col("event_id").alias("request_id"), "user_id", "ts")
+    told = rows.where("event_type IN ('purchase', 'error')").select("event_id", "user_id", "ts", F.when(F.col("event_type") == "purchase", "approve").otherwise("reject").alias("decision"))
+    return asked, told
+
+
+def unknown_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers that no request was waiting for."""
+    asked, told = _asked_and_told(_events(spark, d))
+    return ev.unknown_answers(asked, told, "user_id", 7200).select("event_id", "decision")
+
+
+def approvals_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Approvals as a stream: requests and answers joined within the time limit."""
+    stream = ev.event_stream(spark, f"{d}/events.parquet")
+    asked = stream.where("event_type = 'click'").select(F.col("event_id").alias("request_id"), "user_id", "ts")
+    told = ev.event_stream(spark, f"{d}/events.parquet").where("event_type = 'purchase'").select("user_id", "ts", F.lit("approve").alias("decision"))
+    rows = ev.run_once(ev.approvals_stream(asked, told, "user_id", 7200))
+    return rows.where("answered_at IS NOT NULL").groupBy("request_id").agg(F.min("answered_at").alias("answered_at"), F.min_by("decision", "answered_at").alias("decision"))
+
+
+def query_log(spark: SparkSession, d: str) -> DataFrame:
+    """Views as arrivals of a query per user, purchases as completions, errors as completions with one."""
+    rows = _events(spark, d).where("event_type IN ('view', 'purchase', 'error')")
+    error = F.when(F.col("event_type") == "error", "failed")
+    told = rows.select(F.col("user_id").alias("query_id"), F.when(F.col("event_type") == "view", "arrival").otherwise("completion").alias("kind"), "ts", F.col("event_type").alias("query"), F.lit("x").alias("asked_by"), F.col("event_type").alias("verdict"), error.alias("error"))
+    return ev.query_log(told).select("query_id", "answered", "latency_ms", "verdict", "error")
+
+
 def session_fold(spark: SparkSession, d: str) -> DataFrame:
     """Each user's events folded into one row."""
     out = ev.fold_session(_events(spark, d), "user_id", F.col("event_id"), F.col("event_type"))
@@ -86,6 +122,11 @@ def keyword_topics(spark: SparkSession, d: str) -> DataFrame:
     return _keywords(spark, d).select(F.explode("topics").alias("topic")).groupBy("topic").agg(F.count("*").alias("docs"))
 
 
+def topics_per_document(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents have how many topics."""
+    return _keywords(spark, d).groupBy(F.size("topics").alias("topics")).agg(F.count("*").alias("docs"))
+
+
 def topic_pairs(spark: SparkSession, d: str) -> DataFrame:
     return topics.co_occurring(_keywords(spark, d), "topics")
 
@@ -117,8 +158,8 @@ def labelling_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    daily_counts, daily_counts_stream, distinct_events_stream, user_sessions, query_lifecycle, query_lifecycle_stream, approval_timeouts, session_fold,
-    extracted_facts, extraction_stats, keyword_topics, topic_pairs, tf_idf_terms, factor_topics, topic_stability, labelling_agreement,
+    daily_counts, daily_counts_stream, distinct_events_stream, user_sessions, query_lifecycle, query_lifecycle_stream, approval_timeouts, approval_decisions, unknown_answers, approvals_stream, query_log, session_fold,
+    extracted_facts, extraction_stats, keyword_topics, topics_per_document, topic_pairs, tf_idf_terms, factor_topics, topic_stability, labelling_agreement,
 )}
 
 _DAILY = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"
@@ -126,6 +167,10 @@ _LIFE = """WITH p AS (SELECT user_id, min(ts) FILTER (event_type = 'view') AS a,
     SELECT user_id, coalesce(c >= a, false) AND NOT coalesce(f > c, false) AS answered FROM p WHERE a IS NOT NULL"""
 _TOPICS = "t AS (SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(coalesce(text,'')), '{p}') THEN '{k}' END" for k, p in SIGNALS.items()) + "], lambda x: x IS NOT NULL) AS topics FROM documents)"
 
+_ANSWERS = """q AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click'),
+    t AS (SELECT event_id, user_id, ts, CASE WHEN event_type = 'purchase' THEN 'approve' ELSE 'reject' END AS decision FROM events WHERE event_type IN ('purchase', 'error'))"""
+_IN_TIME = "t.user_id = q.user_id AND t.ts >= q.ts AND t.ts <= q.ts + INTERVAL 2 HOUR"
+
 SQL = {
     "daily_counts": _DAILY, "daily_counts_stream": _DAILY,
     "distinct_events_stream": "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1",
@@ -135,6 +180,13 @@ SQL = {
     "query_lifecycle": _LIFE, "query_lifecycle_stream": _LIFE,
     "approval_timeouts": """SELECT event_id AS request_id, CASE WHEN EXISTS (SELECT 1 FROM events p WHERE p.event_type = 'purchase' AND p.user_id = c.user_id AND p.ts >= c.ts AND p.ts <= c.ts + INTERVAL 2 HOUR)
         THEN 'approve' ELSE 'timeout' END AS decision FROM events c WHERE event_type = 'click'""",
+    "approval_decisions": f"""WITH {_ANSWERS}, a AS (SELECT q.event_id, arg_min(t.decision, (t.ts, t.decision)) AS decision FROM q LEFT JOIN t ON {_IN_TIME} GROUP BY 1)
+        SELECT coalesce(decision, 'timeout') AS decision, count(*) AS requests FROM a GROUP BY 1""",
+    "unknown_answers": f"WITH {_ANSWERS} SELECT event_id, decision FROM t WHERE NOT EXISTS (SELECT 1 FROM q WHERE {_IN_TIME})",
+    "approvals_stream": f"WITH {_ANSWERS} SELECT q.event_id AS request_id, min(t.ts) AS answered_at, 'approve' AS decision FROM q JOIN t ON {_IN_TIME} AND t.decision = 'approve' GROUP BY 1",
+    "query_log": """WITH a AS (SELECT user_id, min(ts) AS a FROM events WHERE event_type = 'view' GROUP BY 1), c AS (SELECT user_id, arg_max(event_type, (ts, event_type)) AS verdict, max(ts) AS c FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1)
+        SELECT a.user_id AS query_id, coalesce(verdict = 'purchase', false) AS answered, trunc((epoch_us(c) - epoch_us(a)) / 1000)::BIGINT AS latency_ms, verdict, CASE WHEN verdict = 'error' THEN 'failed' END AS error FROM a LEFT JOIN c USING (user_id)""",
+    "topics_per_document": f"WITH {_TOPICS} SELECT len(topics)::INT AS topics, count(*) AS docs FROM t GROUP BY 1",
     "session_fold": "SELECT user_id, count(*) AS n, arg_max(event_type, event_id) AS last_type FROM events GROUP BY 1",
     "keyword_topics": f"WITH {_TOPICS}, u AS (SELECT unnest(topics) AS topic FROM t) SELECT topic, count(*) AS docs FROM u GROUP BY 1",
     "topic_pairs": f"WITH {_TOPICS}, u AS (SELECT doc_id, unnest(topics) AS x FROM t) SELECT a.x AS a, b.x AS b, count(*) AS n FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.x < b.x GROUP BY ALL ORDER BY n DESC, a, b LIMIT 8",

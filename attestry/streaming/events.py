@@ -132,6 +132,84 @@ def approvals(requests: DataFrame, answers: DataFrame, key: str, seconds: int =
     return requests.select("request_id", key, F.col("ts").alias("asked_at")).join(hits, "request_id", "left").select("request_id", key, "asked_at", "a.answered_at", F.coalesce("a.decision", F.lit("timeout")).alias("decision"))
 
 
+def unknown_answers(requests: DataFrame, answers: DataFrame, key: str, seconds: int = APPROVAL_SECONDS) -> DataFrame:
+    """Answers that no request of their key was waiting for; they are reported and decide nothing."""
+    slot = lambda c: F.floor(F.unix_micros(c) / (seconds * 1_000_000))
+    asked = requests.select(F.col(key).alias("_k"), F.col("ts").alias("_at"), F.explode(F.array(slot("ts"), slot("ts") + 1)).alias("_s"))
+    told = answers.withColumns({"_k": F.col(key), "_s": slot("ts")})
+    waiting = (told["_k"] == asked["_k"]) & (told["_s"] == asked["_s"]) & (F.col("ts") >= F.col("_at")) & (F.unix_micros("ts") - F.unix_micros("_at") <= seconds * 1_000_000)
+    return told.join(asked, waiting, "left_anti").drop("_k", "_s")
+
+
+def approvals_stream(requests: DataFrame, answers: DataFrame, key: str, seconds: int = APPROVAL_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """The same as a stream-stream outer join: a request comes out with each answer in time, or with
+    ``timeout`` once the watermark has passed its limit; of several answers the first counts
+    (``min_by(decision, answered_at)`` of what was written). State is bounded by limit and watermark."""
+    asked = requests.withWatermark("ts", late).select("request_id", F.col(key).alias("_k"), F.col("ts").alias("asked_at"))
+    told = answers.withWatermark("ts", late).select(F.col(key).alias("_ak"), F.col("ts").alias("answered_at"), "decision")
+    in_time = F.expr(f"_k = _ak AND answered_at >= asked_at AND answered_at <= asked_at + INTERVAL {seconds} SECONDS")
+    return asked.join(told, in_time, "leftOuter").select("request_id", F.col("_k").alias(key), "asked_at", "answered_at", F.coalesce("decision", F.lit("timeout")).alias("decision"))
+
+
+def query_log(events: DataFrame) -> DataFrame:
+    """(query_id, query, asked_by, asked_at, completed_at, answered, latency_ms, verdict, error): one row per
+    query from its arrival and completion events (query_id, kind, ts, query, asked_by, verdict, error). A
+    query is answered if it was completed without error; it stands unanswered until then. The first arrival
+    and the last completion count."""
+    arrival, done = F.col("kind") == "arrival", F.col("kind") == "completion"
+    pick = lambda cond, cols: F.struct("ts", *cols)  # noqa: E731, ARG005
+    per = events.groupBy("query_id").agg(F.min(F.when(arrival, pick(arrival, ("query", "asked_by")))).alias("a"), F.max(F.when(done, pick(done, ("verdict", "error")))).alias("c")).where("a IS NOT NULL")
+    c = F.col
+    fine = c("c").isNotNull() & (F.coalesce("c.error", F.lit("")) == "")
+    return per.select("query_id", "a.query", "a.asked_by", c("a.ts").alias("asked_at"), c("c.ts").alias("completed_at"), fine.alias("answered"), ((F.unix_micros("c.ts") - F.unix_micros("a.ts")) / 1000).cast("long").alias("latency_ms"), "c.verdict", "c.error")
+
+
+def log_page(log: DataFrame, since=None, asked_by: str | None = None, unanswered: bool = False, limit: int = 100) -> DataFrame:
+    """The latest rows of a query log that pass the filters, 500 at most (a page, not the log)."""
+    rows = log if since is None else log.where(F.col("asked_at") >= F.lit(since))
+    rows = rows if asked_by is None else rows.where(F.col("asked_by") == asked_by)
+    rows = rows.where(~F.col("answered")) if unanswered else rows
+    return rows.orderBy(F.desc("asked_at"), "query_id").limit(max(1, min(limit, 500)))
+
+
+class Audit:
+    """Audit events beside the work: they are written by a thread of their own, a failure is counted and
+    never stops the work, and ``enabled=False`` turns them off."""
+
+    def __init__(self, write: Callable[[dict], None], enabled: bool = True):
+        import concurrent.futures
+
+        self.write, self.enabled, self.failed, self.pool = write, enabled, 0, concurrent.futures.ThreadPoolExecutor(1)
+
+    def tell(self, **event) -> None:
+        if self.enabled:
+            self.pool.submit(self._try, event)
+
+    def _try(self, event: dict) -> None:
+        try:
+            self.write(event)
+        except Exception:  # noqa: BLE001 - the audit must not stop what it watches
+            self.failed += 1
+
+    def close(self) -> None:
+        """Wait for what was told."""
+        self.pool.shutdown(wait=True)
+
+
+def with_fallback(live: Callable[[], Iterator[dict]], simulated: Callable[[], Iterator[dict]]) -> Iterator[dict]:
+    """Events of the live run; if it fails, a notice and then those of the simulator, each marked so that
+    simulated values are never taken for measured ones."""
+    n = 0
+    try:
+        for e in live():
+            n += 1
+            yield {**e, "simulated": False}
+    except Exception as e:  # noqa: BLE001 - any failure is announced
+        yield {"event": "fallback", "reason": type(e).__name__, "after": n, "simulated": True}
+        for s in simulated():
+            yield {**s, "simulated": True}
+
+
 def fold_session(events: DataFrame, session: str, order: Column, payload: Column) -> DataFrame:
     """(session, n, digest, last): the events of a session in order, as one row. What grows with a
     session is a hash of each event, not its payload."""

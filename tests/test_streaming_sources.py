@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 import shutil
 import tarfile
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestry.operators import merge
-from attestry.sources import records
+from attestry.sources import records, scans, sinks
 from attestry.streaming import events as ev
 
 
@@ -97,3 +98,128 @@ def test_approvals_at_the_limit(spark):
     q = spark.createDataFrame([(1, 7, 0), (2, 7, 500), (3, 8, 0)], "request_id long, user_id long, s long").withColumn("ts", F.timestamp_seconds("s"))
     a = spark.createDataFrame([(7, 120, "reject"), (7, 119, "approve"), (7, 621, "approve")], "user_id long, s long, decision string").withColumn("ts", F.timestamp_seconds("s"))
     assert {r.request_id: r.decision for r in ev.approvals(q, a, "user_id").collect()} == {1: "approve", 2: "timeout", 3: "timeout"}
+
+
+def test_client_waits_and_tries_again():
+    now, slept, answers = [0.0], [], iter([(200, b"a"), (503, b""), (200, b"b")])
+
+    def sleep(x):
+        slept.append(round(x, 3))
+        now[0] += x
+
+    client = scans.Client(lambda method, url, **kw: next(answers), interval=0.5, clock=lambda: now[0], sleep=sleep)
+    assert client.request("GET", "u") == b"a" and client.request("GET", "u", page=2) == b"b" and slept == [0.5, 1.0]
+    with pytest.raises(OSError):
+        scans.Client(lambda *a, **k: (404, b""), sleep=sleep).request("GET", "u")
+    asked = []
+    assert list(scans.in_batches([str(i % 7) for i in range(20)], lambda b: asked.append(b) or [{"n": len(b)}], size=3)) == [{"n": 3}, {"n": 3}, {"n": 1}] and asked[0] == ["0", "1", "2"]
+
+
+def test_scans(spark, tmp_path):
+    rows = spark.createDataFrame([("d:1", 1), ("d:2", 2), ("d'; --", 3)], "doc_id string, v int")
+    assert scans.statement(spark, "SELECT v FROM {t} WHERE doc_id = :id", {"id": "d'; --"}, t=rows).first().v == 3
+    rows.createOrReplaceTempView("scanned")
+    assert [tuple(r) for r in scans.column_names(spark, "scanned").collect()] == [("doc_id", "string"), ("v", "int")]
+    ids = spark.createDataFrame([(" d:1",), ("d:1",), ("d'; --",), (None,), ("gone",)], "doc_id string")
+    assert [r.v for r in scans.lookup(rows, ids, "doc_id").collect()] == [1]
+    (tmp_path / "a.jsonl").write_text('{"k": "x", "v": 1}\n{"k": "y"}\n')
+    (tmp_path / "a.csv").write_text("k,v\nx,1\n")
+    assert scans.files(spark, str(tmp_path / "a.jsonl"), "json", "k string, v int").count() == 2 and scans.files(spark, str(tmp_path / "a.csv"), "csv", "k string, v int").first().v == 1
+    assert bytes(scans.files(spark, str(tmp_path / "a.csv"), "binary").first().content) == b"k,v\nx,1\n"
+    assert [r.v for r in scans.page(rows, ["v"], 1, 1).collect()] == [2] and scans.is_passage_index(["chunk_id"]) and not scans.is_passage_index(["doc_id"])
+    assert records.table_or_path(spark, "scanned", "nowhere").count() == 3
+    rows.write.parquet(str(tmp_path / "t"))
+    assert records.table_or_path(spark, "no_such_table", str(tmp_path / "t")).count() == 3
+
+
+def test_approved_set_is_kept_and_gates_fail_closed(spark):
+    now, reads, fail = [0.0], [], [False]
+
+    def read():
+        reads.append(1)
+        if fail[0]:
+            raise OSError("away")
+        return spark.createDataFrame([("a",)], "doc_id string")
+
+    get = scans.approved_ids(read, 600, clock=lambda: now[0])
+    assert get().count() == 1 and get() is get() and len(reads) == 1
+    now[0], fail[0] = 601.0, True
+    assert get().count() == 1 and len(reads) == 2  # the last known set goes on
+    assert scans.approved_ids(read, 600, clock=lambda: now[0])() is None
+    with pytest.raises(scans.Unreadable):
+        scans.required(lambda: spark.read.parquet("/nowhere/at/all"), "the corpus")
+    assert scans.required(lambda: spark.range(3), "x").count() == 3
+
+
+def test_sinks(spark, tmp_path):
+    raw = spark.createDataFrame([("a", "{}"), ("a", "{}"), ("b", "{}")], "source string, payload string")
+    staged = spark.createDataFrame([("a", "a:1"), ("c", "c:1")], "source string, doc_id string")
+    for _ in range(2):  # a run written again replaces itself
+        got = {r.source: (r.payloads, r.rows) for r in sinks.write_run(raw, staged, str(tmp_path / "runs"), "r1").collect()}
+        assert got == {"a": (2, 1), "b": (1, 0), "c": (0, 1)} and spark.read.json(str(tmp_path / "runs" / "raw")).count() == 3
+    target = spark.createDataFrame([("k1", 1, None, None), ("k2", 2, "x", None)], "k string, v int, approved_by string, approved_at timestamp")
+    new = spark.createDataFrame([("k1", 9), ("k3", 3)], "k string, v int")
+    assert {r.k: (r.v, r.approved_by, r.approved_at is not None) for r in sinks.merge_approved(target, new, "k", " Ana ").collect()} == {"k1": (9, "Ana", True), "k2": (2, "x", False), "k3": (3, "Ana", True)}
+    for bad in ((new.unionByName(new), "Ana"), (new, " ")):
+        with pytest.raises(ValueError):
+            sinks.merge_approved(target, bad[0], "k", bad[1])
+    (tmp_path / "x.sql").write_text("-- first; comment\nCREATE OR REPLACE TEMP VIEW made AS SELECT 'a;b' AS v; /* ; */\n;SELECT 1")
+    assert sinks.apply_sql_file(spark, str(tmp_path / "x.sql")) == 2 and spark.table("made").first().v == "a;b"
+    odd = spark.createDataFrame([("ü,\"q\"", None), ("", "z")], "name string, note string")
+    sinks.write_sheet(odd, str(tmp_path / "sheet"))
+    part = next((tmp_path / "sheet").glob("*.csv")).read_bytes()
+    assert part.startswith(b'\xef\xbb\xbf') or part.startswith(b'"\xef\xbb\xbf')
+    assert {(r.name, r.note or "") for r in sinks.read_sheet(spark, str(tmp_path / "sheet")).collect()} == {('ü,"q"', ""), ("", "z")}
+    sinks.write_report(odd, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).count() == 2
+
+
+def test_fitted_pipelines_are_kept(spark, tmp_path):
+    from attestry.operators import modelling
+
+    df = spark.createDataFrame([(float(i % 10), "ab"[i % 2], float(i % 10 > 4)) for i in range(60)], "x double, s string, label double")
+    fitted = modelling.pipeline(["x"], ["s"], "label").fit(df)
+    sinks.save_fitted(fitted, str(tmp_path / "m"), {"x": "double", "s": "string"})
+    again = sinks.load_fitted(spark, str(tmp_path / "m"), df)
+    assert again.transform(df).where("prediction = label").count() == fitted.transform(df).where("prediction = label").count() == 60
+    with pytest.raises(ValueError):
+        sinks.load_fitted(spark, str(tmp_path / "m"), df.drop("s"))
+    with pytest.raises(FileNotFoundError):
+        sinks.load_fitted(spark, str(tmp_path / "none"))
+
+
+def test_query_log_and_its_pages(spark):
+    rows = [("q1", "arrival", 10, "what", "ana", None, None), ("q1", "completion", 12, None, None, "ok", None), ("q2", "arrival", 11, "how", "bo", None, None), ("q3", "arrival", 5, "why", "ana", None, None), ("q3", "completion", 6, None, None, None, "boom"), ("q4", "completion", 6, None, None, "ok", None)]
+    events = spark.createDataFrame(rows, "query_id string, kind string, s long, query string, asked_by string, verdict string, error string").withColumn("ts", F.timestamp_seconds("s"))
+    log = ev.query_log(events)
+    got = {r.query_id: (r.answered, r.latency_ms, r.error) for r in log.collect()}
+    assert got == {"q1": (True, 2000, None), "q2": (False, None, None), "q3": (False, 1000, "boom")}
+    assert [r.query_id for r in ev.log_page(log).collect()] == ["q2", "q1", "q3"] and [r.query_id for r in ev.log_page(log, unanswered=True, limit=1).collect()] == ["q2"]
+    assert [r.query_id for r in ev.log_page(log, asked_by="ana", since=dt.datetime.fromtimestamp(8)).collect()] == ["q1"] and ev.log_page(log, limit=0).count() == 1
+
+
+def test_audit_never_stops_the_work():
+    told = []
+
+    def write(event):
+        if event["n"] == 1:
+            raise OSError("full")
+        told.append(event["n"])
+
+    audit, silent = ev.Audit(write), ev.Audit(write, enabled=False)
+    for n in range(3):
+        audit.tell(n=n)
+        silent.tell(n=n)
+    audit.close()
+    silent.close()
+    assert told == [0, 2] and audit.failed == 1 and silent.failed == 0
+
+
+def test_fallback_is_announced():
+    def live():
+        yield {"event": "a"}
+        raise TimeoutError
+
+    got = list(ev.with_fallback(live, lambda: iter([{"event": "s"}])))
+    assert [(e["event"], e["simulated"]) for e in got] == [("a", False), ("fallback", True), ("s", True)] and got[1]["reason"] == "TimeoutError"
+    assert [e["simulated"] for e in ev.with_fallback(lambda: iter([{"event": "a"}]), live)] == [False]
