@@ -261,6 +261,34 @@ def pipeline(numeric: Sequence[str], categorical: Sequence[str], label: str, tas
     return Pipeline(stages=[*steps, kinds[model, task]()])
 
 
+def preparation(numeric: Sequence[str], categorical: Sequence[str], label: str):
+    """The steps of :func:`pipeline` before the model."""
+    from pyspark.ml import Pipeline
+
+    return Pipeline(stages=pipeline(numeric, categorical, label).getStages()[:-1])
+
+
+def fit_network(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, hidden: Sequence[int] = (16,), rounds: int = 100, rate: float = 0.03):
+    """A fitted pipeline with a multilayer perceptron: its layers follow from what the preparation gives.
+    Labels are 0, 1, ... as doubles."""
+    from pyspark.ml import PipelineModel, classification
+
+    ready = preparation(numeric, categorical, label).fit(df)
+    made = ready.transform(df).select("features", label).persist()
+    inputs = made.first()["features"].size
+    classes = int(made.agg(F.max(label)).first()[0]) + 1
+    network = classification.MultilayerPerceptronClassifier(layers=[inputs, *hidden, max(2, classes)], labelCol=label, seed=0, maxIter=rounds, stepSize=rate).fit(made)
+    made.unpersist()
+    return PipelineModel(stages=[*ready.stages, network])
+
+
+def scaled_target(df: DataFrame, target: str) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """The table with ``target`` at mean 0 and deviation 1, and the way back for predictions."""
+    r = df.agg(F.avg(target).alias("m"), F.stddev_pop(target).alias("s")).first()
+    mean, spread = r.m or 0.0, r.s or 1.0
+    return df.withColumn(target, (F.col(target) - mean) / spread), lambda c: c * spread + mean
+
+
 def cross_validate(df: DataFrame, fold: str, make: Callable[[], object], label: str) -> DataFrame:
     """(fold, side, accuracy, macro_f1): a model per fold, scored on the fold and on the rest."""
     folds = sorted(r[0] for r in df.where(F.col(fold).isNotNull()).select(fold).distinct().limit(101).collect())

@@ -183,6 +183,13 @@ def chunk_labels(spark: SparkSession, d: str) -> DataFrame:
     return _labelled(spark, d).select(*KEPT_COLUMNS, "chunk_id", "ordinal", "section", "title", "is_table", "subtopic", "subtopic_secondary", "evidence_type", "marks", "enzyme", "metadata")
 
 
+def curated_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Kept pieces in the columns of the curated table, but for who approves them."""
+    rows = _labelled(spark, d)
+    extra = dedup.surviving_rows(read(spark, d, "documents_staging"), dedup.deduplicate(read(spark, d, "documents_staging"))).select("doc_id", "authors", "doi", "url")
+    return rows.join(extra, "doc_id").select("chunk_id", "doc_id", "source", "doc_type", "title", "authors", "year", "doi", "url", "license", "section", "text", "metadata", "relevance", "language", "subtopic", "subtopic_secondary", "evidence_type", "enzyme")
+
+
 def curation_report(spark: SparkSession, d: str) -> DataFrame:
     """(what, value, n): documents and pieces by every label, what was left out and why, sources of what was
     absorbed, and pieces over the maximum, each side of the path read once."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestry.functions.keys import doi_plain
 from attestry.operators import provenance, retrieval
 from attestry.tables import read
 
@@ -30,6 +31,17 @@ def vector_search(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("query_id", "vec_id", "label", "rank", F.round("score", 6).alias("score"), "has_evidence")
 
 
+def first_citations(spark: SparkSession, d: str) -> DataFrame:
+    """The passages of every query as citations c1, c2, ...: one per DOI, structures and documents without
+    one by passage."""
+    curated = read(spark, d, "documents_curated")
+    hits = retrieval.passages(curated, _asked(spark, d), results=2**31 - 1)
+    docs = curated.groupBy("doc_id").agg(F.max(doi_plain(F.col("doi"))).alias("doi"), F.max("doc_type").alias("doc_type"))
+    wide = hits.join(docs, "doc_id")
+    identity = F.when((F.col("doc_type") == "structure") | (F.col("doi") == ""), F.col("chunk_id")).otherwise(F.col("doi"))
+    return retrieval.collapse(wide, identity).select("query_id", F.concat(F.lit("c"), "rank").alias("label"), "chunk_id", "doc_id", "doi")
+
+
 def _asked(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "eval_items").where(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("query_id"), "text")
 
@@ -101,7 +113,7 @@ def spoken_answers(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").where(F.trim("text") != "").select("doc_id", retrieval.first_sentence(F.col("text")).alias("spoken"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_search, passages_overlap, passages_in_documents, span_literal, gate_checks, gate_verdicts, gate_receipts, spoken_answers)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_search, passages_overlap, first_citations, passages_in_documents, span_literal, gate_checks, gate_verdicts, gate_receipts, spoken_answers)}
 
 _SCORES = """s AS (SELECT q.vec_id AS query_id, t.vec_id, t.label, list_cosine_similarity(t.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
     FROM embeddings t JOIN embeddings q ON q.vec_id % 100 = 0 AND q.vec_id <> t.vec_id)"""
@@ -109,12 +121,12 @@ _TERMS = "list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{
 
 
 
-def _passages(rows: str, documents: str) -> str:
+def _passages(rows: str, documents: str, most: str = "rank <= 8") -> str:
     return f"""WITH q AS (SELECT item_id AS query_id, unnest({_TERMS}) AS term FROM eval_items WHERE item_id % 100 = 0),
         p AS (SELECT chunk_id, doc_id, max(text) AS text FROM documents_curated WHERE trim(coalesce(approved_by, '')) <> '' AND length(text) >= 40 AND {rows} GROUP BY ALL), c AS (SELECT chunk_id, doc_id, unnest({_TERMS}) AS term FROM p),
         n AS (SELECT query_id, chunk_id, doc_id, count(*) AS overlap FROM c JOIN q USING (term) WHERE {documents} GROUP BY ALL),
         f AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY overlap DESC, chunk_id) <= 3),
-        k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, doc_id, chunk_id) AS rank FROM f QUALIFY rank <= 8)
+        k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, doc_id, chunk_id) AS rank FROM f QUALIFY {most})
         SELECT query_id, k.chunk_id, k.doc_id, overlap, trim(p.text) AS evidence_span, rank FROM k JOIN p ON k.chunk_id = p.chunk_id AND k.doc_id = p.doc_id"""
 
 
@@ -148,6 +160,9 @@ SQL = {
         c AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY r) = 1), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM c QUALIFY rank <= 3)
         SELECT query_id, vec_id, label, rank, round(score, 6) AS score, max(score) OVER (PARTITION BY query_id) >= 0.7 AS has_evidence FROM k""",
     "passages_overlap": _passages("true", "true"), "passages_in_documents": _passages("contains(lower(section), 'result')", "doc_id IN (SELECT doc_id FROM documents_curated WHERE doc_type = 'article')"),
+    "first_citations": f"""WITH h AS ({_passages('true', 'true', 'true')}), d AS (SELECT doc_id, max(regexp_replace(lower(trim(coalesce(doi,''))), '^(https://doi\\.org/)?(http://doi\\.org/)?(doi:)?', '')) AS doi, max(doc_type) AS doc_type FROM documents_curated GROUP BY 1),
+        w AS (SELECT h.*, doi, CASE WHEN doc_type = 'structure' OR doi = '' THEN chunk_id ELSE doi END AS i FROM h JOIN d USING (doc_id)), o AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY query_id, i ORDER BY rank) = 1)
+        SELECT query_id, 'c' || row_number() OVER (PARTITION BY query_id ORDER BY rank) AS label, chunk_id, doc_id, doi FROM o""",
     "span_literal": "SELECT DISTINCT doc_id, item_id FROM documents d JOIN eval_items i ON i.text <> '' AND contains(d.text, i.text)",
     "gate_checks": f"WITH {_GATE} SELECT * FROM checks",
     "gate_verdicts": f"""WITH {_GATE}, v AS (SELECT hypothesis_id, count(*) FILTER (NOT passed AND fatal) AS failed, count(*) FILTER (NOT passed AND NOT fatal) AS warnings FROM checks GROUP BY 1)

@@ -63,7 +63,7 @@ def apply_sql_file(spark: SparkSession, path: str) -> int:
 def write_sheet(df: DataFrame, path: str) -> None:
     """A table for people, as CSV that spreadsheets open with the right letters: each file starts with a
     byte-order mark and the header. Written by the executors."""
-    df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]).write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
+    df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]).write.mode("overwrite").option("header", True).csv(path)
 
 
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:

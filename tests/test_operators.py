@@ -343,6 +343,22 @@ def test_number_of_topics_is_the_stable_one(spark):
     assert abs(again[1].sum(axis=1) - 1).max() < 1e-9
 
 
+def test_topic_summary(spark):
+    rows = spark.createDataFrame([("a", [0.9, 0.1]), ("b", [0.5, 0.4]), ("c", [0.0, 0.3]), ("d", [0.0, 0.0])], "k string, topics array<double>")
+    years = spark.createDataFrame([("a", 2010), ("b", 2020), ("c", None)], "k string, year int")
+    got = {r.topic: (r.docs, r.median_year, r.several) for r in topics.topic_summary(rows, years, "k").collect()}
+    assert got == {0: (2, 2015.0, 0.5), 1: (1, None, 0.0)}
+
+
+def test_network_and_scaled_target(spark):
+    df = spark.createDataFrame([(float(i % 10), "ab"[i % 2], float(i % 10 > 4), 5.0 * i) for i in range(80)], "x double, s string, label double, y double")
+    fitted = modelling.fit_network(df, ["x"], ["s"], "label", hidden=(6,))
+    assert fitted.transform(df).where("prediction = label").count() >= 76
+    scaled, back = modelling.scaled_target(df, "y")
+    r = scaled.agg(F.avg("y"), F.stddev_pop("y")).first()
+    assert abs(r[0]) < 1e-9 and abs(r[1] - 1) < 1e-9 and abs(scaled.select(F.max(back(F.col("y")))).first()[0] - 395) < 1e-6
+
+
 def test_sentences_and_names():
     assert sentences("As in Fig. 4 it rose. Then it fell; see al. 2010.") == ["As in Fig. 4 it rose.", "Then it fell", "see al. 2010."]
     assert mutations_in("Ser121Glu and D186H, again S121E") == ["S121E", "D186H"]

@@ -168,7 +168,7 @@ def test_sinks(spark, tmp_path):
     odd = spark.createDataFrame([("ü,\"q\"", None), ("", "z")], "name string, note string")
     sinks.write_sheet(odd, str(tmp_path / "sheet"))
     part = next((tmp_path / "sheet").glob("*.csv")).read_bytes()
-    assert part.startswith(b'\xef\xbb\xbf') or part.startswith(b'"\xef\xbb\xbf')
+    assert part.startswith(b"\xef\xbb\xbfname,")
     assert {(r.name, r.note or "") for r in sinks.read_sheet(spark, str(tmp_path / "sheet")).collect()} == {('ü,"q"', ""), ("", "z")}
     sinks.write_report(odd, str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report")).count() == 2
@@ -223,3 +223,16 @@ def test_fallback_is_announced():
     got = list(ev.with_fallback(live, lambda: iter([{"event": "s"}])))
     assert [(e["event"], e["simulated"]) for e in got] == [("a", False), ("fallback", True), ("s", True)] and got[1]["reason"] == "TimeoutError"
     assert [e["simulated"] for e in ev.with_fallback(lambda: iter([{"event": "a"}]), live)] == [False]
+
+
+def test_command_line_publishes_only_in_a_name(spark, tmp_path, capsys):
+    from attestry.__main__ import main
+
+    folder, out = "/root/testdata/sf0.001", str(tmp_path / "curated")
+    assert main(["curate", "--tables", folder, "--out", out], spark) == 0 and not merge.published(spark, out)
+    assert "nothing was published" in capsys.readouterr().out
+    for _ in range(2):
+        assert main(["curate", "--tables", folder, "--out", out, "--approve", "Ana"], spark) == 0
+    rows = merge.current(spark, out)
+    assert rows.count() == rows.select("chunk_id").distinct().count() > 0 and {r[0] for r in rows.select("approved_by").distinct().collect()} == {"Ana"}
+    assert main(["extract", "--tables", folder, "--out", out], spark) == 0 and main(["query", "--tables", folder, "profile_total"], spark) == 0
