@@ -17,7 +17,7 @@ import hashlib
 import itertools
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -226,8 +226,21 @@ def _telling(words: Sequence[str]) -> list[str]:
     return [w for w in dict.fromkeys(words) if w != "…" and not w.endswith(".") and (len(w) > 2 or w.isdigit()) and w not in _SMALL]
 
 
-def _key(kind: str, words: Iterable[str]) -> int:
-    return int.from_bytes(hashlib.blake2b((kind + "|" + " ".join(sorted(words))).encode(), digest_size=8).digest(), "big", signed=True)
+_MASK = (1 << 64) - 1
+#: Odd multipliers, one per kind of key.
+_KINDS = {"n": 0x9E3779B97F4A7C15, "s": 0xC2B2AE3D27D4EB4F, "t": 0x165667B19E3779F9, "p": 0x27D4EB2F165667C5, "c": 0x85EBCA77C2B2AE63}
+
+
+@functools.lru_cache(maxsize=500_000)
+def _number(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+
+
+def _key(kind: str, total: int) -> int:
+    """The key of a set of words from the sum of their numbers, so that a word less is a subtraction."""
+    x = (total & _MASK) * _KINDS[kind] & _MASK
+    x ^= x >> 29
+    return x - (1 << 64) if x >> 63 else x
 
 
 def block_keys(words: Sequence[str], names: Sequence[str], entry: bool) -> list[int]:
@@ -240,25 +253,30 @@ def block_keys(words: Sequence[str], names: Sequence[str], entry: bool) -> list[
     CLASSES by a hash of each word instead, and two words, changed or not, leave one class at least as it was.
     """
     told = _telling(words)
-    long = sorted((w for w in told if len(w) > 3), key=lambda w: (-len(w), w))
+    number = [_number(w) for w in told]
+    long = [_number(w) for w in sorted((w for w in told if len(w) > 3), key=lambda w: (-len(w), w))]
     # a name alone, or with one word, can be shared by a third of all rows; with two words it tells
-    pairs = list(itertools.combinations(long[:NAME_WORDS], 2)) or [(w,) for w in long]
-    keys = [_key("n", (n, *p)) for n in names for p in pairs]
-    slips = list(itertools.combinations(long[:SLIP_WORDS], 2)) or [(w,) for w in long]
-    keys += [_key("s", (m, *p)) for n in names for m in [n, *(n[:i] + n[i + 1 :] for i in range(len(n)))] for p in slips]
+    pairs = [a + b for a, b in itertools.combinations(long[:NAME_WORDS], 2)] or long
+    slips = [a + b for a, b in itertools.combinations(long[:SLIP_WORDS], 2)] or long
+    keys = {_key("n", 3 * _number(n) + p) for n in names for p in pairs}
+    keys |= {_key("s", 3 * _number(m) + p) for n in names for m in (n, *(n[:i] + n[i + 1 :] for i in range(len(n)))) for p in slips}
     if told:
-        keys.append(_key("t", told))
-        if len(told) > 2:
-            keys += [_key("t", told[:i] + told[i + 1 :]) for i in range(len(told))]
-        if 4 <= len(told) <= LONG_TITLE:
-            keys += [_key("t", told[:i] + told[i + 1 : j] + told[j + 1 :]) for i in range(len(told)) for j in range(i + 1, len(told))]
-        if len(told) > LONG_TITLE - 2:  # the other title may have two words more
-            parts: list[list[str]] = [[] for _ in range(CLASSES)]
-            for w in told:
-                parts[_key("c", (w,)) % CLASSES].append(w)
-            keys += [_key(f"c{i}", p) for i, p in enumerate(parts) if len(p) > 1]
-        keys += [_key("p", told)] if entry and len(told) > 1 else [] if entry else [_key("p", told[:k]) for k in range(2, len(told))]
-    return sorted(set(keys))
+        total, n = sum(number), len(told)
+        keys.add(_key("t", total))
+        if n > 2:
+            keys |= {_key("t", total - x) for x in number}
+        if 4 <= n <= LONG_TITLE:
+            keys |= {_key("t", total - x - y) for x, y in itertools.combinations(number, 2)}
+        if n > LONG_TITLE - 2:  # the other title may have two words more
+            parts: list[list[int]] = [[] for _ in range(CLASSES)]
+            for x in number:
+                parts[x % CLASSES].append(x)
+            keys |= {_key("c", sum(p) + i) for i, p in enumerate(parts) if len(p) > 1}
+        if not entry:
+            keys |= {_key("p", x) for x in list(itertools.accumulate(number))[1 : n - 1]}
+        elif n > 1:
+            keys.add(_key("p", total))
+    return sorted(keys)
 
 
 def candidates(entries: DataFrame, units: DataFrame) -> DataFrame:
