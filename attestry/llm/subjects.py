@@ -99,6 +99,7 @@ class Words:
     prior: np.ndarray | None = None
     lexicon: dict[str, int] = field(default_factory=dict)
     _memo: dict = field(default_factory=dict)
+    _known: frozenset = frozenset()
 
     @classmethod
     def fit(cls, documents: Iterable[tuple[str, Sequence[int]]], areas: int, descriptions: Sequence[str] = ()) -> Words:
@@ -146,11 +147,12 @@ class Words:
         return cls(areas, index, odds, prior, lexicon)
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "_memo": {}}
+        return {**self.__dict__, "_memo": {}, "_known": frozenset()}
 
     def vote(self, sentence: str) -> tuple[int, int]:
         """The lexicon's area (-1 without any or with a tie) and the word model's (-1 if it is not sure)."""
-        told = frozenset(w for w in _telling(sentence) if w in self.index or w in self.lexicon)
+        self._known = self._known or frozenset(self.index).union(self.lexicon)
+        told = self._known.intersection(sentence.split())
         if told in self._memo:
             return self._memo[told]
         if len(self._memo) > 50_000:
@@ -192,14 +194,26 @@ class Judges:
         out = []
         for sentences in paragraphs:
             own = [self.words.vote(s) for s in sentences]
-            around: Counter[int] = Counter(v for pair in own for v in set(pair) if v >= 0)
+            around: dict[int, int] = {}
+            for a, b in own:
+                if a >= 0:
+                    around[a] = around.get(a, 0) + 1
+                if b >= 0 and b != a:
+                    around[b] = around.get(b, 0) + 1
             rows = []
             for a, b in own:
-                others = around.copy()
-                others.subtract({v for v in (a, b) if v >= 0})
-                top = others.most_common(2)
-                section = top[0][0] if top and top[0][1] > 1 and (len(top) < 2 or top[0][1] > top[1][1]) else -1
-                rows.append((a, b, section, address, origin) if a >= 0 or b >= 0 else (-1,) * 5)
+                if a < 0 and b < 0:
+                    rows.append((-1,) * 5)
+                    continue
+                first = second = 0
+                section = -1
+                for k, n in around.items():
+                    n -= k in (a, b)
+                    if n > first:
+                        first, second, section = n, first, k
+                    elif n > second:
+                        second = n
+                rows.append((a, b, section if first > 1 and first > second else -1, address, origin))
             out.append(rows)
         return out
 
