@@ -166,6 +166,12 @@ def deposits(payloads: DataFrame) -> DataFrame:
     }, {"files": F.to_json("files")})
 
 
+def json_pages(spark: SparkSession, path: str, records: str = "results") -> DataFrame:
+    """(page, place, payload): the records of page files of a service's answers, in any file system."""
+    pages = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("page"), F.from_json("value", f"`{records}` array<string>")[records].alias("r"))
+    return pages.select("page", F.posexplode("r").alias("place", "payload"))
+
+
 class JsonPages(DataSource):
     """``spark.read.format("json_pages").option("path", folder)``: one partition per page file of a
     service's answers, each record as (page, place, payload). Stands where an HTTP reader would."""

@@ -179,9 +179,11 @@ def test_merges(spark, tmp_path):
     assert [r.chunk for r in merge.orphans(target, source, "chunk", "doc").collect()] == ["d1#2"]
 
 
-def test_components_with_a_chain_and_a_hot_key(spark):
+def test_components_with_a_chain_and_a_hot_key(spark, monkeypatch):
     rows = [(f"n{i:03}", f"k{j}") for i in range(60) for j in (i, i + 1)] + [("solo", None), (None, "k1"), ("n000", "k0")] + [(f"h{i:04}", "hot") for i in range(500)]
     got = {r.node: r.component for r in components.components_by_keys(spark.createDataFrame(rows, "node string, key string"), "node", "key").collect()}
+    monkeypatch.setattr(components, "NODES_PER_SALT", 40)  # the hot key over 13 salts
+    assert {r.node: r.component for r in components.components_by_keys(spark.createDataFrame(rows, "node string, key string"), "node", "key").collect()} == got
     assert len(got) == 561 and got["solo"] == "solo" and {got[f"n{i:03}"] for i in range(60)} == {"n000"} and {got[f"h{i:04}"] for i in range(500)} == {"h0000"}
 
 

@@ -54,6 +54,8 @@ def test_pages_as_a_data_source_and_csv_in_tar(spark, tmp_path):
     spark.dataSource.register(records.JsonPages)
     got = spark.read.format("json_pages").option("path", str(tmp_path / "pages")).load()
     assert sorted(json.loads(r.payload)["n"] for r in got.collect()) == [0, 1, 10, 11, 20, 21]
+    again = records.json_pages(spark, str(tmp_path / "pages")).collect()
+    assert sorted(json.loads(r.payload)["n"] for r in again) == [0, 1, 10, 11, 20, 21] and {r.place for r in again} == {0, 1}
     (tmp_path / "a.csv").write_text("x,y\n1,a\n2,b\n")
     with tarfile.open(tmp_path / "t.tar.gz", "w:gz") as t:
         t.add(tmp_path / "a.csv", "in/a.csv")
