@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,80 +39,74 @@ def is_table(line: str) -> bool:
     return n >= 400 and sum(c.isdigit() or c in "±×−-/()[]%" for c in line) > 0.12 * n and len(re.findall(r"[.;]\s+[A-Z]", line)) < n / 600
 
 
-class Packer:
-    """Gathers parts up to a size; a part that is short enough is carried into the next piece."""
-
-    def __init__(self, glue: str, most: int):
-        self.glue, self.most, self.parts, self.done = glue, most, [], []
-
-    def fits(self, part: str) -> bool:
-        return not self.parts or size(self.glue.join([*self.parts, part])) <= self.most
-
-    def close(self) -> str | None:
-        """End the piece; its last part is returned."""
-        last = self.parts[-1] if self.parts else None
-        if self.parts:
-            self.done.append(self.glue.join(self.parts))
-        self.parts = []
-        return last
-
-
-def pack_sentences(line: str) -> list[str]:
-    """Pieces of an oversized line: whole sentences up to TARGET, the last one carried if short."""
-    packer = Packer(" ", TARGET)
-    for sentence in _STOP.split(line):
-        words = sentence.split()
-        parts = [sentence] if size(sentence) <= MOST else [" ".join(words[i : i + SLICE_WORDS]) for i in range(0, len(words), SLICE_WORDS)]
-        for part in parts:
-            if not packer.fits(part):
-                last = packer.close()
-                if last is not None and size(last) < 2 * CARRY * TARGET:
-                    packer.parts = [last]
-            packer.parts.append(part)
-    packer.close()
-    return packer.done
-
-
-def pack_lines(body: str) -> list[str]:
-    """Pieces of a section: whole lines up to MOST, tables alone and uncut at any size."""
-    packer = Packer("\n", MOST)
-    for line in filter(str.strip, body.split("\n")):
-        if is_table(line.strip()):
-            packer.close()
-            packer.done.append(line.strip())
+def pack(parts: Iterable[str], glue: str, most: int, carried: Callable[[str, str], bool]) -> list[str]:
+    """Parts joined up to a size; the last of a full piece also starts the next one if ``carried`` says so
+    of it and of the part that comes."""
+    out: list[list[str]] = []
+    room = 0  # characters of the open piece
+    for part in parts:
+        if out and max(1, (room + len(glue) + len(part)) // CHARS_PER_TOKEN) <= most:
+            out[-1].append(part)
+            room += len(glue) + len(part)
             continue
-        if not packer.fits(line):
-            last = packer.close()
-            if last is not None and size(last) <= 2 * CARRY * TARGET and size(f"{last}\n{line}") <= MOST:
-                packer.parts = [last]
-        if size(line) > MOST:
-            packer.close()
-            packer.done += pack_sentences(line)
+        last = out[-1][-1] if out else None
+        out.append([last, part] if last is not None and carried(last, part) else [part])
+        room = len(glue.join(out[-1]))
+    return [glue.join(p) for p in out]
+
+
+def _slices(sentence: str) -> list[str]:
+    """A sentence, or slices by words of one without stops that is too long."""
+    if size(sentence) <= MOST:
+        return [sentence]
+    words = sentence.split()
+    return [" ".join(words[i : i + SLICE_WORDS]) for i in range(0, len(words), SLICE_WORDS)]
+
+
+def pieces_of(body: str) -> list[str]:
+    """Pieces of a section: ordinary lines together up to MOST, tables alone and uncut at any size, a line
+    that is too long by its sentences up to TARGET."""
+    kind = lambda line: "table" if is_table(line.strip()) else "long" if size(line) > MOST else "line"
+    short = 2 * CARRY * TARGET
+    out: list[str] = []
+    for what, run in itertools.groupby((x for x in body.split("\n") if x.strip()), kind):
+        if what == "table":
+            out += [line.strip() for line in run]
+        elif what == "line":
+            out += pack(run, "\n", MOST, lambda last, line: size(last) <= short and size(f"{last}\n{line}") <= MOST)
         else:
-            packer.parts.append(line)
-    packer.close()
-    return [p for p in packer.done if p.strip()]
+            for line in run:
+                out += pack([p for s in _STOP.split(line) for p in _slices(s)], " ", TARGET, lambda last, _: size(last) < short)
+    return [p for p in out if p.strip()]
 
 
-def chunk_document(title: str | None, abstract: str | None, text: str | None) -> list[tuple[int, str, str, str | None]]:
-    """(ordinal, section, piece, reason it is left out or None). Pieces that are left out keep their
-    ordinal, so other identifiers never move; skipped sections use none."""
-    found: list[tuple[str, str, str | None]] = []
-    title, abstract, text = title or "", abstract or "", text or ""
+def sections_of(title: str, abstract: str, text: str) -> Iterator[tuple[str, str, str]]:
+    """(name, what is cut, kind) of the parts of a document that are cut at all; a kind is ``abstract``,
+    ``section`` or ``heading``, a section without anything under its name."""
     if len(abstract) >= classify.MIN_ABSTRACT:
-        found += [(ABSTRACT_SECTION, p, None) for p in pack_lines(f"{title}\n{abstract}".strip())]
-    for part in re.split(r"(?m)^## ", text) if text and not _FILLER.search(text) else []:
+        yield ABSTRACT_SECTION, f"{title}\n{abstract}".strip(), "abstract"
+    if not text or _FILLER.search(text):
+        return
+    for part in re.split(r"(?m)^## ", text):
         head, _, body = part.partition("\n")
         name = head.strip() or "Texto"
-        if not part.strip() or _SKIPPED.match(name):
-            continue
-        for p in pack_lines(body if body.strip() else part):
-            reason = (
-                "title_only" if not body.strip() else "administrative" if _ADMIN.match(name)
-                else "too_short" if size(p) < LEAST and not is_table(p.strip()) else None
-            )
-            found.append((name[:NAME_CHARS], p, reason))
-    return [(i, *f) for i, f in enumerate(found, 1)]
+        if part.strip() and not _SKIPPED.match(name):
+            yield (name, body, "section") if body.strip() else (name, part, "heading")
+
+
+def left_out(name: str, piece: str, kind: str) -> str | None:
+    """Why a piece is left out, or None: the first of the rules that holds. The abstract always stays."""
+    if kind == "abstract":
+        return None
+    rules = {"title_only": kind == "heading", "administrative": bool(_ADMIN.match(name)), "too_short": size(piece) < LEAST and not is_table(piece.strip())}
+    return next((why for why, holds in rules.items() if holds), None)
+
+
+def chunk_document(title: str | None, abstract: str | None, text: str | None) -> list[tuple[int, str, str, str | None]]:
+    """(ordinal, section, piece, reason it is left out or None). Pieces that are left out keep their
+    ordinal, so other identifiers never move; skipped sections use none."""
+    found = [(name, piece, kind) for name, cut, kind in sections_of(title or "", abstract or "", text or "") for piece in pieces_of(cut)]
+    return [(i, name[:NAME_CHARS], piece, left_out(name, piece, kind)) for i, (name, piece, kind) in enumerate(found, 1)]
 
 
 _CHUNKS = T.ArrayType(T.StructType([T.StructField("ordinal", T.IntegerType()), T.StructField("section", T.StringType()), T.StructField("text", T.StringType()), T.StructField("reason", T.StringType())]))
