@@ -46,10 +46,10 @@ NAME_WORDS, SLIP_WORDS = 6, 3
 ALIKE = 0.4
 #: Log-odds under which a pair is no candidate: nothing that the factors add makes a match of it.
 WEAK = -1.0
-#: Odds that a work of the list is listed once more.
-RELISTED = 0.5
-#: Least marginal of a match, and change at which messages stand still.
-CONFIDENCE, STILL = 0.6, 0.01
+#: Odds that a work of the list is listed once more (lists of this kind hold a work 1.4 times on average).
+RELISTED = 0.3
+#: Least marginal of a match (more likely than not, so an entry matches one work at most), and change at which messages stand still.
+CONFIDENCE, STILL = 0.5, 0.01
 #: Rounds after which messages that still move are an error.
 ROUNDS = 200
 

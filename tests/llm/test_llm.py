@@ -246,7 +246,7 @@ def test_matching(spark):
     ]
     r, d = spark.createDataFrame(refs, ref), spark.createDataFrame(docs, doc)
     got = matching.match_references(r, d).collect()
-    assert {(x.ref_id, x.doc_id) for x in got} == {(i, f"a:{j}") for i in (1, 3) for j in (1, 2, 3)} and all(0.6 <= x.confidence <= 1 for x in got)
+    assert {(x.ref_id, x.doc_id) for x in got} == {(i, f"a:{j}") for i in (1, 3) for j in (1, 2, 3)} and all(matching.CONFIDENCE <= x.confidence <= 1 for x in got)
     assert matching.match_references(r.limit(0), d).count() == 0 == matching.match_references(r, d.limit(0)).count()
 
 
