@@ -177,14 +177,20 @@ class CellCounts:
     def folds(self) -> list:
         return sorted(self.cells[self.fold].unique())
 
-    def by_fold(self, columns: Sequence[str], without: Sequence = (), on: Sequence | None = None) -> dict:
+    def by_fold(self, columns: Sequence[str], without: Sequence = (), on: Sequence | None = None, train: CellCounts | None = None) -> dict:
         """Accuracy on each fold (of ``on``) of the labels most frequent outside it among rows with its bins,
-        as :func:`table_model_scores`; rows of the folds ``without`` are not there at all."""
+        as :func:`table_model_scores`; rows of the folds ``without`` are not there at all, and labels are
+        learned from ``train`` where that is given."""
         keys = [f"{c}_bin" for c in columns] or ["_all"]
-        cells = self.cells[~self.cells[self.fold].isin(list(without))].assign(_all=0).groupby([*keys, self.fold, "_t"], as_index=False, dropna=False)["_n"].sum()
+
+        def summed(cells: pd.DataFrame) -> pd.DataFrame:
+            return cells[~cells[self.fold].isin(list(without))].assign(_all=0).groupby([*keys, self.fold, "_t"], as_index=False, dropna=False)["_n"].sum()
+
+        asked = summed(self.cells)
+        known = asked if train is None else summed(train.cells)
         out = {}
-        for f in sorted(cells[self.fold].unique()) if on is None else on:
-            here, rest = cells[cells[self.fold] == f], cells[cells[self.fold] != f].groupby([*keys, "_t"], as_index=False)["_n"].sum()
+        for f in sorted(asked[self.fold].unique()) if on is None else on:
+            here, rest = asked[asked[self.fold] == f], known[known[self.fold] != f].groupby([*keys, "_t"], as_index=False)["_n"].sum()
             guess = rest.sort_values(["_n", "_t"]).groupby(keys, as_index=False).last().rename(columns={"_t": "_g"})[[*keys, "_g"]]
             told = here.merge(guess, on=keys, how="left")
             out[f] = float(told.loc[told["_t"] == told["_g"], "_n"].sum() / told["_n"].sum()) if len(told) else float("nan")
@@ -282,6 +288,46 @@ def fit_network(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
     return PipelineModel(stages=[*ready.stages, network])
 
 
+#: Genes of a perceptron: layers, neurons of the first, how they shrink, solver, step and rounds.
+NETWORK_GENES = {"layers": (1, 2, 3), "neurons": (8, 16, 32, 64), "shrink": (1.0, 0.5), "solver": ("l-bfgs", "gd"), "rate": (0.003, 0.03, 0.3), "rounds": (50, 100, 200)}
+
+
+def tune_network(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, fold: str, genes: Mapping[str, Sequence] = NETWORK_GENES, **search_options) -> tuple[dict, float]:
+    """(genes, score) of the perceptron that is best over fixed folds, by genetic search with its defaults
+    (``search_options`` are those of :func:`attestry.operators.search.evolve`). The score is the mean
+    macro-F1; the preparation is fitted on the other folds only. A network that cannot be fitted counts as
+    the worst. Fits run one after the other, each as Spark jobs over all rows; it is meant for tables of a
+    few folds."""
+    from pyspark.ml import classification
+
+    from attestry.operators import search
+
+    folds = sorted(r[0] for r in df.where(F.col(fold).isNotNull()).select(fold).distinct().collect())
+    made = []
+    for f in folds:
+        ready = preparation(numeric, categorical, label).fit(df.where(F.col(fold) != f))
+        made.append((f, ready.transform(df.where(F.col(fold).isNotNull())).select("features", label, fold).persist()))
+    classes = max(2, int(df.agg(F.max(label)).first()[0] or 0) + 1)
+
+    def score(g: dict) -> float:
+        total = 0.0
+        for f, rows in made:
+            inputs = rows.first()["features"].size
+            hidden = [max(2, int(g["neurons"] * g["shrink"] ** i)) for i in range(g["layers"])]
+            model = classification.MultilayerPerceptronClassifier(layers=[inputs, *hidden, classes], labelCol=label, seed=0, maxIter=g["rounds"], stepSize=g["rate"], solver=g["solver"])
+            try:
+                guessed = model.fit(rows.where(F.col(fold) != f)).transform(rows.where(F.col(fold) == f))
+                total += float(macro_f1(guessed, label, "prediction").first()["macro_f1"] or 0.0)
+            except Exception:  # noqa: BLE001 - a network that does not fit is the worst
+                return float("nan")
+        return total / len(made) if made else float("nan")
+
+    best = search.evolve(dict(genes), lambda genomes: [score(g) for g in genomes], **search_options)
+    for _, rows in made:
+        rows.unpersist()
+    return best
+
+
 def scaled_target(df: DataFrame, target: str) -> tuple[DataFrame, Callable[[Column], Column]]:
     """The table with ``target`` at mean 0 and deviation 1, and the way back for predictions."""
     r = df.agg(F.avg(target).alias("m"), F.stddev_pop(target).alias("s")).first()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions.folding import folded_literal
+from attestry.lineage import cut
 from attestry.operators.retrieval import containing
 
 #: Least characters of a quotation and of a statement, least sources, tolerance of a value; verdicts and
@@ -68,7 +69,7 @@ def gate(hypotheses: DataFrame, evidence: DataFrame, corpus: DataFrame, records:
     docs = corpus.groupBy("doc_id").agg(F.bool_or(~_blank(F.col("approved_by"))).alias("approved"), F.max("source").alias("source"), F.lit(True).alias("found"))
     facts = records.groupBy("record_id").agg(F.max_by(F.struct(F.col("value").alias("v"), F.coalesce("verified", F.lit(False)).alias("ok"), F.coalesce("extracted_by", F.lit("an agent")).alias("by")), F.struct("value", "verified")).alias("r"))
     literal = literal_spans(claims, corpus).withColumn("literal", F.lit(True))
-    wide = claims.join(docs, "doc_id", "left").join(facts, "record_id", "left").join(literal.withColumnRenamed("span", "evidence_span"), ["doc_id", "evidence_span"], "left")
+    wide = cut(claims.join(docs, "doc_id", "left").join(facts, "record_id", "left").join(literal.withColumnRenamed("span", "evidence_span"), ["doc_id", "evidence_span"], "left"))
     lost = wide.where(F.col("found") & F.col("literal").isNull() & ~_blank(F.col("evidence_span"))).select("doc_id", F.col("evidence_span").alias("span"))
     elsewhere = misattributed(lost, corpus).groupBy("span").agg(F.min("found_in").alias("first"), F.count("*").alias("others"))
     wide = wide.join(elsewhere.withColumnRenamed("span", "evidence_span"), "evidence_span", "left")

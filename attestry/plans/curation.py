@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestry import lineage
 from attestry.functions import classify
 from attestry.functions.keys import content_key, doi_plain
 from attestry.operators import chunking, dedup, facts, merge
@@ -40,8 +41,15 @@ def clean_text(c: Column) -> Column:
 
 
 def plain_tags(c: Column) -> Column:
-    c = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, EMAIL, EMAIL_MASK), RAISED, ""), TAG, "")
-    return F.regexp_replace(c, r"[ \t]{2,}", " ")
+    """As :func:`clean_text` but for entities; a text without the sign that a pattern needs is passed by."""
+    def where(sign: str, text: Column, *patterns: tuple[str, str]) -> Column:
+        out = text
+        for pattern, by in patterns:
+            out = F.regexp_replace(out, pattern, by)
+        return F.when(F.contains(text, F.lit(sign)), out).otherwise(text)
+
+    c = where("@", c, (EMAIL, EMAIL_MASK))
+    return classify.let(c, lambda t: F.regexp_replace(where("<", t, (RAISED, ""), (TAG, "")), r"[ \t]{2,}", " "))
 
 
 def corpus_slice(spark: SparkSession, d: str) -> DataFrame:
@@ -199,9 +207,10 @@ def curation_report(spark: SparkSession, d: str) -> DataFrame:
     staging = read(spark, d, "documents_staging")
     members = dedup.deduplicate(staging.where(~F.coalesce(F.col("title").rlike(LEFT_OUT), F.lit(False))))
     docs = _kept(spark, d)
-    cut = docs.select(*KEPT_COLUMNS, "suspicious_year", chunking.chunks_of("title", "abstract", "full_text").alias("_c"))
-    per_doc = count(cut, F.when(F.size("_c") == 0, pair("document_left_out", F.lit("no_pieces"))), *[F.when(F.size("_c") > 0, pair(k, c(k))) for k in ("language", "relevance", "license")], F.when(c("suspicious_year"), pair("suspicious_year", F.lit("true"))))
-    reasons = count(cut.select(F.explode("_c.reason").alias("r")).where("r IS NOT NULL"), pair("piece_left_out", c("r")))
+    # documents are cut once; what is kept of the pieces is why they are left out
+    told = lineage.cut(docs.select(*KEPT_COLUMNS, "suspicious_year", chunking.chunks_of("title", "abstract", "full_text")["reason"].alias("_r")))
+    per_doc = count(told, F.when(F.size("_r") == 0, pair("document_left_out", F.lit("no_pieces"))), *[F.when(F.size("_r") > 0, pair(k, c(k))) for k in ("language", "relevance", "license")], F.when(c("suspicious_year"), pair("suspicious_year", F.lit("true"))))
+    reasons = count(told.select(F.explode("_r").alias("r")).where("r IS NOT NULL"), pair("piece_left_out", c("r")))
     over = (c("tokens") > chunking.MOST)
     pieces = count(_labelled(spark, d), pair("subtopic", c("subtopic")), pair("evidence_type", c("evidence_type")), F.when(over, pair("over_maximum", F.when(c("is_table"), "table").otherwise("text"))))
     absorbed = count(members.where("doc_id <> survivor"), pair("absorbed_by_source", F.substring_index("doc_id", ":", 1)))

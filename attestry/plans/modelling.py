@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -226,30 +229,39 @@ def selected_columns(spark: SparkSession, d: str) -> DataFrame:
 MODELS = {"conditions": CONDITIONS[:2], "sequence": CONDITIONS[2:], "all": CONDITIONS}
 
 
-def _scenario_scores(spark: SparkSession, d: str, model: str, name: str) -> DataFrame:
+def _scenario_scores(spark: SparkSession, d: str) -> Callable[[str, str], float]:
+    """The score of a model in a scenario; a scenario's cells are counted when it is first asked for."""
     rows = _measured(spark, d).withColumns({c: F.col(c).cast("double") for c in CONDITIONS})
     key = F.concat_ws("|", "enzyme_id", "ph", "temperature_c", "substrate", "activity")
-    train, test = modelling.scenario_pair(rows, name, CONDITIONS, "is_active", key)
     edges = modelling.edges(rows, CONDITIONS)  # of the undisturbed table, for both sides
-    binned = [modelling.binned_at(x, edges) for x in (train, test)]
-    return modelling.table_model_scores(binned[1], MODELS[model], "is_active", "cv_split", train=binned[0]).agg(F.lit(model).alias("model"), F.lit(name).alias("scenario"), F.avg("accuracy").alias("score"))
+    count = lambda df: modelling.CellCounts(modelling.binned_at(df, edges), CONDITIONS, "is_active", "cv_split")
+
+    @functools.cache
+    def cells(name: str) -> tuple[modelling.CellCounts, modelling.CellCounts]:
+        train, test = modelling.scenario_pair(rows, name, CONDITIONS, "is_active", key)
+        first = count(train)
+        return first, first if train is test else count(test)
+
+    def score(model: str, name: str) -> float:
+        train, test = cells(name)
+        got = list(test.by_fold(MODELS[model], train=train).values())
+        return sum(got) / len(got) if got else 0.0
+
+    return score
 
 
 def robust_minimax(spark: SparkSession, d: str) -> DataFrame:
     """Worst score of three table models over adverse versions of the table, best first."""
-    out = None
-    for name in modelling.SCENARIOS:
-        for model in MODELS:
-            one = _scenario_scores(spark, d, model, name)
-            out = one if out is None else out.unionByName(one)
-    return out.groupBy("model").agg(F.round(F.min("score"), 6).alias("worst"), F.min_by("scenario", "score").alias("scenario"))
+    score = _scenario_scores(spark, d)
+    worst = {m: min((score(m, name), name) for name in modelling.SCENARIOS) for m in MODELS}
+    rows = sorted(((m, round(x, 6), name) for m, (x, name) in worst.items()), key=lambda r: (-r[1], r[0]))
+    return spark.createDataFrame(rows, "model string, worst double, scenario string")
 
 
 def robust_choice(spark: SparkSession, d: str) -> DataFrame:
     """The model whose worst case is best, found by alpha-beta search; scores that cannot matter are not
     computed, and how many were is told."""
-    score = lambda model, name: float(_scenario_scores(spark, d, model, name).first()["score"] or 0.0)
-    best, worst, n = search.worst_case_choice(list(MODELS), modelling.SCENARIOS, score)
+    best, worst, n = search.worst_case_choice(list(MODELS), modelling.SCENARIOS, _scenario_scores(spark, d))
     return spark.createDataFrame([(best, round(worst, 6), n, len(MODELS) * len(modelling.SCENARIOS))], "model string, worst double, computed int, of int")
 
 

@@ -147,12 +147,16 @@ def test_eligibility_and_citations(spark):
 
 
 def test_cell_counts_are_those_of_the_table_model(spark):
-    df = spark.range(3000).select((F.col("id") % 4).alias("fold"), *[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(3)).alias(f"{c}_bin") for i, c in enumerate("xyz")]).withColumn("y", (F.col("x_bin") + F.col("z_bin") + F.col("fold")) % 3 == 0)
+    df = spark.range(3000).select("id", (F.col("id") % 4).alias("fold"), *[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(3)).alias(f"{c}_bin") for i, c in enumerate("xyz")]).withColumn("y", (F.col("x_bin") + F.col("z_bin") + F.col("fold")) % 3 == 0)
     cells = modelling.CellCounts(df, "xyz", "y", "fold")
     for chosen in ("x", "xz", "xyz", ""):
         want = {r.fold: r.accuracy for r in modelling.table_model_scores(df, list(chosen), "y", "fold").collect()}
         got = cells.by_fold(list(chosen))
         assert want.keys() == got.keys() and all(abs(want[f] - got[f]) < 1e-12 for f in want), chosen
+    other = df.withColumn("y", F.when(F.col("id") % 5 == 0, ~F.col("y")).otherwise(F.col("y")))
+    want = {r.fold: r.accuracy for r in modelling.table_model_scores(df, ["x"], "y", "fold", train=other).collect()}
+    got = cells.by_fold(["x"], train=modelling.CellCounts(other, "xyz", "y", "fold"))
+    assert all(abs(want[f] - got[f]) < 1e-12 for f in want)
     inner = {r.fold: r.accuracy for r in modelling.table_model_scores(df.where("fold <> 2"), ["x"], "y", "fold").collect()}
     assert cells.by_fold(["x"], without=[2]) == inner
     rows, seen = modelling.separate(spark.createDataFrame([(1.0, True, "g", 0, "s", 2.0), (float("nan"), None, "g", 0, "s", 2.0)], "activity double, is_active boolean, enzyme_id string, cv_split int, source string, ph double"), "activity", ("activity", "is_active"), "enzyme_id", "cv_split", ("source",))
@@ -356,6 +360,9 @@ def test_network_and_scaled_target(spark):
     df = spark.createDataFrame([(float(i % 10), "ab"[i % 2], float(i % 10 > 4), 5.0 * i) for i in range(80)], "x double, s string, label double, y double")
     fitted = modelling.fit_network(df, ["x"], ["s"], "label", hidden=(6,))
     assert fitted.transform(df).where("prediction = label").count() >= 76
+    genes = {"layers": (1,), "neurons": (2, 8), "shrink": (1.0,), "solver": ("l-bfgs",), "rate": (0.03,), "rounds": (1, 60)}
+    best, score = modelling.tune_network(df.withColumn("fold", (F.col("y") % 2).cast("int")), ["x"], ["s"], "label", "fold", genes, population=4, generations=3)
+    assert score > 0.9 and best["rounds"] == 60
     scaled, back = modelling.scaled_target(df, "y")
     r = scaled.agg(F.avg("y"), F.stddev_pop("y")).first()
     assert abs(r[0]) < 1e-9 and abs(r[1] - 1) < 1e-9 and abs(scaled.select(F.max(back(F.col("y")))).first()[0] - 395) < 1e-6
