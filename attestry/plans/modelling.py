@@ -38,7 +38,7 @@ def contrast_as_recorded(spark: SparkSession, d: str) -> DataFrame:
     """Every fact against those of its variant in other documents that have the same metric and unit as written."""
     rows = _reviewed(spark, d).where(~F.isnan("value"))
     named = rows.withColumns({"enzyme": F.when(F.trim("enzyme") != "", F.concat_ws("|", "enzyme", F.coalesce("metric", F.lit("")), F.coalesce("unit", F.lit("")))), "cites": review.cites_another(F.col("evidence_span"))})
-    return review.contrast(named).select("record_id", "others", "citing", "median", "contrast")
+    return review.contrast(named).select("record_id", "others", "citing", F.round("median", 6).alias("median"), "contrast")
 
 
 def _decided(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -306,7 +306,7 @@ _DECIDED = _RECORDS + """, a AS (SELECT record_id, n % 5 = 0 AS no1, n % 7 = 0 A
       CASE WHEN decision <> 'descartar' THEN v2 END AS value, CASE WHEN decision <> 'descartar' AND adds THEN concat_ws('; ', nullif(c, ''), 'pH 8') END AS conditions FROM d0)"""
 
 SQL = {
-    "contrast_as_recorded": f"WITH {_CONTRAST} SELECT record_id, others, citing, median, contrast FROM contrasts",
+    "contrast_as_recorded": f"WITH {_CONTRAST} SELECT record_id, others, citing, round(median, 6) AS median, contrast FROM contrasts",
     "review_decisions": f"WITH {_DECIDED} SELECT record_id, decision, array_to_string(reasons, ',') AS reasons, error, enzyme, mutations, metric, value, conditions FROM decided",
     "review_counts": f"""WITH {_DECIDED}, c AS (SELECT f.metric, count(*) FILTER (decision = 'ok') AS ok, count(*) FILTER (decision = 'corregir') AS corregir, count(*) FILTER (decision = 'descartar') AS descartar,
           count(*) FILTER (decision IS NULL) AS sin_revisar, count(decision) AS n FROM f LEFT JOIN decided g USING (record_id) GROUP BY f.metric)

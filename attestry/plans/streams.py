@@ -83,7 +83,7 @@ def approvals_stream(spark: SparkSession, d: str) -> DataFrame:
     asked = stream.where("event_type = 'click'").select(F.col("event_id").alias("request_id"), "user_id", "ts")
     told = ev.event_stream(spark, f"{d}/events.parquet").where("event_type = 'purchase'").select("user_id", "ts", F.lit("approve").alias("decision"))
     rows = ev.run_once(ev.approvals_stream(asked, told, "user_id", 7200))
-    return rows.where("answered_at IS NOT NULL").groupBy("request_id").agg(F.min("answered_at").alias("answered_at"), F.min_by("decision", "answered_at").alias("decision"))
+    return rows.where("answered_at IS NOT NULL").groupBy("request_id").agg(F.min_by("decision", "answered_at").alias("decision"))
 
 
 def query_log(spark: SparkSession, d: str) -> DataFrame:
@@ -183,7 +183,7 @@ SQL = {
     "approval_decisions": f"""WITH {_ANSWERS}, a AS (SELECT q.event_id, arg_min(t.decision, (t.ts, t.decision)) AS decision FROM q LEFT JOIN t ON {_IN_TIME} GROUP BY 1)
         SELECT coalesce(decision, 'timeout') AS decision, count(*) AS requests FROM a GROUP BY 1""",
     "unknown_answers": f"WITH {_ANSWERS} SELECT event_id, decision FROM t WHERE NOT EXISTS (SELECT 1 FROM q WHERE {_IN_TIME})",
-    "approvals_stream": f"WITH {_ANSWERS} SELECT q.event_id AS request_id, min(t.ts) AS answered_at, 'approve' AS decision FROM q JOIN t ON {_IN_TIME} AND t.decision = 'approve' GROUP BY 1",
+    "approvals_stream": f"WITH {_ANSWERS} SELECT q.event_id AS request_id, 'approve' AS decision FROM q JOIN t ON {_IN_TIME} AND t.decision = 'approve' GROUP BY 1",
     "query_log": """WITH a AS (SELECT user_id, min(ts) AS a FROM events WHERE event_type = 'view' GROUP BY 1), c AS (SELECT user_id, arg_max(event_type, (ts, event_type)) AS verdict, max(ts) AS c FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1)
         SELECT a.user_id AS query_id, coalesce(verdict = 'purchase', false) AS answered, trunc((epoch_us(c) - epoch_us(a)) / 1000)::BIGINT AS latency_ms, verdict, CASE WHEN verdict = 'error' THEN 'failed' END AS error FROM a LEFT JOIN c USING (user_id)""",
     "topics_per_document": f"WITH {_TOPICS} SELECT len(topics)::INT AS topics, count(*) AS docs FROM t GROUP BY 1",
