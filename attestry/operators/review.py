@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestry.lineage import cut
+
 #: Differences over this are a discrepancy; z of a 95 % interval; names that stand for many enzymes; the
 #: way in which a work is cited; questions and what a "no" to each means (fixed values).
 DISCREPANCY, Z = 5.0, 1.96
@@ -45,20 +47,20 @@ def contrast(facts: DataFrame, limit: float = DISCREPANCY) -> DataFrame:
     special = F.coalesce("special", F.lit(False)) if "special" in facts.columns else F.lit(False)
     cites = F.coalesce("cites", F.lit(False)) if "cites" in facts.columns else F.lit(False)
     named = ~F.lower(F.trim(F.coalesce("enzyme", F.lit("")))).isin("", *GENERIC)
-    rows = facts.where(F.col("value").isNotNull()).select("record_id", "doc_id", "enzyme", F.coalesce("mutations", F.lit("")).alias("mutations"), "value", special.alias("special"), cites.alias("cites"), named.alias("named")).distinct()
+    rows = cut(facts.where(F.col("value").isNotNull()).select("record_id", "doc_id", "enzyme", F.coalesce("mutations", F.lit("")).alias("mutations"), "value", special.alias("special"), cites.alias("cites"), named.alias("named")).distinct())
     pool = rows.where(F.col("named") & ~F.col("special")).select("record_id", "doc_id", *keys, "value", "cites")
     edges = pool.groupBy(*keys).agg(F.percentile_approx("value", F.array(*[F.lit(i / BINS) for i in range(1, BINS)]), 1000).alias("edges"), F.count("*").alias("total"))
     binned = pool.join(edges, keys).withColumn("b", F.size(F.filter("edges", lambda e: e < F.col("value"))))
     sizes = binned.groupBy(*keys, "b").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     order = Window.partitionBy(*keys, "b").orderBy("value", "record_id")
-    placed = binned.withColumn("r", F.row_number().over(order) - 1).join(before, [*keys, "b"]).select(*keys, "doc_id", "value", "total", (F.col("before") + F.col("r")).alias("at"))
+    placed = cut(binned.withColumn("r", F.row_number().over(order) - 1).join(before, [*keys, "b"]).select(*keys, "doc_id", "value", (F.col("before") + F.col("r")).alias("at")))
 
     # documents that compare: those of the pool and those that only have special facts
     own = pool.groupBy(*keys, "doc_id").agg(F.count("*").alias("own"), F.count_if("cites").alias("own_cites"))
     per = pool.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if("cites").alias("all_cites")).join(own.groupBy(*keys).agg(F.count("*").alias("docs")), keys)
     asking = rows.where("named").select(*keys, "doc_id").distinct().join(own, [*keys, "doc_id"], "left").fillna(0, ["own", "own_cites"]).join(per, keys).withColumn("m", F.col("total") - F.col("own")).where("m > 0")
-    asking = asking.withColumns({"r1": F.floor((F.col("m") - 1) / 2), "r2": F.floor(F.col("m") / 2), "others": F.col("docs") - (F.col("own") > 0).cast("int"), "citing": F.col("all_cites") - F.col("own_cites")})
+    asking = cut(asking.withColumns({"r1": F.floor((F.col("m") - 1) / 2), "r2": F.floor(F.col("m") / 2), "others": F.col("docs") - (F.col("own") > 0).cast("int"), "citing": F.col("all_cites") - F.col("own_cites")}))
     lower = placed.join(asking.select(*keys, "doc_id", "r1"), [*keys, "doc_id"]).groupBy(*keys, "doc_id").agg(F.count_if(F.col("at") < F.col("r1")).alias("skip"))
     wanted = asking.join(lower, [*keys, "doc_id"], "left").fillna(0, ["skip"]).select(*keys, "doc_id", "r1", "r2", "skip", F.explode(F.sequence("r1", F.col("r2") + F.col("own"))).alias("at"))
     got = wanted.join(placed.select(*keys, "at", "value", F.col("doc_id").alias("_d")), [*keys, "at"]).where(~F.col("_d").eqNullSafe(F.col("doc_id")))
