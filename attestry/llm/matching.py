@@ -17,16 +17,16 @@ import hashlib
 import itertools
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestry.functions.keys import doi_key, kind_key
 from attestry.functions.missing import is_missing
-from attestry.lineage import cut
+from attestry.lineage import cut, release
 from attestry.llm import markup
 from attestry.llm.folding import canonical
 from attestry.operators.components import components_by_keys
@@ -243,25 +243,27 @@ def _key(kind: str, total: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def block_keys(words: Sequence[str], names: Sequence[str], entry: bool) -> list[int]:
-    """Keys under which an entry and a unit meet.
-
-    A surname with two of the title's longest words; a surname with a slip (it or the other lacks a
-    letter, or both do) with two of the very longest; the title's words without none, one or two of them (slips, words added
-    or lost); and for titles that were cut off, the words of an entry against every beginning of a unit's
-    title. Of more than LONG_TITLE words, "without two" would be hundreds of keys; such titles are cut into
-    CLASSES by a hash of each word instead, and two words, changed or not, leave one class at least as it was.
-    """
-    told = _telling(words)
-    number = [_number(w) for w in told]
-    long = [_number(w) for w in sorted((w for w in told if len(w) > 3), key=lambda w: (-len(w), w))]
+def name_keys(words: Sequence[str], names: Sequence[str]) -> set[int]:
+    """A surname with two of the title's longest words; a surname with a slip (it or the other lacks a
+    letter, or both do) with two of the very longest."""
+    long = [_number(w) for w in sorted((w for w in _telling(words) if len(w) > 3), key=lambda w: (-len(w), w))]
     # a name alone, or with one word, can be shared by a third of all rows; with two words it tells
     pairs = [a + b for a, b in itertools.combinations(long[:NAME_WORDS], 2)] or long
     slips = [a + b for a, b in itertools.combinations(long[:SLIP_WORDS], 2)] or long
     keys = {_key("n", 3 * _number(n) + p) for n in names for p in pairs}
-    keys |= {_key("s", 3 * _number(m) + p) for n in names for m in (n, *(n[:i] + n[i + 1 :] for i in range(len(n)))) for p in slips}
-    if told:
-        total, n = sum(number), len(told)
+    return keys | {_key("s", 3 * _number(m) + p) for n in names for m in (n, *(n[:i] + n[i + 1 :] for i in range(len(n)))) for p in slips}
+
+
+def title_keys(words: Sequence[str], entry: bool) -> set[int]:
+    """The title's words without none, one or two of them (slips, words added or lost); and for titles that
+    were cut off, the words of an entry against every beginning of a unit's title. Of more than LONG_TITLE
+    words, "without two" would be hundreds of keys; such titles are cut into CLASSES by a hash of each word
+    instead, and two words, changed or not, leave one class at least as it was.
+    """
+    number = [_number(w) for w in _telling(words)]
+    keys: set[int] = set()
+    if number:
+        total, n = sum(number), len(number)
         keys.add(_key("t", total))
         if n > 2:
             keys |= {_key("t", total - x) for x in number}
@@ -276,21 +278,64 @@ def block_keys(words: Sequence[str], names: Sequence[str], entry: bool) -> list[
             keys |= {_key("p", x) for x in list(itertools.accumulate(number))[1 : n - 1]}
         elif n > 1:
             keys.add(_key("p", total))
-    return sorted(keys)
+    return keys
+
+
+def block_keys(words: Sequence[str], names: Sequence[str], entry: bool) -> list[int]:
+    """Keys under which an entry and a unit meet."""
+    return sorted(name_keys(words, names) | title_keys(words, entry))
+
+
+#: Bits of a name's sketch for its pairs of neighbours, after 26 for its letters; the last one tells a long name.
+_PAIR_BITS = 36
+#: Most bits that one edit changes, and names of a unit that are held side by side.
+EDIT_BITS, LANES = 6, 7
+#: The sketch of what can be alike with any name.
+_ANY = -1
+
+
+@functools.lru_cache(maxsize=200_000)
+def name_sketch(name: str) -> int:
+    """Letters and pairs of neighbours (ends included) of a name as bits. An edit takes two letters and four pairs in or
+    out at most, or no letter and six pairs (a swap), so names that are near() differ in EDIT_BITS an edit at most."""
+    bits = 1 << 26 + _PAIR_BITS if len(name) > 8 else 0
+    for c in name:
+        bits |= 1 << ord(c) % 26
+    for a, b in itertools.pairwise(f"^{name}$"):
+        bits |= 1 << 26 + (ord(a) * 31 + ord(b)) % _PAIR_BITS
+    return bits
 
 
 def candidates(entries: DataFrame, units: DataFrame) -> DataFrame:
     """(eid, uid) pairs that share a key: entries and descriptions of units, not whole units, so a work
     that a third of all documents hold meets an entry only under the descriptions that are near it. Pairs
-    whose years are known and more than two apart, which their log-odds rule out, end here."""
-
-    def keyed(df: DataFrame, k: str, entry: bool) -> DataFrame:
-        keys = F.pandas_udf(lambda w, n: pd.Series([block_keys(list(a), list(b), entry) for a, b in zip(w, n)]), T.ArrayType(T.LongType()))
-        return df.select(k, F.col("year").alias(f"{k}_year"), F.explode(keys("words", "names")).alias("key"))
-
-    # exploded keys are far more than the planner takes them for, so neither side may be broadcast
-    met = keyed(entries, "eid", True).hint("merge").join(keyed(units, "uid", False), "key")
-    return met.where(F.col("eid_year").isNull() | F.col("uid_year").isNull() | (F.abs(F.col("eid_year") - F.col("uid_year")) <= 2)).select("eid", "uid").distinct()
+    whose years are known and more than two apart, or whose authors are known and none of them alike, which
+    their log-odds rule out, end here: titles of one pattern meet as often as the square of the tables, so
+    such a meeting is told from its two keys and never written. Keys of names and of titles take turns, so that only
+    one kind of them is held on disk at a time."""
+    eid_year, uid_year = F.col("eid_year"), F.col("uid_year")
+    years = eid_year.isNull() | uid_year.isNull() | (F.abs(eid_year - uid_year) <= 2)
+    lanes = [F.col(f"s{i}") for i in range(LANES)]
+    most = EDIT_BITS + EDIT_BITS * F.shiftright("s", 26 + _PAIR_BITS)
+    alike = functools.reduce(lambda a, b: a | b, [F.bit_count(F.col("s").bitwiseXOR(x)) <= most for x in lanes], (F.col("s") == _ANY) | (lanes[0] == _ANY))
+
+    def keyed(df: DataFrame, k: str, keys: Callable[[Sequence[str], Sequence[str]], set[int]], *more: Column) -> DataFrame:
+        run = F.pandas_udf(lambda w, n: pd.Series([list(keys(a, b)) for a, b in zip(w, n)]), T.ArrayType(T.LongType()))
+        return df.select(k, F.col("year").alias(f"{k}_year"), *more, F.explode(run("words", "names")).alias("key"))
+
+    def meet(left: DataFrame, right: DataFrame, here: Column) -> DataFrame:
+        # exploded keys are far more than the planner takes them for, so neither side may be broadcast
+        found = cut(left.hint("merge").join(right, "key").where(here).select("eid", "uid").distinct())
+        release(found.sparkSession)
+        return found
+
+    run = F.pandas_udf(lambda n: pd.Series([[name_sketch(x) for x in a] for a in n]), T.ArrayType(T.LongType()))
+    sketched = lambda df, most: df.withColumn("sketches", F.when(F.size("names").between(1, most), run("names")).otherwise(F.array(F.lit(_ANY).cast("long"))))
+    side_by_side = [F.coalesce(F.get("sketches", F.lit(i)), F.lit(0).cast("long")).alias(f"s{i}") for i in range(LANES)]
+    by_name = meet(keyed(entries, "eid", name_keys), keyed(units, "uid", name_keys), years)
+    one = keyed(sketched(entries, 1 << 30), "eid", lambda w, n: title_keys(w, True), F.col("sketches")).select("eid", "eid_year", "key", F.explode("sketches").alias("s"))
+    by_title = meet(one, keyed(sketched(units, LANES), "uid", lambda w, n: title_keys(w, False), *side_by_side), years & alike)
+    return by_name.union(by_title).distinct()
 
 
 def score_pairs(pairs: DataFrame, entries: DataFrame, units: DataFrame) -> DataFrame:
@@ -332,6 +377,7 @@ def propagate(edges: DataFrame, rounds: int = ROUNDS, still: float = STILL, reli
     the pair's own. Messages are halved towards the old ones while they swing. Raises if they never rest.
     """
     state = cut(edges.select("eid", "unit", "odds", F.lit(0.0).alias("beta"), F.lit(0.0).alias("alpha")))
+    release(state.sparkSession)
     keep, before = 0.0, None
     for _ in range(rounds):
         heard = F.exp(F.least(F.col("odds") + F.col("beta"), F.lit(30.0)))
@@ -347,6 +393,7 @@ def propagate(edges: DataFrame, rounds: int = ROUNDS, still: float = STILL, reli
         after = cut(both.select("eid", "unit", "odds", new_beta.alias("beta"), F.col("new_alpha").alias("alpha"), F.greatest(F.abs(new_beta - F.col("beta")), F.abs(F.col("new_alpha") - F.col("alpha"))).alias("moved")))
         most = after.agg(F.max("moved")).first()[0] or 0.0
         state = after.drop("moved")
+        release(state.sparkSession)
         if most < still:
             break
         keep, before = (0.5 if keep or before is not None and most > 0.7 * before else 0.0), most
@@ -365,6 +412,7 @@ def match_references(refs: DataFrame, staging: DataFrame, confidence: float = CO
     """
     docs = cut(read_documents(spread(staging)))
     member = cut(work_units(docs))
+    release(docs.sparkSession)
     per_doc = docs.join(member, "doc_id")
     # a document without authors or year has those that most documents of its work have
     usual = lambda c, there: per_doc.where(there).groupBy("unit", c).agg(F.count("*").alias("n")).groupBy("unit").agg(F.max(F.struct("n", c)).alias("u")).select("unit", F.col(f"u.{c}").alias(f"usual_{c}"))
@@ -372,6 +420,7 @@ def match_references(refs: DataFrame, staging: DataFrame, confidence: float = CO
     filled = known.select("unit", "words", F.when(F.size("names") > 0, F.col("names")).otherwise(F.coalesce("usual_names", "names")).alias("names"), F.coalesce("year", "usual_year").alias("year"))
     units = cut(filled.withColumn("uid", F.xxhash64("unit", "words", "names", "year")).dropDuplicates(["uid"]))
     entries = cut(read_entries(spread(refs)).where(F.size("words") > 0).withColumn("eid", F.xxhash64("ref_id", "words", "names", "year")))
+    release(docs.sparkSession)
     described = entries.select("eid", "words", "names", "year").dropDuplicates(["eid"])
     edges = score_pairs(candidates(described, units), described, units).where(F.col("odds") > WEAK)
     found = propagate(edges).where(F.col("marginal") >= confidence)

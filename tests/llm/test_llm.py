@@ -292,6 +292,32 @@ def test_long_titles_meet_by_classes():
     assert len(matching.block_keys([f"w{i}" for i in range(3000)], [], True)) < 3100
 
 
+def test_titles_of_a_pattern_meet_by_their_authors(spark):
+    """Works whose titles differ in two words are pairs of all with all by their titles; known authors leave each with its own."""
+    rnd = random.Random(3)
+    names = ["".join(rnd.sample("abcdefghijklmnopqrstuvwxyz", 7)) for _ in range(30)]
+    titles = [["adsorption", "isotherms", "of", f"enz{i}ase", f"film{i}x"] for i in range(30)]
+    entries = [(i, t, [n[1:]], 2010 if i % 2 else None) for i, (t, n) in enumerate(zip(titles, names))] + [(30, titles[0], [], None)]
+    units = [(i, t, [n, f"{n}{n}"], 2010) for i, (t, n) in enumerate(zip(titles, names))] + [(30, titles[1], [], 2010), (31, titles[2], [*names[3:10], names[2]], 2010)]
+    of = lambda k, rows: spark.createDataFrame(rows, f"{k} long, words array<string>, names array<string>, year int")
+    got = {tuple(r) for r in matching.candidates(of("eid", entries), of("uid", units)).collect()}
+    # whoever has no authors, or more than are held side by side, still meets all
+    assert got == {(i, i) for i in range(30)} | {(30, u) for u in range(32)} | {(e, u) for e in range(30) for u in (30, 31)}
+
+
+def test_sketches_admit_every_slip():
+    rnd = random.Random(5)
+    for _ in range(3000):
+        a = "".join(rnd.choices("abcdeorsé-", k=rnd.randint(1, 13)))
+        b = a
+        for _ in range(rnd.randint(1, 2)):
+            i, c = rnd.randrange(len(b) + 1), rnd.choice("aezü")
+            b = rnd.choice((b[:i] + c + b[i:], b[:i] + b[i + 1 :], b[:i] + c + b[i + 1 :], b[:i] + b[i + 1 : i + 2] + b[i : i + 1] + b[i + 2 :])) or "a"
+        if matching.near(a, b, 2 if min(len(a), len(b)) > 8 else 1):
+            x, y = matching.name_sketch(a), matching.name_sketch(b)
+            assert x >= 0 <= y and all((x ^ y).bit_count() <= matching.EDIT_BITS * (2 if len(n) > 8 else 1) for n in (a, b)), (a, b)
+
+
 # 7 - markup
 
 CASES = {
