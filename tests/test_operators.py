@@ -337,6 +337,26 @@ def test_topics_use_every_term(spark, monkeypatch):
     assert abs(topics.factorise(few, "doc_id", 2, rounds=2)[1] - whole).max() < 1e-12
 
 
+def test_a_pass_serves_all_factorisations(spark, monkeypatch):
+    weights = spark.range(6_000).select((F.col("id") % 61).alias("doc_id"), F.format_string("t%04d", F.col("id") * 7 % 900).alias("term"), (1 + F.col("id") % 5).cast("double").alias("weight"))
+    rows, terms = topics._indexed(weights.groupBy("doc_id", "term").agg(F.sum("weight").alias("weight")), "doc_id")
+    starts = [topics._start(k, s, len(terms)) for k in (2, 3, 5) for s in (0, 1)]
+    passes, true = [], topics._sums
+    monkeypatch.setattr(topics, "_sums", lambda *a: passes.append(a[1:3]) or true(*a))
+    monkeypatch.setattr(topics, "SUM_BYTES", 8 * 20 * len(terms))  # less than the sums of four tasks
+    shared = topics._sums_of(rows, starts)
+    assert passes == [(0, len(terms))]
+    monkeypatch.setattr(topics, "SUM_BYTES", 8 * 5 * 37)  # one factorisation a pass, in blocks of 37 columns and more
+    monkeypatch.setattr(topics, "BLOCK_BYTES", 8 * 5 * 10)
+    for (x, g, error), (y, f, other) in zip(shared, topics._sums_of(rows, starts)):
+        assert abs(x - y).max() < 1e-9 and abs(g - f).max() < 1e-9 and abs(error - other) < 1e-9 * error
+    dense = {r.doc_id: {t.term: t.w for t in r.e} for r in weights.groupBy("doc_id", "term").agg(F.sum("weight").alias("w")).groupBy("doc_id").agg(F.collect_list(F.struct("term", "w")).alias("e")).collect()}
+    full = np.array([[d.get(t, 0.0) for t in terms] for d in dense.values()])
+    for h, (x, g, error) in zip(starts, shared):
+        w = topics._fit(full @ h.T, h @ h.T)
+        assert abs(w @ full - x).max() < 1e-6 * abs(x).max() and abs(((full - w.T @ h) ** 2).sum() - error) < 1e-6 * error
+
+
 def test_number_of_topics_is_the_stable_one(spark):
     words = ["enzyme stability melting", "plastic recycling market", "ocean litter survey"]
     docs = spark.createDataFrame([(i, f"{words[i % 3]} " * 4) for i in range(60)], "doc_id long, text string")
