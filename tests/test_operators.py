@@ -2,6 +2,7 @@ import datetime as dt
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -357,6 +358,17 @@ def test_a_pass_serves_all_factorisations(spark, monkeypatch):
         assert abs(w @ full - x).max() < 1e-6 * abs(x).max() and abs(((full - w.T @ h) ** 2).sum() - error) < 1e-6 * error
 
 
+def test_packs_hold_every_entry(monkeypatch):
+    monkeypatch.setattr(topics, "ENTRIES", 10)
+    lists = [[5, 1], [3] * 1, list(range(25, 0, -1)), [2, 4, 9], [7]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys), pa.array([lists[i] for i in keys], pa.list_(pa.int32())), pa.array([[x / 2 for x in lists[i]] for i in keys])], names=["k", "t", "w"]) for keys in ([0, 1, 2], [3, 4])]
+    got, packs = {}, [p for b in topics._packed(iter(batches)) for p in topics._packs(b)]
+    for keys, edges, at, v, by in packs:
+        assert (np.diff(at[by]) >= 0).all() and (v == at / 2).all()
+        got |= {k: at[lo:hi].tolist() for k, lo, hi in zip(keys.to_pylist(), edges, edges[1:])}
+    assert got == {i: sorted(x) for i, x in enumerate(lists)} and len(packs) == 3
+
+
 def test_number_of_topics_is_the_stable_one(spark):
     words = ["enzyme stability melting", "plastic recycling market", "ocean litter survey"]
     docs = spark.createDataFrame([(i, f"{words[i % 3]} " * 4) for i in range(60)], "doc_id long, text string")
